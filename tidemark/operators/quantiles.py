@@ -1,0 +1,114 @@
+"""Exact percentiles per group by a full distributed sort with per-partition counts.
+
+The values are range-partitioned by (group, value) and sorted within partitions; each partition numbers its own rows,
+the counts of all partitions give every partition's offset in its groups, the wanted positions are located through
+those offsets, and only the two neighbouring order statistics of each are fetched and interpolated. The error is zero.
+
+What portions (days, files, partitions) keep for later combination is their table of value counts: such tables are
+combined by union, and the percentiles of the union are exactly those of all rows together.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidemark.functions.timestamps import finite
+from tidemark.storage import materialize
+
+
+def long_values(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
+    """(grp, field, value, weight) of every finite value; null, NaN and infinite values have no rank and are left out."""
+    pairs = F.array(*[F.struct(F.lit(v).alias("field"), finite(F.col(v).cast("double")).alias("value")) for v in values])
+    return (
+        df.select(F.col(group).alias("grp"), F.explode(pairs).alias("x"))
+        .where("x.value is not null")
+        .select("grp", "x.field", (F.col("x.value") + F.lit(0.0)).alias("value"), F.lit(1).cast("bigint").alias("weight"))
+    )
+
+
+def value_counts(long: DataFrame) -> DataFrame:
+    """The mergeable summary of a portion: how often each value occurs in each group."""
+    return long.groupBy("grp", "field", "value").agg(F.sum("weight").alias("weight"))
+
+
+def _number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weight before each row within its (group, field), for rows of one partition in sorted order; O(1) state."""
+    last, seen = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        grp = batch.column("grp").dictionary_encode()
+        field = batch.column("field").dictionary_encode()
+        codes = np.stack([pc.fill_null(grp.indices, -1).to_numpy(), field.indices.to_numpy()])
+        weight = batch.column("weight").to_numpy()
+        start = np.flatnonzero(np.r_[True, (codes[:, 1:] != codes[:, :-1]).any(axis=0)])
+        before = np.cumsum(weight) - weight
+        base = np.repeat(before[start], np.diff(np.r_[start, batch.num_rows]))
+        within = before - base
+        first = (batch.column("grp")[0].as_py(), batch.column("field")[0].as_py())
+        if first == last:
+            within[: start[1] if len(start) > 1 else None] += seen
+        tail = (batch.column("grp")[-1].as_py(), batch.column("field")[-1].as_py())
+        seen = int(within[-1] + weight[-1])
+        last = tail
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within)], [*batch.schema.names, "before"])
+
+
+def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
+    """(grp, field, n, prob, value) for each group, field and probability in ``probs``.
+
+    ``long`` has (grp, field, value, weight); see :func:`long_values` and :func:`value_counts`. The value is
+    ``lo + (hi - lo) * fraction`` of the order statistics around position ``prob * (n - 1)``. A null group is a group
+    of its own; a group without finite values has no row; an empty input gives an empty result. Ties may be of any
+    number: a salt in the sort key lets the range partitioner split equal values over partitions.
+    """
+    spark = long.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*long.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
+    ordered = (
+        long.withColumn("salt", (F.rand(7) * 65536).cast("int"))
+        .repartitionByRange(parts, "grp", "field", "value", "salt")
+        .sortWithinPartitions("grp", "field", "value")
+        .drop("salt")
+        .withColumn("part", F.spark_partition_id())
+    )
+    runs = materialize(ordered.mapInArrow(_number_rows, schema), "sorted-runs")
+    counts = runs.groupBy("grp", "field", "part").agg(F.sum("weight").alias("held"))
+    by_group = Window.partitionBy("grp", "field")
+    offsets = counts.select(
+        "*",
+        (F.sum("held").over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("offset"),
+        F.sum("held").over(by_group).alias("n"),
+    )
+    position = F.col("prob") * (F.col("n") - 1)
+    targets = (
+        offsets.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        .withColumn("lo", F.floor(position))
+        .withColumn("fraction", position - F.col("lo"))
+        .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1))
+        .where("(lo >= offset and lo < offset + held) or (hi >= offset and hi < offset + held)")
+    )
+    targets = materialize(targets, "targets")
+    at = F.col("r.before") + F.col("t.offset")
+    found = (
+        runs.alias("r")
+        .join(targets.alias("t"), F.col("r.grp").eqNullSafe(F.col("t.grp")) & (F.col("r.field") == F.col("t.field")) & (F.col("r.part") == F.col("t.part")))
+        .select(
+            "t.grp", "t.field", "t.n", "t.prob", "t.fraction",
+            F.when((at <= F.col("t.lo")) & (F.col("t.lo") < at + F.col("r.weight")), F.col("r.value")).alias("lo"),
+            F.when((at <= F.col("t.hi")) & (F.col("t.hi") < at + F.col("r.weight")), F.col("r.value")).alias("hi"),
+        )
+        .where("lo is not null or hi is not null")
+    )
+    return (
+        found.groupBy("grp", "field", "n", "prob", "fraction")
+        .agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+        .select("grp", "field", "n", "prob", F.expr("case when fraction = 0 then lo else lo + (hi - lo) * fraction end").alias("value"))
+    )
