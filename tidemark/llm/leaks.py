@@ -135,7 +135,7 @@ def _verified(min_words: int, per_change: int):
                     last, text = doc, words_of(raw)
                 words = words_of(passage)
                 slack = len(words) // per_change + 2
-                best, done = 0, -1
+                best, done = 0, -(1 << 60)
                 for shift in sorted(set(shifts)):
                     if shift <= done:
                         continue
