@@ -5,9 +5,10 @@ Every stretch of ``span`` characters (a window) has exactly one such anchor, det
 equal windows share their anchor. A seed stands for the run of windows that its anchor represents.
 
 Seeds of equal anchors are joined through their groups, never in pairs. Where the whole run's text is equal in two
-documents, the shared stretch is settled. What is left, mostly the ends of shared stretches, is extended to both sides of
-the anchor window by window, and equal windows meet by their hashes. Neighbouring shared windows make up the maximal
-stretches.
+documents, the shared stretch is settled. What is left, mostly the ends of shared stretches, is extended from the anchor
+both ways: first by half of the missing characters to the left or to the right, one of which any equal window must
+match, then, where that succeeds, window by window, and equal windows meet by their hashes. Neighbouring shared windows
+make up the maximal stretches.
 """
 
 from __future__ import annotations
@@ -27,12 +28,17 @@ ANCHOR = 50
 POSITION_BITS = 30
 
 
+# the columns of a seed, all bigint
+SEED = ("anchor", "run", "left", "right", "doc_id", "position", "first", "last")
+
+
 def seeds_of(text: str, span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """(anchor hash, hash of the run's text, first window, last window) of each seed of a text."""
+    """Of each seed of a text of at least ``span`` characters: (hash of its anchor, of its run's text, of the anchor with
+    half of the missing characters to the left, and to the right, the anchor's position, the run's first and last window).
+
+    Where the text ends too soon for a half the hash is 0.
+    """
     codes = code_points(text)
-    if len(codes) < span:
-        empty = np.zeros(0, np.uint64)
-        return empty, empty, empty.astype(np.int64), empty.astype(np.int64)
     prefix = prefix_hash(codes)
     at = np.arange(len(codes) - anchor + 1)
     hashes = stretch_hash(prefix, at, at + anchor)
@@ -43,7 +49,11 @@ def seeds_of(text: str, span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ..
     position = least[first].astype(np.int64)
     # the run's hash also tells where in it the anchor lies
     run = mix(stretch_hash(prefix, first, last + span) ^ mix((position - first).astype(np.uint64)))
-    return hashes[position], run, first, last
+    half = (span - anchor + 1) // 2
+    begin, end = position - half, position + anchor + half
+    left = np.where(begin >= 0, stretch_hash(prefix, np.maximum(begin, 0), position + anchor) | np.uint64(1), np.uint64(0))
+    right = np.where(end <= len(codes), stretch_hash(prefix, position, np.minimum(end, len(codes))) | np.uint64(1), np.uint64(0))
+    return hashes[position], run, left, right, position, first, last
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -61,11 +71,9 @@ def _seed_rows(span: int):
                 ids.append(np.full(len(found[-1][0]), doc, np.int64))
             if not found:
                 continue
-            anchor, run, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [_signed(anchor), _signed(run), pa.array(np.concatenate(ids)), pa.array(first), pa.array(last)],
-                ["anchor", "run", "doc_id", "first", "last"],
-            )
+            *hashes, position, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+            columns = [*map(_signed, hashes), *map(pa.array, (np.concatenate(ids), position, first, last))]
+            yield pa.RecordBatch.from_arrays(columns, list(SEED))
 
     return rows
 
@@ -94,25 +102,32 @@ def shared_windows(documents: DataFrame, span: int = 150) -> DataFrame:
     Runs of a document may overlap and aren't merged; :func:`shared_stretches` does that.
     """
     texts = documents.select("doc_id", "text")
-    seeds = materialize(
-        texts.mapInArrow(_seed_rows(span), "anchor bigint, run bigint, doc_id bigint, first bigint, last bigint"), "seeds"
-    )
-    # one row per distinct run text of an anchor; combined on the map side, so frequent anchors do no harm
-    runs = seeds.groupBy("anchor", "run").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    runs = materialize(runs, "runs")
-    open_anchors = (
-        runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("low").alias("a_low"), F.max("high").alias("a_high"))
-        .where("kinds > 1 and a_low < a_high").select("anchor")
-    )
-    known = runs.join(open_anchors.withColumn("open", F.lit(True)), "anchor", "left").where("low < high or open")
-    judged = materialize(seeds.join(known, ["anchor", "run"]), "joined-seeds")
+    bigints = lambda names: ", ".join(f"{n} bigint" for n in names)
+    low_high = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    seeds = materialize(texts.mapInArrow(_seed_rows(span), bigints(SEED)), "seeds")
+    # groups are told by their least and greatest document, combined on the map side: frequent ones do no harm
+    anchors = seeds.groupBy("anchor").agg(*low_high).where("low < high").select("anchor")
+    joined = materialize(seeds.join(materialize(anchors, "anchors"), "anchor"), "joined-seeds")
+
+    runs = materialize(joined.groupBy("anchor", "run").agg(*low_high), "runs")
+    several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("open"))
+    judged = joined.join(runs.join(several, "anchor", "left").where("low < high or open"), ["anchor", "run"])
+    judged = materialize(judged, "judged-seeds")
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     settled = judged.where("low < high").select("doc_id", "first", "last", other.alias("other"))
 
     # of a settled run two documents stand for all; runs of one document are all looked at
-    todo = judged.where("open and (doc_id = low or doc_id = high)")
+    todo = judged.where("open and (doc_id = low or doc_id = high)").drop("low", "high", "open", "run")
+    half = (span - ANCHOR + 1) // 2
+    for side in ("left", "right"):
+        met = todo.where(F.col(side) != 0).groupBy("anchor", side).agg(*low_high).where("low < high")
+        todo = todo.join(met.select("anchor", side, F.lit(True).alias(f"met_{side}")), ["anchor", side], "left")
+    # windows that begin half or more before the anchor hold its left half, those that begin half or less before its right
+    nearest = F.when(F.col("met_right"), F.col("last")).otherwise(F.least("last", F.col("position") - half))
+    farthest = F.when(F.col("met_left"), F.col("first")).otherwise(F.greatest("first", F.col("position") - (span - ANCHOR - half)))
+    todo = todo.where("met_left or met_right").select("doc_id", "anchor", farthest.alias("first"), nearest.alias("last")).where("first <= last")
     by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("todo"))
-    windows = by_doc.join(texts, "doc_id").mapInArrow(_window_rows(span), "anchor bigint, window bigint, doc_id bigint, start bigint")
+    windows = by_doc.join(texts, "doc_id").mapInArrow(_window_rows(span), bigints(("anchor", "window", "doc_id", "start")))
     windows = materialize(windows, "windows")
     equal = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     met = windows.join(equal, ["anchor", "window"])
