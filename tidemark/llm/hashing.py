@@ -38,7 +38,9 @@ POWERS = Powers()
 def prefix_hash(symbols: np.ndarray) -> np.ndarray:
     """Prefix sums of the polynomial of a sequence of uint64 symbols, with a leading zero."""
     up, _ = POWERS.of(len(symbols) + 1)
-    return np.r_[np.uint64(0), np.cumsum(mix(symbols) * up[: len(symbols)], dtype=np.uint64)]
+    out = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(mix(symbols) * up[: len(symbols)], dtype=np.uint64, out=out[1:])
+    return out
 
 
 def stretch_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:

@@ -26,34 +26,58 @@ from tidemark.storage import materialize
 ANCHOR = 50
 #: Bits of a position in the packed (hash, position) minima: texts of up to 2**30 characters.
 POSITION_BITS = 30
+#: Characters that are hashed together.
+GROUP = 400_000
 
 
 # the columns of a seed, all bigint
 SEED = ("anchor", "run", "left", "right", "doc_id", "position", "first", "last")
 
 
-def seeds_of(text: str, span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
-    """Of each seed of a text of at least ``span`` characters: (hash of its anchor, of its run's text, of the anchor with
-    half of the missing characters to the left, and to the right, the anchor's position, the run's first and last window).
+def seeds_of(texts: list[str], span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+    """Of each seed of some texts of at least ``span`` characters: (number of its text, hash of its anchor, of its run's
+    text, of the anchor with half of the missing characters to the left, and to the right, the anchor's position, the
+    run's first and last window).
 
     Where the text ends too soon for a half the hash is 0.
     """
-    codes = code_points(text)
-    prefix = prefix_hash(codes)
-    at = np.arange(len(codes) - anchor + 1)
+    size = np.array([len(t) for t in texts])
+    ends = np.cumsum(size)
+    begins = ends - size
+    prefix = prefix_hash(code_points("".join(texts)))
+    at = np.arange(ends[-1] - anchor + 1)
     hashes = stretch_hash(prefix, at, at + anchor)
     mask = np.uint64((1 << POSITION_BITS) - 1)
-    least = sliding_min((hashes & ~mask) | at.astype(np.uint64), span - anchor + 1) & mask
-    first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-    last = np.r_[first[1:], len(least)] - 1
-    position = least[first].astype(np.int64)
+    least = (sliding_min((hashes & ~mask) | at.astype(np.uint64), span - anchor + 1) & mask).astype(np.int64)
+    # windows that run from one text into the next aren't any
+    whole = np.ones(len(least), bool)
+    for end in ends[:-1]:
+        whole[max(0, end - span + 1) : end] = False
+    window = np.flatnonzero(whole)
+    new = np.r_[True, np.diff(least[window]) != 0]
+    first, position = window[new], least[window][new]
+    last = window[np.r_[np.flatnonzero(new)[1:] - 1, len(window) - 1]]
+    text = np.searchsorted(ends, first, side="right")
     # the run's hash also tells where in it the anchor lies
     run = mix(stretch_hash(prefix, first, last + span) ^ mix((position - first).astype(np.uint64)))
     half = (span - anchor + 1) // 2
-    begin, end = position - half, position + anchor + half
-    left = np.where(begin >= 0, stretch_hash(prefix, np.maximum(begin, 0), position + anchor) | np.uint64(1), np.uint64(0))
-    right = np.where(end <= len(codes), stretch_hash(prefix, position, np.minimum(end, len(codes))) | np.uint64(1), np.uint64(0))
-    return hashes[position], run, left, right, position, first, last
+    low, high = position - half, position + anchor + half
+    left = np.where(low >= begins[text], stretch_hash(prefix, np.maximum(low, 0), position + anchor) | np.uint64(1), np.uint64(0))
+    right = np.where(high <= ends[text], stretch_hash(prefix, position, np.minimum(high, ends[-1])) | np.uint64(1), np.uint64(0))
+    return text, hashes[position], run, left, right, *(x - begins[text] for x in (position, first, last))
+
+
+def _groups(items: list[tuple], length) -> Iterator[list[tuple]]:
+    """The items in groups of about GROUP characters, or single ones that are longer."""
+    group, held = [], 0
+    for item in items:
+        group.append(item)
+        held += length(item)
+        if held >= GROUP:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -63,17 +87,12 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _seed_rows(span: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, ids = [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if text is None or doc is None or len(text) < span:
-                    continue
-                found.append(seeds_of(text, span))
-                ids.append(np.full(len(found[-1][0]), doc, np.int64))
-            if not found:
-                continue
-            *hashes, position, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
-            columns = [*map(_signed, hashes), *map(pa.array, (np.concatenate(ids), position, first, last))]
-            yield pa.RecordBatch.from_arrays(columns, list(SEED))
+            pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            for group in _groups([x for x in pairs if x[0] is not None and x[1] and len(x[1]) >= span], lambda x: len(x[1])):
+                text, *columns = seeds_of([t for _, t in group], span)
+                doc = np.array([d for d, _ in group], np.int64)[text]
+                hashes, places = columns[:4], columns[4:]
+                yield pa.RecordBatch.from_arrays([*map(_signed, hashes), *map(pa.array, (doc, *places))], list(SEED))
 
     return rows
 
@@ -81,15 +100,19 @@ def _seed_rows(span: int):
 def _window_rows(span: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, todo in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "todo")), strict=True):
-                prefix = prefix_hash(code_points(text))
-                first = np.array([x["first"] for x in todo], np.int64)
-                size = np.array([x["last"] for x in todo], np.int64) - first + 1
-                anchor = np.repeat(np.array([x["anchor"] for x in todo], np.int64), size)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "todo")), strict=True))
+            for group in _groups(rows, lambda x: len(x[1])):
+                begin, todo = 0, []
+                for doc, text, seeds in group:
+                    todo += [(x["anchor"], doc, begin, begin + x["first"], x["last"] - x["first"] + 1) for x in seeds]
+                    begin += len(text)
+                prefix = prefix_hash(code_points("".join(text for _, text, _ in group)))
+                anchor, doc, begin, first, size = (np.array(x, np.int64) for x in zip(*todo, strict=True))
                 start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 window = stretch_hash(prefix, start, start + span)
+                place = start - np.repeat(begin, size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), _signed(window), pa.array(np.full(len(start), doc, np.int64)), pa.array(start)],
+                    [pa.array(np.repeat(anchor, size)), _signed(window), pa.array(np.repeat(doc, size)), pa.array(place)],
                     ["anchor", "window", "doc_id", "start"],
                 )
 
