@@ -39,3 +39,43 @@ def nanos_to_date(nanos: Column) -> Column:
 def finite(value: Column) -> Column:
     """The value, or null where it is null, NaN or infinite."""
     return F.when(~F.isnan(value) & (F.abs(value) != F.lit(float("inf"))), value)
+
+
+def epoch_nanos(value: Column) -> Column:
+    """LONG epoch of unknown unit: below 10**10 it is seconds, else nanoseconds."""
+    return F.when(value < F.lit(10_000_000_000).cast("bigint"), F.try_multiply(value, F.lit(NANOS).cast("bigint"))).otherwise(value)
+
+
+def timestamp_nanos(column: Column, kind: str) -> Column:
+    """LONG nanoseconds of a timestamp (with or without zone), date, RFC3339 text or LONG epoch column, by its type name."""
+    if kind in ("timestamp_ntz", "timestamp", "date"):
+        # the difference of two zoneless timestamps doesn't depend on the session's time zone
+        if kind == "timestamp":
+            return F.try_multiply(F.unix_micros(column), F.lit(1_000).cast("bigint"))
+        since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
+        return F.try_multiply(since, F.lit(1_000).cast("bigint"))
+    return rfc3339_nanos(column) if kind == "string" else column.cast("bigint")
+
+
+def format_nanos(nanos: Column, offset_seconds: int, suffix: str) -> Column:
+    """RFC3339 text with nine fractional digits at a fixed offset, whatever the session's time zone."""
+    seconds = floor_div(nanos, NANOS) + F.lit(offset_seconds).cast("bigint")
+    shifted = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(
+        floor_div(seconds, 86_400).cast("int"), F.lit(0), F.lit(0), F.pmod(seconds, F.lit(86_400)).cast("decimal(18,6)")
+    )
+    text = F.substring(shifted.cast("string"), 1, 19)
+    part = F.lpad(F.pmod(nanos, F.lit(NANOS)).cast("string"), 9, "0")
+    return F.concat(F.translate(text, " ", "T"), F.lit("."), part, F.lit(suffix))
+
+
+def format_seconds(seconds: Column, offset_seconds: int = 0, suffix: str = "Z") -> Column:
+    """RFC3339 text of whole seconds."""
+    return F.concat(F.substring(format_nanos(seconds * F.lit(NANOS).cast("bigint"), offset_seconds, ""), 1, 19), F.lit(suffix))
+
+
+def seconds_of(nanos: Column) -> Column:
+    return floor_div(nanos, NANOS)
+
+
+def subsecond_of(nanos: Column) -> Column:
+    return F.pmod(nanos, F.lit(NANOS).cast("bigint"))

@@ -104,7 +104,7 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
         out.append(F.col(f"n_rows_{w}d").alias(f"trades_{w}d"))
         for f in ("size", "price"):
             total = F.col(f"sum_{f}_{w}d").cast("double")
-            out += [F.round(total, 4).alias(f"{f}_total_{w}d"), F.round(F.try_divide(total, F.col(f"n_{f}_{w}d")), 6).alias(f"{f}_avg_{w}d")]
+            out += [total.alias(f"{f}_total_{w}d"), F.try_divide(total, F.col(f"n_{f}_{w}d")).alias(f"{f}_avg_{w}d")]
     return _trailing(spark, sf_dir).select(*out)
 
 
@@ -130,4 +130,58 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_compacted, p4_percentiles, p4_combined_days, p5_found, p5_trailing, p6_found, p6_periods)}
 
-ORACLES: dict[str, str] = {}
+# One delivery of each trade, with its instant and UTC day.
+_TRADES = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trade_id, -1), CASE WHEN trade_id IS NULL THEN row_id END
+ ORDER BY exec_date IS NULL, received_at NULLS LAST, row_id) AS delivery, CAST(CAST(upper(exec_date) AS TIMESTAMPTZ) AS DATE) AS d FROM trades) WHERE delivery = 1)"""
+_USABLE = "CASE WHEN isfinite({0}) AND {0} > 0 THEN CAST({0} AS DECIMAL(28,10)) END"
+_CALENDAR = f"""days AS (SELECT market, d, count(*) AS n, sum({_USABLE.format("size")}) AS s, count({_USABLE.format("size")}) AS ns,
+ sum({_USABLE.format("price")}) AS p, count({_USABLE.format("price")}) AS np FROM {_TRADES} WHERE d IS NOT NULL GROUP BY ALL),
+ ends AS (SELECT market, min(d) AS lo, max(d) AS hi FROM days GROUP BY ALL),
+ cal AS (SELECT market, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM ends)"""
+
+
+def _trailing_sql() -> str:
+    parts = []
+    for w in (7, 30):
+        over = f"OVER (PARTITION BY market ORDER BY d RANGE BETWEEN INTERVAL {w - 1} DAY PRECEDING AND CURRENT ROW)"
+        parts.append(f"CAST(sum(coalesce(n, 0)) {over} AS BIGINT) AS trades_{w}d")
+        for name, v, c in (("size", "s", "ns"), ("price", "p", "np")):
+            # by way of text, as DuckDB's own cast of a long decimal isn't always the nearest double
+            total = f"CAST(CAST(sum(coalesce({v}, 0)) {over} AS VARCHAR) AS DOUBLE)"
+            parts.append(f"{total} AS {name}_total_{w}d")
+            parts.append(f"{total} / CAST(nullif(sum(coalesce({c}, 0)) {over}, 0) AS BIGINT) AS {name}_avg_{w}d")
+    return f"""WITH {_CALENDAR} SELECT market, strftime(d, '%Y-%m-%d') AS trade_day, coalesce(n, 0) AS trades, {", ".join(parts)}
+ FROM cal LEFT JOIN days USING (market, d)"""
+
+
+def _percentile_sql() -> str:
+    # the order statistics themselves, so that both sides interpolate by the same formula to the last bit
+    one = """SELECT market, '{0}' AS field, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY market) AS n, {0} AS v
+ FROM {1} WHERE isfinite({0}) WINDOW w AS (PARTITION BY market ORDER BY {0})"""
+    ranked = " UNION ALL ".join(one.format(f, _TRADES) for f in ("price", "size"))
+    probs = ", ".join(f"CAST({p} AS DOUBLE)" for p in PROBS)
+    return f"""SELECT market, field, n, prob, CASE WHEN f = 0 THEN lo ELSE lo + (hi - lo) * f END AS value FROM (SELECT market, field, n, prob,
+ prob * (n - 1) - floor(prob * (n - 1)) AS f, max(CASE WHEN i = floor(prob * (n - 1)) THEN v END) AS lo,
+ max(CASE WHEN i = least(floor(prob * (n - 1)) + 1, n - 1) THEN v END) AS hi FROM ({ranked}), (SELECT unnest([{probs}]) AS prob) GROUP BY market, field, n, prob)"""
+
+
+_LATEST = """(SELECT metric, since_sec AS s, until_sec AS u FROM (SELECT *, row_number() OVER (PARTITION BY block_id
+ ORDER BY updated_at_nanos DESC NULLS LAST, until_sec DESC NULLS LAST, since_sec DESC NULLS LAST) AS v FROM block_manifest) WHERE v = 1 AND since_sec < until_sec)"""
+_EDGES = f"(SELECT *, max(u) OVER (PARTITION BY metric ORDER BY s, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LATEST})"
+_OWNED = """(SELECT metric, ts_nanos, min(block_id) AS block_id FROM datapoints WHERE ts_nanos IS NOT NULL AND block_id IS NOT NULL GROUP BY ALL)"""
+
+ORACLES: dict[str, str] = {
+    "p1_found": """WITH u AS (SELECT d.metric, m.period_sec AS p, (d.ts_nanos // 1000000000) // m.period_sec AS cell FROM datapoints d JOIN metric_catalog m USING (metric)
+ WHERE ts_nanos IS NOT NULL AND isfinite(c0)), b AS (SELECT metric, p, min(cell) AS lo, max(cell) AS hi FROM u GROUP BY ALL),
+ g AS (SELECT metric, p, unnest(range(lo, hi + 1)) AS cell FROM b)
+ SELECT metric, cell * p AS cell_start_sec FROM g ANTI JOIN u USING (metric, cell)""",
+    "p3_found": f"""SELECT metric, block_id FROM (SELECT DISTINCT metric, block_id FROM datapoints WHERE block_id IS NOT NULL)
+ LEFT JOIN (SELECT metric, block_id, count(*) AS n FROM {_OWNED} GROUP BY ALL) USING (metric, block_id) WHERE coalesce(n, 0) < 64""",
+    "p4_percentiles": _percentile_sql(),
+    "p4_combined_days": _percentile_sql(),
+    "p5_found": f"WITH {_CALENDAR} SELECT market, strftime(d, '%Y-%m-%d') AS trade_day FROM cal ANTI JOIN days USING (market, d)",
+    "p5_trailing": _trailing_sql(),
+    "p6_found": f"SELECT metric, before AS gap_since_sec, s AS gap_until_sec FROM {_EDGES} WHERE before < s",
+    "p6_periods": f"""SELECT metric, min(s) AS since_sec, max(u) AS until_sec FROM (SELECT *, sum(CASE WHEN before >= s THEN 0 ELSE 1 END)
+ OVER (PARTITION BY metric ORDER BY s, u ROWS UNBOUNDED PRECEDING) AS k FROM {_EDGES}) GROUP BY metric, k""",
+}
