@@ -37,7 +37,7 @@ class Limits:
     change for a series to count as one that changes with nearly every reading. ``frozen``: fields judged for runs.
     """
 
-    fence: tuple[float, float] = (8.0, 8.0)
+    fence: tuple[float, float] = (7.2, 7.2)
     hold_fence: float = 2.5
     max_run: int = 10
     min_change: float = 0.7

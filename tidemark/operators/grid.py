@@ -17,18 +17,25 @@ from tidemark.functions.timestamps import NANOS, finite
 from tidemark.storage import materialize
 
 OBSERVED, FILLED, UNSUPPORTED = "observed", "filled", "unsupported"
+#: What an estimate needs: observations of its source in the matrix, and periods to the nearest of them.
+MIN_SEEN, NEAR = 4, 6
 
 
-def factorise(values: np.ndarray, rank: int = 3, rounds: int = 12, ridge: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def factorise(values: np.ndarray, rank: int = 24, rounds: int = 12, ridge: float = 0.1, smooth: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Fill the NaN cells of ``values`` (sources x times) by alternating least squares.
 
     Rows are centred on their median and scaled by their spread; the factors then minimise the squared error over the
-    observed cells plus ``ridge`` times their squares. Returns the estimates and the mask of cells with support: their
-    source has more than ``rank`` observations here, and at least two sources were observed at their time.
+    observed cells, plus ``ridge`` times their squares, plus ``smooth`` times the squared steps of the time factors from
+    one time to the next, so that a cell is estimated from the other sources at its time and from its own neighbours.
+    Returns the estimates and the mask of cells with support: their source has at least ``MIN_SEEN`` observations here,
+    and either two sources were observed at their time or their source was within ``NEAR`` periods.
     """
     seen = np.isfinite(values)
     per_row, per_col = seen.sum(axis=1), seen.sum(axis=0)
-    support = (per_row > rank)[:, None] & (per_col >= 2)[None, :]
+    counts = np.pad(np.cumsum(seen, axis=1), ((0, 0), (NEAR + 1, NEAR)), mode="edge")
+    counts[:, : NEAR + 1] = 0
+    near = counts[:, 2 * NEAR + 1 :] > counts[:, : -(2 * NEAR + 1)]
+    support = (per_row >= MIN_SEEN)[:, None] & ((per_col >= 2)[None, :] | near)
     if not support.any():
         return np.full(values.shape, np.nan), support
     filled = np.where(seen, values, np.nan)
@@ -39,14 +46,24 @@ def factorise(values: np.ndarray, rank: int = 3, rounds: int = 12, ridge: float
     spread = np.where(spread > 0, spread, np.where(np.abs(centre) > 0, np.abs(centre), 1.0))
     target = np.clip(np.where(seen, (values - centre[:, None]) / spread[:, None], 0.0), -6.0, 6.0)
     weight = seen.astype(float)
-    left = np.random.default_rng(11).normal(0, 0.3, (values.shape[0], rank))
-    eye = ridge * np.eye(rank)
-    right = np.zeros((values.shape[1], rank))
+    n_sources, n_times = values.shape
+    rank = min(rank, n_sources)
+    left = np.random.default_rng(11).normal(0, 0.3, (n_sources, rank)) if rank < n_sources else np.eye(n_sources)
+    right = np.zeros((n_times, rank))
+    eye = np.eye(rank)
+    steps = np.full(n_times, 2.0)
+    steps[[0, -1]] = 1.0 if n_times > 1 else 0.0
     for _ in range(rounds):
-        outer = np.einsum("sa,sb->sab", left, left).reshape(len(left), -1)
-        right = np.linalg.solve((weight.T @ outer).reshape(-1, rank, rank) + eye, (target.T @ left)[..., None])[..., 0]
-        outer = np.einsum("ta,tb->tab", right, right).reshape(len(right), -1)
-        left = np.linalg.solve((weight @ outer).reshape(-1, rank, rank) + eye, (target @ right)[..., None])[..., 0]
+        outer = np.einsum("sa,sb->sab", left, left).reshape(n_sources, -1)
+        inverse = np.linalg.inv((weight.T @ outer).reshape(-1, rank, rank) + (ridge + smooth * steps)[:, None, None] * eye)
+        pull = target.T @ left
+        for parity in (0, 1, 0, 1, 0, 1):  # even and odd times in turn, as each depends on its neighbours
+            beside = np.zeros_like(right)
+            beside[1:] += right[:-1]
+            beside[:-1] += right[1:]
+            right[parity::2] = np.einsum("tab,tb->ta", inverse[parity::2], (pull + smooth * beside)[parity::2])
+        outer = np.einsum("ta,tb->tab", right, right).reshape(n_times, -1)
+        left = np.linalg.solve((weight @ outer).reshape(-1, rank, rank) + ridge * eye, (target @ right)[..., None])[..., 0]
     return (left @ right.T) * spread[:, None] + centre[:, None], support
 
 
@@ -101,7 +118,7 @@ def cells_of(readings: DataFrame, periods: DataFrame) -> DataFrame:
     )
 
 
-def regular_grid(readings: DataFrame, periods: DataFrame, *, tile_cells: int = 512, tile_sources: int = 256, rank: int = 3) -> DataFrame:
+def regular_grid(readings: DataFrame, periods: DataFrame, *, tile_cells: int = 512, tile_sources: int = 256, rank: int = 24) -> DataFrame:
     """(source, cell_start_sec, value, state) for every period from a source's first to its last usable reading.
 
     ``state`` is ``observed`` (the exact value), ``filled`` (estimated) or ``unsupported`` (no value: the source or the
