@@ -72,18 +72,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = compaction.compact(spark, f"{sf_dir}/datapoints.parquet")
-    return done.rows.select("metric", "new_block", "ts_nanos", "c0", "c1", "c2", "row_id", "block_id", "owner")
+    return done.rows.select("metric", "new_block", "ts_nanos", "fields.c0", "fields.c1", "fields.c2", "row_id", "block_id", "owner")
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = distinct_trades(_table(spark, sf_dir, "trades").select("row_id", "trade_id", "market", "price", "size", "exec_date", "received_at"))
+    trades = distinct_trades(_table(spark, sf_dir, "trades"))
     found = quantiles.exact_percentiles(quantiles.long_values(trades, "market", ["price", "size"]), PROBS)
     return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
 
 
 def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the value counts of single days, combined."""
-    trades = distinct_trades(_table(spark, sf_dir, "trades").select("row_id", "trade_id", "market", "price", "size", "exec_date", "received_at"))
+    trades = distinct_trades(_table(spark, sf_dir, "trades"))
     day = F.date_format("trade_day", "yyyy-MM-dd")
     daily = trades.select(F.struct(F.col("market"), day.alias("day")).alias("key"), "price", "size")
     counts = quantiles.value_counts(quantiles.long_values(daily, "key", ["price", "size"]))
@@ -92,7 +92,7 @@ def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = distinct_trades(_table(spark, sf_dir, "trades").select("row_id", "trade_id", "market", "price", "size", "exec_date", "received_at"))
+    trades = distinct_trades(_table(spark, sf_dir, "trades"))
     exact = {f: F.when(finite(F.col(f)) > 0, finite(F.col(f))).try_cast("decimal(28,10)") for f in ("price", "size")}
     daily = rolling.with_all_days(rolling.daily_totals(trades, "market", "trade_day", exact))
     return rolling.trailing_totals(daily, ["n_rows", "sum_size", "n_size", "sum_price", "n_price"], (7, 30))
@@ -177,6 +177,12 @@ ORACLES: dict[str, str] = {
  SELECT metric, cell * p AS cell_start_sec FROM g ANTI JOIN u USING (metric, cell)""",
     "p3_found": f"""SELECT metric, block_id FROM (SELECT DISTINCT metric, block_id FROM datapoints WHERE block_id IS NOT NULL)
  LEFT JOIN (SELECT metric, block_id, count(*) AS n FROM {_OWNED} GROUP BY ALL) USING (metric, block_id) WHERE coalesce(n, 0) < 64""",
+    "p3_compacted": """WITH s AS (SELECT * FROM datapoints WHERE block_id IS NOT NULL), w AS (SELECT metric, min(ts_nanos) AS lo,
+ greatest(CAST(ceil((max(ts_nanos) - min(ts_nanos) + 1) / greatest(ceil(count(*) / 250000), 1)) AS BIGINT), 1) AS width FROM s GROUP BY metric),
+ k AS (SELECT *, row_number() OVER (PARTITION BY metric, ts_nanos, c0, c1, c2, CASE WHEN ts_nanos IS NULL THEN row_id END ORDER BY block_id, row_id) AS copy,
+ min(block_id) OVER (PARTITION BY metric, ts_nanos) AS first_block FROM s)
+ SELECT metric, CASE WHEN ts_nanos IS NULL THEN 'untimed' ELSE 'cmp' || lpad(CAST((ts_nanos - lo) // width AS VARCHAR), 12, '0') END AS new_block,
+ ts_nanos, c0, c1, c2, row_id, block_id, CASE WHEN ts_nanos IS NOT NULL THEN first_block END AS owner FROM k JOIN w USING (metric) WHERE copy = 1""",
     "p4_percentiles": _percentile_sql(),
     "p4_combined_days": _percentile_sql(),
     "p5_found": f"WITH {_CALENDAR} SELECT market, strftime(d, '%Y-%m-%d') AS trade_day FROM cal ANTI JOIN days USING (market, d)",

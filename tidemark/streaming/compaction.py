@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import materialize, remove_path, scratch_path
 
-KEY = ("metric", "ts_nanos")
+#: What every stored row has; all its other columns are its fields.
+KEYS = ("metric", "ts_nanos", "block_id", "row_id")
 
 
 @dataclass(frozen=True)
 class Compacted:
-    """``rows``: every datapoint once, with its new block; ``stored``: (metric, block_id, n_rows) of the old blocks."""
+    """``rows``: every datapoint once (metric, ts_nanos, block_id, row_id, a struct of its fields, owner, counts, new_block);
+    ``stored``: (metric, block_id, n_rows) of the old blocks.
+    """
 
     rows: DataFrame
     stored: DataFrame
@@ -35,8 +38,10 @@ def _drain(spark: SparkSession, source: str, staging: str, checkpoint: str, byte
     stream = reader.parquet(source) if _is_folder(spark, source) else reader.option("pathGlobFilter", name).parquet(folder)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        persisted = batch.where("block_id is not null").select(*_payload(schema.names))
-        persisted.write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/batch_id={batch_id}")
+        persisted = batch.where("block_id is not null")
+        rest = [F.col(f"`{n}`") for n in schema.names if n not in KEYS] or [F.lit(False).alias("none")]
+        staged = persisted.select(*KEYS, F.struct(*rest).alias("fields"))
+        staged.write.mode("overwrite").option("compression", "zstd").parquet(f"{staging}/batch_id={batch_id}")
 
     query = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -47,21 +52,19 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
 
 
-def _payload(names: list[str]) -> list[str]:
-    return [n for n in names if n != "batch_id"]
-
-
 def compact(
     spark: SparkSession,
     source: str,
     *,
     workspace: str | None = None,
     target_rows: int = 250_000,
+    same_but: tuple[str, ...] = ("ingested_at",),
     bytes_per_batch: int = 1 << 36,
 ) -> Compacted:
     """Compact the datapoints stored under ``source`` (columns metric, ts_nanos, block_id, row_id and any fields).
 
-    A datapoint is a metric, a time and the values of its fields. Stored more than once, it is kept once, from the
+    A datapoint is a metric, a time and the values of its fields, but for ``same_but`` (when it was taken in, for one, isn't
+    part of it). Stored more than once, it is kept once, from the
     smallest block, then the smallest row; genuine ties (one time, different values) are all kept. ``owner`` is the
     smallest block that stores the time at all. Rows without a time can't be identified as copies and are all kept, in
     a block "untimed" of their metric; rows without a ``block_id`` aren't persisted yet and stay with the writer. A
@@ -74,8 +77,7 @@ def compact(
     workspace = workspace or scratch_path(spark, "compaction")
     staging = f"{workspace}/staging"
     _drain(spark, source, staging, f"{workspace}/checkpoint", bytes_per_batch)
-    schema = spark.read.parquet(source).schema
-    staged = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(staging)
+    staged = spark.read.option("recursiveFileLookup", "true").parquet(staging)
 
     stored = materialize(
         staged.groupBy("metric", "block_id").agg(
@@ -92,7 +94,7 @@ def compact(
         ),
         "block-spans",
     )
-    width = F.floor((F.col("ts_nanos") - F.col("s.first")) / F.col("s.width"))
+    width = F.call_function("div", F.col("ts_nanos") - F.col("s.first"), F.col("s.width"))
     sliced = (
         staged.alias("d")
         .join(spans.alias("s"), F.col("d.metric").eqNullSafe(F.col("s.metric")))
@@ -101,8 +103,7 @@ def compact(
         .withColumn("spread", F.when(F.col("slice").isNull(), F.pmod(F.xxhash64("row_id"), F.lit(64))))
         .repartition("metric", "slice", "spread")
     )
-    fields = [n for n in schema.names if n not in ("metric", "ts_nanos", "block_id", "row_id", "ingested_at", "batch_id")]
-    values = [F.col(f) for f in fields]
+    values = [F.col("fields").getField(n) for n in staged.schema["fields"].dataType.names if n not in same_but]
     timed = F.col("ts_nanos").isNotNull()
     copies = Window.partitionBy("metric", "slice", "spread", "ts_nanos", *values, F.when(~timed, F.col("row_id"))).orderBy("block_id", "row_id")
     same_time = Window.partitionBy("metric", "slice", "spread", "ts_nanos").orderBy("block_id", "row_id")
