@@ -140,7 +140,8 @@ def measured(series: DataFrame, chunk_rows: int = 5000) -> DataFrame:
 
     Rows without a time are left out; null, NaN and infinite values are missing. A null source is a source of its own.
     """
-    clean = series.where("ts_nanos is not null").fillna({"source": "\0"})
+    needed = series.select("record_table", "source", "row_id", "ts_nanos", "value1", "value2")
+    clean = needed.where("ts_nanos is not null").fillna({"source": "\0"})
     chunks = _with_chunks(clean, chunk_rows)
     return materialize(chunks.groupBy("record_table", "source", "chunk").applyInArrow(_measure, READING), "deviations")
 
