@@ -1,0 +1,37 @@
+import duckdb
+import pytest
+
+from tidemark.llm import queries
+from tidemark.llm.leaks import find_leaks
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, data_dir, name, rows):
+    got = queries.QUERIES[name](spark, data_dir)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{data_dir}/documents.parquet')")
+    names = ", ".join(sorted(got.columns))
+    assert rows(got.select(*sorted(got.columns))) == sorted(db.execute(f"SELECT {names} FROM ({queries.ORACLES[name]})").fetchall())
+
+
+def test_only_texts_beyond_the_capacity_are_cut(spark, data_dir):
+    cut = {r[0] for r in queries.p7_found(spark, data_dir).collect()}
+    sizes = {r["doc_id"]: r["n_tokens"] for r in queries.p7_assignment(spark, data_dir).groupBy("doc_id").sum("n_tokens").toDF("doc_id", "n_tokens").collect()}
+    assert cut == {d for d, n in sizes.items() if n > 2048}
+    assert len(sizes) == spark.read.parquet(f"{data_dir}/documents.parquet").count()
+
+
+def test_leaks_equal_the_alignment_of_all_pairs(spark, data_dir):
+    from tidemark.llm.leaks import longest_passage, words_of
+
+    documents = [(r["doc_id"], words_of(r["text"] or "")) for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()]
+    items = [(r["item_id"], words_of(r["passage"] or "")) for r in spark.read.parquet(f"{data_dir}/eval_items.parquet").collect()]
+    expected = set()
+    for doc, text in documents:
+        pairs = set(zip(text, text[1:], strict=False))
+        for item, passage in items:
+            # 25 words with 3 changed keep at least 18 of their pairs
+            if len(pairs & set(zip(passage, passage[1:], strict=False))) >= 12 and longest_passage(passage, text, 25, 8):
+                expected.add((doc, item))
+    got = find_leaks(spark.read.parquet(f"{data_dir}/documents.parquet"), spark.read.parquet(f"{data_dir}/eval_items.parquet"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == expected

@@ -28,7 +28,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans.shared_stretches(_table(spark, sf_dir, "documents"))
+    """The stretches themselves; which document shares one is left out, as there may be several."""
+    return shared_spans.shared_stretches(_table(spark, sf_dir, "documents")).drop("other")
 
 
 def p9_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,4 +42,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_assignment, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
 
-ORACLES: dict[str, str] = {}
+# Every window of 150 characters of every text, and those that occur in more than one document.
+_WINDOWS = """w AS (SELECT doc_id, i AS start, substr(text, CAST(i AS BIGINT) + 1, 150) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
+ s AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)), m AS (SELECT doc_id, start FROM w SEMI JOIN s USING (t)),
+ r AS (SELECT doc_id, min(start) AS start, max(start) + 150 - min(start) AS length FROM (SELECT *, start - row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM m) GROUP BY doc_id, k)"""
+
+ORACLES: dict[str, str] = {
+    "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM m",
+    "p9_stretches": f"WITH {_WINDOWS} SELECT doc_id, start, length FROM r",
+    "p9_parts": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, sum(length - greatest(coalesce(before, start) - start, 0)) AS shared_chars, count(*) AS stretches
+ FROM (SELECT *, max(start + length) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) GROUP BY doc_id)
+ SELECT doc_id, length(text) AS n_chars, coalesce(CAST(shared_chars AS BIGINT), 0) AS shared_chars, coalesce(stretches, 0) AS stretches
+ FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL""",
+}
