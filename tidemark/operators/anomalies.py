@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import NANOS
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize
 
 #: Readings around a reading that its deviation is measured against, on either side.
 REACH = 10
@@ -109,8 +109,10 @@ def _measure(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out, names)
 
 
-def _with_chunks(series: DataFrame, chunk_rows: int) -> DataFrame:
-    """The series with their chunk, and the rows near a chunk's end once more in the neighbour, as its margin."""
+def _with_chunks(series: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The series with their chunk, and the rows near a chunk's end once more in the neighbour, as its margin; and the
+    table of the series' spans, which they read.
+    """
     spans = series.groupBy("record_table", "source").agg(
         F.min("ts_nanos").alias("first"),
         F.greatest(
@@ -130,9 +132,10 @@ def _with_chunks(series: DataFrame, chunk_rows: int) -> DataFrame:
         F.when(F.col("within") < F.col("edge"), F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("margin"))),
         F.when(F.col("within") >= F.col("width") - F.col("edge"), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("margin"))),
     )
-    return placed.select(
+    chunked = placed.select(
         "record_table", "source", "row_id", "ts_nanos", "value1", "value2", F.explode(F.filter(near, lambda x: x.isNotNull())).alias("at")
     ).select("record_table", "source", "row_id", "ts_nanos", "value1", "value2", "at.chunk", "at.margin")
+    return chunked, spans
 
 
 def measured(series: DataFrame, chunk_rows: int = 5000) -> DataFrame:
@@ -142,8 +145,10 @@ def measured(series: DataFrame, chunk_rows: int = 5000) -> DataFrame:
     """
     needed = series.select("record_table", "source", "row_id", "ts_nanos", "value1", "value2")
     clean = needed.where("ts_nanos is not null").fillna({"source": "\0"})
-    chunks = _with_chunks(clean, chunk_rows)
-    return materialize(chunks.groupBy("record_table", "source", "chunk").applyInArrow(_measure, READING), "deviations")
+    chunks, spans = _with_chunks(clean, chunk_rows)
+    out = materialize(chunks.groupBy("record_table", "source", "chunk").applyInArrow(_measure, READING), "deviations")
+    discard(spans)
+    return out
 
 
 def _iqr(sketch: str) -> Column:
@@ -182,7 +187,9 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
         *[F.try_divide(F.col(f"change{k}"), F.col(f"runs{k}")).alias(f"short{k}") for k in ("1", "2")],
     )
     here = hourly.select(*keys, "hour", "n1", "n2", *[F.when(F.col(f"n{k}") > 0, _iqr(f"dev{k}")).alias(f"iqr{k}") for k in ("1", "2")])
-    return materialize(here.join(whole, keys), "normal-ranges")
+    out = materialize(here.join(whole, keys), "normal-ranges")
+    discard(hourly)
+    return out
 
 
 def flagged(readings: DataFrame, fields: dict[str, tuple[str, str]], limits: dict[str, Limits]) -> DataFrame:

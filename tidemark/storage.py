@@ -44,7 +44,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` has written, once nothing that is still to be computed reads them."""
+    for table in tables:
+        remove_path(table.sparkSession, table._tidemark_path)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import materialize, remove_path, scratch_path
+from tidemark.storage import discard, materialize, remove_path, scratch_path
 
 #: What every stored row has; all its other columns are its fields.
 KEYS = ("metric", "ts_nanos", "block_id", "row_id")
@@ -117,6 +117,7 @@ def compact(
         .sortWithinPartitions("metric", "ts_nanos")
     )
     rows = materialize(kept, "compacted")
+    discard(spans)
     if not lasting:
         remove_path(spark, workspace)
     return Compacted(rows, stored.select("metric", "block_id", "n_rows"))
