@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import mix, prefix_hash, stretch_hash
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize
 
 SHINGLE = 5
 #: Up to so many item shingles (16 bytes each) are broadcast; beyond, both sides are shuffled.
@@ -188,6 +188,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 25, p
     near = shared.withColumn("lane", F.explode(F.array(F.floor(F.col("shift") / 16), F.floor(F.col("shift") / 16) - 1)))
     lanes = near.groupBy("doc_id", "item_id", "lane").agg(F.count_distinct("place").alias("n"), F.min("shift").alias("shift")).where(F.col("n") >= kept)
     bounded = materialize(lanes.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")), "bounded-pairs")
+    discard(held, met, necessary)
     return (
         bounded.join(texts, "doc_id")
         .join(passages, "item_id")

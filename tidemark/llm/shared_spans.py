@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import code_points, mix, prefix_hash, sliding_min, stretch_hash
-from tidemark.storage import materialize
+from tidemark.storage import discard, materialize
 
 ANCHOR = 50
 #: Bits of a position in the packed (hash, position) minima: texts of up to 2**30 characters.
@@ -129,13 +129,15 @@ def shared_windows(documents: DataFrame, span: int = 150) -> DataFrame:
     low_high = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     seeds = materialize(texts.mapInArrow(_seed_rows(span), bigints(SEED)), "seeds")
     # groups are told by their least and greatest document, combined on the map side: frequent ones do no harm
-    anchors = seeds.groupBy("anchor").agg(*low_high).where("low < high").select("anchor")
-    joined = materialize(seeds.join(materialize(anchors, "anchors"), "anchor"), "joined-seeds")
+    anchors = materialize(seeds.groupBy("anchor").agg(*low_high).where("low < high").select("anchor"), "anchors")
+    joined = materialize(seeds.join(anchors, "anchor"), "joined-seeds")
+    discard(seeds, anchors)
 
     runs = materialize(joined.groupBy("anchor", "run").agg(*low_high), "runs")
     several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("open"))
     judged = joined.join(runs.join(several, "anchor", "left").where("low < high or open"), ["anchor", "run"])
     judged = materialize(judged, "judged-seeds")
+    discard(joined, runs)
     other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
     settled = judged.where("low < high").select("doc_id", "first", "last", other.alias("other"))
 
