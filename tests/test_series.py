@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
-from tidemark.functions.timestamps import format_nanos, nanos_to_date, rfc3339_nanos
+from tidemark.functions.timestamps import format_nanos, nanos_to_date, rfc3339_nanos, timestamp_nanos
 from tidemark.operators import series
 from tidemark.plans.analyze import Limit, TimeRange
 from tidemark.plans.grammar import QueryError
@@ -89,6 +89,17 @@ def test_formatting_is_exact_and_free_of_the_session_zone(spark):
     assert shown[2][0] == "1970-01-01T00:00:00.000000000Z"
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zoneless_times_do_not_depend_on_the_session(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.sql("select timestamp_ntz'2021-07-01 12:34:56.789012' t, date'1969-12-31' d, timestamp_ntz'2021-03-14 02:30:00' gap")
+        got = df.select(timestamp_nanos(F.col("t"), "timestamp_ntz"), timestamp_nanos(F.col("d"), "date"), timestamp_nanos(F.col("gap"), "timestamp_ntz")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(got) == (1_625_142_896_789_012_000, -86_400 * 10**9, 1_615_689_000 * 10**9)
+
+
 SCHEMA = "ts_nanos bigint, c0 double, c1 double"
 T0 = 1_629_745_451_715_000_000
 

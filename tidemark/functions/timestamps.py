@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 NANOS = 1_000_000_000
+UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Z", "+00:00"}
 
 
 def rfc3339_nanos(text: Column) -> Column:
@@ -48,12 +49,17 @@ def epoch_nanos(value: Column) -> Column:
 
 def timestamp_nanos(column: Column, kind: str) -> Column:
     """LONG nanoseconds of a timestamp (with or without zone), date, RFC3339 text or LONG epoch column, by its type name."""
-    if kind in ("timestamp_ntz", "timestamp", "date"):
-        # the difference of two zoneless timestamps doesn't depend on the session's time zone
-        if kind == "timestamp":
-            return F.try_multiply(F.unix_micros(column), F.lit(1_000).cast("bigint"))
-        since = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column.cast("timestamp_ntz"))
-        return F.try_multiply(since, F.lit(1_000).cast("bigint"))
+    if kind in ("timestamp_ntz", "date"):
+        # a zoneless time counts from a zoneless epoch, as a cast would bring in the session's time zone
+        since = column.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+        part = lambda unit: F.extract(F.lit(unit), since).cast("bigint")
+        micros = F.extract(F.lit("SECOND"), since) * F.lit(1_000_000)
+        seconds = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+        zone = SparkSession.active().conf.get("spark.sql.session.timeZone")
+        exact = seconds * F.lit(60_000_000).cast("bigint") + micros.cast("bigint")
+        return F.try_multiply(F.unix_micros(column.cast("timestamp")) if zone in UTC_NAMES else exact, F.lit(1_000).cast("bigint"))
+    if kind == "timestamp":
+        return F.try_multiply(F.unix_micros(column), F.lit(1_000).cast("bigint"))
     return rfc3339_nanos(column) if kind == "string" else column.cast("bigint")
 
 
