@@ -11,6 +11,7 @@ from tidemark.operators import series
 from tidemark.plans.analyze import Limit, TimeRange
 from tidemark.plans.grammar import QueryError
 from tidemark.sources.database import Database
+from tidemark.sources.json_trades import read_trades
 from tidemark.sources.store import WritableStore
 from tidemark.streaming.ingest import ingest, waiting
 
@@ -289,3 +290,19 @@ def test_outputs(engine, tmp_path, spark):
     engine.run(head.format(f"format = json, output_file = '{path}'"))
     assert json.loads(path.read_text()) == got
     assert engine.run(head.format("output_to_memory")).count() == 10
+
+
+def test_trades_from_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text(
+        json.dumps(
+            [
+                {"exec_date": "2021-09-27T09:42:40.741778Z", "side": "BUY", "price": 5.0, "size": 0.1},
+                {"exec_date": "2021-09-27T18:42:41.1234567+09:00", "side": " sell", "price": 4.0, "size": 0.2, "id": 7},
+                {"exec_date": "soon", "side": "BUY", "price": 1.0, "size": 1.0},
+                {"exec_date": "2021-09-27T09:42:42Z", "price": 3},
+            ]
+        )
+    )
+    base = 1_632_735_760 * 10**9
+    got = [tuple(r) for r in series.ordered(read_trades(spark, str(tmp_path))).collect()]
+    assert got == [(base + 741_778_000, True, 5.0, 0.1), (base + 1_123_456_700, False, 4.0, 0.2), (base + 2 * 10**9, None, 3.0, None)]
