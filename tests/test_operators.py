@@ -72,8 +72,7 @@ def test_factorisation_beats_the_median_on_held_out_cells():
 def flags(spark, series, limits=None, chunk_rows=5000):
     df = spark.createDataFrame(series, "source string, row_id bigint, ts_nanos bigint, value1 double, value2 double")
     df = df.select(F.lit("t").alias("record_table"), "*", F.lit("clash").alias("chunk"), F.lit(0).alias("width"))
-    readings = anomalies.measured(df, chunk_rows)
-    out = anomalies.flagged(readings, {"t": ("x", "y")}, {"t": limits or anomalies.Limits()})
+    out = anomalies.flagged(*anomalies.measured(df, chunk_rows), {"t": ("x", "y")}, {"t": limits or anomalies.Limits()})
     return sorted((r["record_field"], r["row_id"], r["reason"]) for r in out.collect())
 
 

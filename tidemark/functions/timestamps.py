@@ -15,15 +15,13 @@ def rfc3339_nanos(text: Column) -> Column:
     A text without an offset is UTC. Null, empty or unreadable texts and instants beyond the LONG range give null.
     """
     upper = F.upper(F.trim(text))
-    fraction = F.regexp_extract(upper, r"\.(\d{1,9})", 1)
-    whole = F.regexp_replace(upper, r"\.\d+", "")
-    whole = F.when(whole.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), whole).otherwise(F.concat(whole, F.lit("Z")))
+    tail = F.substring(upper, 20, 40)  # behind the whole seconds; what remains for patterns is short
+    fraction = F.regexp_extract(tail, r"^\.(\d{1,9})", 1)
+    zone = F.regexp_extract(tail, r"([+-]\d{2}:?\d{2})$", 1)
+    whole = F.concat(F.substring(upper, 1, 19), F.when(zone == "", F.lit("Z")).otherwise(zone))
     seconds = F.unix_seconds(F.try_to_timestamp(whole))
-    sub = F.when(F.length(fraction) > 0, F.rpad(fraction, 9, "0").cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    return F.when(
-        whole.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2})?"),
-        F.try_add(F.try_multiply(seconds, F.lit(NANOS).cast("bigint")), sub),
-    )
+    nanos = F.try_add(F.try_multiply(seconds, F.lit(NANOS).cast("bigint")), F.rpad(fraction, 9, "0").cast("bigint"))
+    return F.when(tail.rlike(r"^(\.\d+)?(Z|[+-]\d{2}:?\d{2})?$") & (F.length(upper) >= 19), nanos)
 
 
 def floor_div(value: Column, by: int) -> Column:

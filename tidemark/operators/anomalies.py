@@ -85,7 +85,7 @@ def _field(order: np.ndarray, ts: np.ndarray, values: np.ndarray) -> tuple[np.nd
 
 
 READING = (
-    "record_table string, source string, row_id bigint, hour int, value1 float, deviation1 float, jump1 float, run1 int, "
+    "series bigint, row_id bigint, hour int, value1 float, deviation1 float, jump1 float, run1 int, "
     "changed1 boolean, value2 float, deviation2 float, jump2 float, run2 int, changed2 boolean"
 )
 
@@ -96,8 +96,8 @@ def _measure(table: pa.Table) -> pa.Table:
     order = np.argsort(ts, kind="stable")
     own = ~table.column("margin").to_numpy(zero_copy_only=False)
     keep = pa.array(own)
-    out = [table.column(c).filter(keep) for c in ("record_table", "source", "row_id")]
-    names = ["record_table", "source", "row_id", "hour"]
+    out = [table.column(c).filter(keep) for c in ("series", "row_id")]
+    names = ["series", "row_id", "hour"]
     out.append(pa.array((ts[own] // (3600 * NANOS) % 24).astype(np.int32)))
     for k in ("1", "2"):
         values = table.column("value" + k).to_numpy(zero_copy_only=False).astype(float)
@@ -109,46 +109,37 @@ def _measure(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out, names)
 
 
-def _with_chunks(series: DataFrame, chunk_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The series with their chunk, and the rows near a chunk's end once more in the neighbour, as its margin; and the
-    table of the series' spans, which they read.
+def measured(series: DataFrame, chunk_rows: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """The readings (:data:`READING`) of ``series`` (record_table, source, row_id, ts_nanos, value1, value2), and the table of
+    series: (record_table, source, series), whose numbers stand for the names in all that follows.
+
+    Rows without a time are left out; null, NaN and infinite values are missing. A null source is a source of its own.
     """
-    spans = series.groupBy("record_table", "source").agg(
+    needed = series.select("record_table", F.coalesce("source", F.lit("\0")).alias("source"), "row_id", "ts_nanos", "value1", "value2")
+    clean = needed.where("ts_nanos is not null")
+    spans = clean.groupBy("record_table", "source").agg(
         F.min("ts_nanos").alias("first"),
         F.greatest(
             F.ceil((F.max("ts_nanos") - F.min("ts_nanos") + 1) / F.ceil(F.count(F.lit(1)) / chunk_rows)), F.lit(MARGIN).cast("bigint")
         ).alias("width"),
     )
-    spans = materialize(spans, "series-spans")
-    offset = F.expr("ts_nanos - first")
+    spans = materialize(spans.withColumn("series", F.monotonically_increasing_id()), "series")
     placed = (
-        series.join(spans, ["record_table", "source"])
+        clean.join(spans, ["record_table", "source"])
         .withColumn("chunk", F.expr("(ts_nanos - first) div width"))
-        .withColumn("within", offset - F.col("chunk") * F.col("width"))
+        .withColumn("within", F.expr("ts_nanos - first - chunk * width"))
         .withColumn("edge", F.expr(f"width div {MARGIN}"))
     )
+    # the rows near a chunk's end are there once more in the neighbour, as its margin
     near = F.array(
         F.struct(F.col("chunk"), F.lit(False).alias("margin")),
         F.when(F.col("within") < F.col("edge"), F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("margin"))),
         F.when(F.col("within") >= F.col("width") - F.col("edge"), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("margin"))),
     )
-    chunked = placed.select(
-        "record_table", "source", "row_id", "ts_nanos", "value1", "value2", F.explode(F.filter(near, lambda x: x.isNotNull())).alias("at")
-    ).select("record_table", "source", "row_id", "ts_nanos", "value1", "value2", "at.chunk", "at.margin")
-    return chunked, spans
-
-
-def measured(series: DataFrame, chunk_rows: int = 5000) -> DataFrame:
-    """The readings of :data:`READING` for ``series`` (record_table, source, row_id, ts_nanos, value1, value2).
-
-    Rows without a time are left out; null, NaN and infinite values are missing. A null source is a source of its own.
-    """
-    needed = series.select("record_table", "source", "row_id", "ts_nanos", "value1", "value2")
-    clean = needed.where("ts_nanos is not null").fillna({"source": "\0"})
-    chunks, spans = _with_chunks(clean, chunk_rows)
-    out = materialize(chunks.groupBy("record_table", "source", "chunk").applyInArrow(_measure, READING), "deviations")
-    discard(spans)
-    return out
+    values = ("series", "row_id", "ts_nanos", "value1", "value2")
+    chunks = placed.select(*values, F.explode(F.filter(near, lambda x: x.isNotNull())).alias("at")).select(*values, "at.chunk", "at.margin")
+    readings = materialize(chunks.groupBy("series", "chunk").applyInArrow(_measure, READING), "deviations")
+    return readings, spans.select("record_table", "source", "series")
 
 
 def _iqr(sketch: str) -> Column:
@@ -157,11 +148,11 @@ def _iqr(sketch: str) -> Column:
 
 
 def normal_ranges(readings: DataFrame) -> DataFrame:
-    """Per record_table, source and hour: the interquartile ranges of deviations and values, and the part that changes.
+    """Per series and hour: the interquartile ranges of deviations and values, and the part that changes.
 
-    One sketch of each is kept per source and hour and merged over the hours for the source as a whole.
+    One sketch of each is kept per series and hour and merged over the hours for the series as a whole.
     """
-    keys = ["record_table", "source"]
+    keys = ["series"]
     aggs = []
     for k in ("1", "2"):
         loose = F.col(f"run{k}") <= 10
@@ -192,33 +183,36 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
     return out
 
 
-def flagged(readings: DataFrame, fields: dict[str, tuple[str, str]], limits: dict[str, Limits]) -> DataFrame:
+def flagged(readings: DataFrame, series: DataFrame, fields: dict[str, tuple[str, str]], limits: dict[str, Limits]) -> DataFrame:
     """(record_table, record_field, row_id, reason) of the readings that are spikes or stuck.
 
-    ``fields`` names value1 and value2 of each record table. Where an hour of a source has fewer than
-    ``min_context`` readings the source's merged sketch is used; a source with fewer than ``min_readings`` has no
-    normal range and no spikes.
+    ``readings`` and ``series`` are those of :func:`measured`; ``fields`` names value1 and value2 of each record table.
+    Where an hour of a source has fewer than ``min_context`` readings the source's merged sketch is used; a source with
+    fewer than ``min_readings`` has no normal range and no spikes.
     """
-    out = None
-    ranges = normal_ranges(readings)
-    for name, lim in limits.items():
-        rows = readings.where(F.col("record_table") == name).join(
-            ranges.where(F.col("record_table") == name).drop("record_table"), ["source", "hour"]
-        )
-        verdicts = []
-        for i, k in enumerate(("1", "2")):
-            iqr = F.when(F.col(f"n{k}") >= lim.min_context, F.col(f"iqr{k}")).otherwise(F.col(f"all_dev{k}"))
-            restless = (F.coalesce(F.col(f"rate{k}"), F.lit(1.0)) >= lim.min_change) & (F.coalesce(F.col(f"short{k}"), F.lit(1.0)) >= lim.min_change)
-            holds = (F.col(f"all_dev{k}") <= 0) | (F.col(f"rate{k}") < 0.3)
-            fence = F.when(holds, lim.hold_fence * F.col(f"all_val{k}")).otherwise(lim.fence[i] * iqr)
-            spike = (F.abs(f"jump{k}") > fence) & (fence > 0) & (F.col(f"all_n{k}") >= lim.min_readings)
-            stuck = (F.col(f"run{k}") > lim.max_run) & restless & F.lit(lim.frozen[i])
-            reason = F.when(spike, F.lit("spike")).when(stuck, F.lit("stuck"))
-            verdicts.append(F.struct(F.lit(fields[name][i]).alias("record_field"), reason.alias("reason")))
-        found = rows.select("record_table", "row_id", F.explode(F.array(*verdicts)).alias("x")).where("x.reason is not null")
-        found = found.select("record_table", "x.record_field", "row_id", "x.reason")
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = readings.join(normal_ranges(readings).join(series, "series"), ["series", "hour"])
+
+    def of(value) -> Column:
+        """A limit or name that depends on the record table."""
+        out = F.lit(None)
+        for name in limits:
+            out = F.when(F.col("record_table") == name, F.lit(value(name))).otherwise(out)
+        return out
+
+    verdicts = []
+    for i, k in enumerate(("1", "2")):
+        iqr = F.when(F.col(f"n{k}") >= of(lambda t: limits[t].min_context), F.col(f"iqr{k}")).otherwise(F.col(f"all_dev{k}"))
+        rate, short = (F.coalesce(F.col(f"{c}{k}"), F.lit(1.0)) for c in ("rate", "short"))
+        least = of(lambda t: limits[t].min_change)
+        restless = (rate >= least) & (short >= least)
+        holds = (F.col(f"all_dev{k}") <= 0) | (rate < 0.3)
+        fence = F.when(holds, of(lambda t: limits[t].hold_fence) * F.col(f"all_val{k}")).otherwise(of(lambda t, i=i: limits[t].fence[i]) * iqr)
+        spike = (F.abs(f"jump{k}") > fence) & (fence > 0) & (F.col(f"all_n{k}") >= of(lambda t: limits[t].min_readings))
+        stuck = (F.col(f"run{k}") > of(lambda t: limits[t].max_run)) & restless & of(lambda t, i=i: limits[t].frozen[i])
+        reason = F.when(spike, F.lit("spike")).when(stuck, F.lit("stuck"))
+        verdicts.append(F.struct(of(lambda t, i=i: fields[t][i]).alias("record_field"), reason.alias("reason")))
+    found = rows.select("record_table", "row_id", F.explode(F.array(*verdicts)).alias("x")).where("x.reason is not null")
+    return found.select("record_table", "x.record_field", "row_id", "x.reason")
 
 
 def impossible(rows: DataFrame, record_table: str, tests: dict[str, Column]) -> DataFrame:

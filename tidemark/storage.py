@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     driver and executors are one process; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", "")
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
