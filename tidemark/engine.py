@@ -14,6 +14,7 @@ from tidemark.plans.grammar import parse
 from tidemark.plans.output import emit
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.store import WritableStore
+from tidemark.storage import ship
 
 
 class Engine:
@@ -34,6 +35,7 @@ class Engine:
         cache: bool = False,
     ) -> None:
         self.spark, self.now, self.legacy_granule, self.cache = spark, now, legacy_granule, cache
+        ship(spark)
         self.catalog = Catalog.from_specs(spark, databases, default_database)
 
     def analyze(self, text: str) -> SeriesQuery | MetaQuery:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import NANOS
-from tidemark.storage import discard, materialize
+from tidemark.storage import discard, materialize, ship
 
 #: Readings around a reading that its deviation is measured against, on either side.
 REACH = 10
@@ -115,6 +115,7 @@ def measured(series: DataFrame, chunk_rows: int = 5000) -> tuple[DataFrame, Data
 
     Rows without a time are left out; null, NaN and infinite values are missing. A null source is a source of its own.
     """
+    ship(series.sparkSession)
     needed = series.select("record_table", F.coalesce("source", F.lit("\0")).alias("source"), "row_id", "ts_nanos", "value1", "value2")
     clean = needed.where("ts_nanos is not null")
     spans = clean.groupBy("record_table", "source").agg(

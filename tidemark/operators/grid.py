@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import NANOS, finite
-from tidemark.storage import materialize
+from tidemark.storage import materialize, ship
 
 OBSERVED, FILLED, UNSUPPORTED = "observed", "filled", "unsupported"
 #: What an estimate needs: observations of its source in the matrix, and periods to the nearest of them.
@@ -125,6 +125,7 @@ def regular_grid(readings: DataFrame, periods: DataFrame, *, tile_cells: int = 5
     time has too few observations in its matrix to estimate from). Readings of sources without a period have no grid;
     null sources are left out; an empty input gives an empty result.
     """
+    ship(readings.sparkSession)
     cells = materialize(cells_of(readings, periods), "grid-cells")
     spans = materialize(
         cells.groupBy("source", "period_sec").agg(F.min("cell").alias("first_cell"), F.max("cell").alias("last_cell")), "grid-spans"

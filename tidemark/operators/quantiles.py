@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import finite
-from tidemark.storage import materialize
+from tidemark.storage import materialize, ship
 
 
 def long_values(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
@@ -70,6 +70,7 @@ def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     number: a salt in the sort key lets the range partitioner split equal values over partitions.
     """
     spark = long.sparkSession
+    ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*long.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
     ordered = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import floor_div
 from tidemark.plans.analyze import Limit, TimeRange
+from tidemark.storage import ship
 
 TS = "ts_nanos"
 #: Nanoseconds of a storage bucket (10**5 seconds).
@@ -75,6 +76,7 @@ def limit_distinct(df: DataFrame, limit: Limit) -> DataFrame:
     """
     if limit.n <= 0:
         return df.where(F.lit(False))
+    ship(df.sparkSession)
     last = limit.side == "tail"
     times = df.where(F.col(TS).isNotNull()).select(TS).mapInArrow(_few_distinct(limit.n, last), f"{TS} bigint").distinct()
     edge = times.orderBy(F.col(TS).desc() if last else F.col(TS).asc()).limit(limit.n)

@@ -1,14 +1,35 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables in the folder that all executors share, and the package itself for their Python workers."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that they need no installation of it.
+
+    To be called before a function is handed to Spark, as functions take along the files known by then.
+    """
+    sc, package = spark.sparkContext, Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not package.is_dir():
+        return
+    folder = tempfile.TemporaryDirectory(prefix="tidemark-package-")
+    atexit.register(folder.cleanup)
+    archive = f"{folder.name}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
