@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import mix, prefix_hash, stretch_hash
-from tidemark.storage import discard, materialize
+from tidemark.storage import discard, materialize, ship
 
 SHINGLE = 5
 #: Up to so many item shingles (16 bytes each) are broadcast; beyond, both sides are shuffled.
@@ -159,7 +159,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 25, p
     ``min_words`` words, leak nothing; rows with a null id are left out; an empty side gives an empty result. A passage
     listed under several items is reported for each.
     """
-    spark = documents.sparkSession
+    ship(documents.sparkSession)
     texts, passages = documents.select("doc_id", "text"), items.select("item_id", "passage")
     changes = min_words // per_change
     kept = max(1, min_words - SHINGLE + 1 - SHINGLE * changes)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.storage import materialize
+from tidemark.storage import materialize, ship
 
 # Fixed value: the split pattern that belongs to the public byte-level vocabulary.
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,6 +50,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
                 sizes.append(sum(len(encode(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
+    ship(documents.sparkSession)
     return documents.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
 
 
@@ -161,6 +162,7 @@ def assign_containers(tokens: DataFrame, capacity: int = 2048, rows_per_task: in
     take no room and lie in container 0. Repeated rows are packed as often as they occur; an empty input gives an
     empty result. The table of sizes has at most ``capacity`` rows, whatever the input, and is all that the driver sees.
     """
+    ship(tokens.sparkSession)
     pieces = materialize(pieces_of(tokens, capacity), "pieces")
     table = pieces.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).collect()
     counts = np.zeros(capacity + 1, np.int64)

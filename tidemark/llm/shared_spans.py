@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import code_points, mix, prefix_hash, sliding_min, stretch_hash
-from tidemark.storage import discard, materialize
+from tidemark.storage import discard, materialize, ship
 
 ANCHOR = 50
 #: Bits of a position in the packed (hash, position) minima: texts of up to 2**30 characters.
@@ -124,6 +124,7 @@ def shared_windows(documents: DataFrame, span: int = 150) -> DataFrame:
 
     Runs of a document may overlap and aren't merged; :func:`shared_stretches` does that.
     """
+    ship(documents.sparkSession)
     texts = documents.select("doc_id", "text")
     bigints = lambda names: ", ".join(f"{n} bigint" for n in names)
     low_high = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
