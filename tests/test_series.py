@@ -72,10 +72,11 @@ def test_block_stats_and_rows(ties):
 
 
 def test_rfc3339(spark, rows):
-    texts = ["2021-01-01T00:00:00.1251482Z", "2021-01-01 01:00:00.5+01:00", "2021-01-01t00:00:00z", "2021-01-01T00:00:00", "x", "", None]
+    good = ["2021-01-01T00:00:00.1251482Z", "2021-01-01 01:00:00.5+01:00", "2021-01-01t00:00:00z", "2021-01-01T00:00:00", "2020-12-31T19:00:00.000000001-05:00", "2021-01-01T09:00:00+0900"]
+    texts = good + ["x", "", None, "2021-01-01", "2021-01-01T00:00:00.5+9:00", "2021-01-01T00:00:00ZZ", "2021-01-01T00:00:00.Z5", "2021-13-01T00:00:00Z", "2021-01-01T00:00:001Z", "9999-01-01T00:00:00Z"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", rfc3339_nanos(F.col("t")))
     base = 1_609_459_200 * 10**9
-    assert [r[1] for r in rows(df)] == [base + 125_148_200, base + 500_000_000, base, base, None, None, None]
+    assert [r[1] for r in rows(df)] == [base + 125_148_200, base + 500_000_000, base, base, base + 1, base] + [None] * 10
 
 
 def test_formatting_is_exact_and_free_of_the_session_zone(spark):
