@@ -199,9 +199,9 @@ def test_percentiles_are_exact_whatever_the_ties(spark):
     rows = [("hot", 7.0 if rng.random() < 0.5 else round(rng.gauss(0, 9), 1), "clash", 0) for _ in range(3000)]
     rows += [(rng.choice("abc"), rng.random(), "clash", 0) for _ in range(200)] + [(None, 1.0, "", 0), (None, 3.0, "", 0), ("one", 5.0, "", 0)]
     rows += [("a", x, "", 0) for x in (None, NAN, INF, -INF)] + [("empty", None, "", 0), ("zero", -0.0, "", 0), ("zero", 0.0, "", 0)]
-    df = spark.createDataFrame(rows, "g string, v double, part string, n int").repartition(5)
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, v double, part string, n int, salt bigint").repartition(5)
     probs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-    long = quantiles.long_values(df, "g", ["v"])
+    long = quantiles.long_values(df, "g", ["v"], "salt")
     held = defaultdict(list)
     for g, v, *_ in rows:
         if v is not None and math.isfinite(v):

@@ -13,7 +13,7 @@ spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.ui.
 from tidemark.operators import quantiles, series
 from tidemark.plans.analyze import Limit
 df = spark.range(1000).selectExpr("id as ts_nanos", "'a' as g", "cast(id as double) v")
-print("RESULT", [r["value"] for r in quantiles.exact_percentiles(quantiles.long_values(df, "g", ["v"]), [0.5]).collect()], series.limit_distinct(df, Limit("tail", 2)).count())
+print("RESULT", [r["value"] for r in quantiles.exact_percentiles(quantiles.long_values(df, "g", ["v"], "ts_nanos"), [0.5]).collect()], series.limit_distinct(df, Limit("tail", 2)).count())
 """
 
 

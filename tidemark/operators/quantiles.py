@@ -23,19 +23,23 @@ from tidemark.functions.timestamps import finite
 from tidemark.storage import materialize, ship
 
 
-def long_values(df: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
-    """(grp, field, value, weight) of every finite value; null, NaN and infinite values have no rank and are left out."""
+def long_values(df: DataFrame, group: str, values: Sequence[str], row_key: str) -> DataFrame:
+    """(grp, field, value, weight, salt) of every finite value; null, NaN and infinite values have no rank and are left out.
+
+    The salt comes from ``row_key``, a column that tells rows apart, so that equal values can be spread over partitions in
+    a way that a repeated task repeats.
+    """
     pairs = F.array(*[F.struct(F.lit(v).alias("field"), finite(F.col(v).cast("double")).alias("value")) for v in values])
     return (
-        df.select(F.col(group).alias("grp"), F.explode(pairs).alias("x"))
+        df.select(F.col(group).alias("grp"), F.explode(pairs).alias("x"), F.pmod(F.xxhash64(row_key), F.lit(65_536)).cast("int").alias("salt"))
         .where("x.value is not null")
-        .select("grp", "x.field", (F.col("x.value") + F.lit(0.0)).alias("value"), F.lit(1).cast("bigint").alias("weight"))
+        .select("grp", "x.field", (F.col("x.value") + F.lit(0.0)).alias("value"), F.lit(1).cast("bigint").alias("weight"), "salt")
     )
 
 
 def value_counts(long: DataFrame) -> DataFrame:
-    """The mergeable summary of a portion: how often each value occurs in each group."""
-    return long.groupBy("grp", "field", "value").agg(F.sum("weight").alias("weight"))
+    """The mergeable summary of a portion: how often each value occurs in each group. Its rows need no salt."""
+    return long.groupBy("grp", "field", "value").agg(F.sum("weight").alias("weight"), F.lit(0).alias("salt"))
 
 
 def _number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +68,7 @@ def _number_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     """(grp, field, n, prob, value) for each group, field and probability in ``probs``.
 
-    ``long`` has (grp, field, value, weight); see :func:`long_values` and :func:`value_counts`. The value is
+    ``long`` has (grp, field, value, weight, salt); see :func:`long_values` and :func:`value_counts`. The value is
     ``lo + (hi - lo) * fraction`` of the order statistics around position ``prob * (n - 1)``. A null group is a group
     of its own; a group without finite values has no row; an empty input gives an empty result. Ties may be of any
     number: a salt in the sort key lets the range partitioner split equal values over partitions.
@@ -72,10 +76,9 @@ def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     spark = long.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    schema = T.StructType([*long.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
+    schema = T.StructType([*long.drop("salt").schema.fields, T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType())])
     ordered = (
-        long.withColumn("salt", (F.rand(7) * 65536).cast("int"))
-        .repartitionByRange(parts, "grp", "field", "value", "salt")
+        long.repartitionByRange(parts, "grp", "field", "value", "salt")
         .sortWithinPartitions("grp", "field", "value")
         .drop("salt")
         .withColumn("part", F.spark_partition_id())

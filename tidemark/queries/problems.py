@@ -77,7 +77,7 @@ def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = distinct_trades(_table(spark, sf_dir, "trades"))
-    found = quantiles.exact_percentiles(quantiles.long_values(trades, "market", ["price", "size"]), PROBS)
+    found = quantiles.exact_percentiles(quantiles.long_values(trades, "market", ["price", "size"], "row_id"), PROBS)
     return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
 
 
@@ -85,8 +85,8 @@ def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same from the value counts of single days, combined."""
     trades = distinct_trades(_table(spark, sf_dir, "trades"))
     day = F.date_format("trade_day", "yyyy-MM-dd")
-    daily = trades.select(F.struct(F.col("market"), day.alias("day")).alias("key"), "price", "size")
-    counts = quantiles.value_counts(quantiles.long_values(daily, "key", ["price", "size"]))
+    daily = trades.select("row_id", F.struct(F.col("market"), day.alias("day")).alias("key"), "price", "size")
+    counts = quantiles.value_counts(quantiles.long_values(daily, "key", ["price", "size"], "row_id"))
     found = quantiles.exact_percentiles(counts.withColumn("grp", F.col("grp.market")), PROBS)
     return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
 
