@@ -101,6 +101,7 @@ def test_spikes_stuck_stretches_and_shifts(spark, chunk_rows):
     # copies of a reading are cases as well; later ones come out of order
     rows += [("s", 5000, 100 * 60 * S, rows[100][3], rows[100][4]), ("s", 5001, 305 * 60 * S, rows[305][3], 0.25)]
     expected += [("x", 5000, "spike"), ("y", 5001, "stuck")]
+    rows.append(("s", 6000, 250 * 365 * 86_400 * S, 100.0, 0.0))  # a time far off
     rng.shuffle(rows)
     assert flags(spark, rows, chunk_rows=chunk_rows) == sorted(expected)
 
@@ -177,6 +178,14 @@ def test_compaction_goes_on_from_its_checkpoint(spark, tmp_path):
     assert compaction.compact(spark, path, workspace=work, bytes_per_batch=1).rows.count() == 3
 
 
+def test_a_stray_time_does_not_make_blocks_larger(spark, tmp_path):
+    path, day = str(tmp_path / "in"), 86_400 * S
+    rows = [("m", i * day // 10, f"b{i // 7:03}", i, "x", 0, 1.0) for i in range(1000)] + [("m", 250 * 365 * day, "z", 1000, "x", 0, 1.0)]
+    stored(spark, path, rows)
+    sizes = compaction.compact(spark, path, target_rows=100).rows.groupBy("new_block").count().collect()
+    assert 10 <= len(sizes) <= 16 and max(r["count"] for r in sizes) <= 110
+
+
 def test_compaction_of_nothing(spark, tmp_path):
     path = str(tmp_path / "in")
     stored(spark, path, [])

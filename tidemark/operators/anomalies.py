@@ -5,8 +5,8 @@ are kept per source and hour of day and merged across partitions; readings beyon
 expanded by a factor, are spikes if the change against the readings before and after them is as implausible. Stretches
 of zero variance are flagged in series that otherwise change with nearly every reading.
 
-Series are cut into chunks of time that hold about ``chunk_rows`` readings, each with a margin of its neighbours, so a
-source of any size is worked on by many tasks.
+Series are cut into chunks of time that hold about ``chunk_rows`` readings at most, each with a margin of its neighbours,
+so a source of any size is worked on by many tasks.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import NANOS
+from tidemark.functions.timestamps import NANOS, floor_div
 from tidemark.storage import discard, materialize, ship
 
 #: Readings around a reading that its deviation is measured against, on either side.
 REACH = 10
+DAY_NANOS = 86_400 * NANOS
 #: Part of a chunk's width that is repeated in its neighbours.
 MARGIN = 16
 
@@ -118,12 +119,12 @@ def measured(series: DataFrame, chunk_rows: int = 5000) -> tuple[DataFrame, Data
     ship(series.sparkSession)
     needed = series.select("record_table", F.coalesce("source", F.lit("\0")).alias("source"), "row_id", "ts_nanos", "value1", "value2")
     clean = needed.where("ts_nanos is not null")
-    spans = clean.groupBy("record_table", "source").agg(
-        F.min("ts_nanos").alias("first"),
-        F.greatest(
-            F.ceil((F.max("ts_nanos") - F.min("ts_nanos") + 1) / F.ceil(F.count(F.lit(1)) / chunk_rows)), F.lit(MARGIN).cast("bigint")
-        ).alias("width"),
+    # as long as holds chunk_rows on the source's busiest day, so a stray time far off doesn't make chunks larger
+    days = clean.groupBy("record_table", "source", floor_div(F.col("ts_nanos"), DAY_NANOS).alias("day")).agg(
+        F.min("ts_nanos").alias("first"), F.count(F.lit(1)).alias("n")
     )
+    width = F.greatest(F.floor(F.lit(float(DAY_NANOS * chunk_rows)) / F.max("n")), F.lit(MARGIN).cast("bigint"))
+    spans = days.groupBy("record_table", "source").agg(F.min("first").alias("first"), width.alias("width"))
     spans = materialize(spans.withColumn("series", F.monotonically_increasing_id()), "series")
     placed = (
         clean.join(spans, ["record_table", "source"])

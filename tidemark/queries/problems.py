@@ -177,8 +177,9 @@ ORACLES: dict[str, str] = {
  SELECT metric, cell * p AS cell_start_sec FROM g ANTI JOIN u USING (metric, cell)""",
     "p3_found": f"""SELECT metric, block_id FROM (SELECT DISTINCT metric, block_id FROM datapoints WHERE block_id IS NOT NULL)
  LEFT JOIN (SELECT metric, block_id, count(*) AS n FROM {_OWNED} GROUP BY ALL) USING (metric, block_id) WHERE coalesce(n, 0) < 64""",
-    "p3_compacted": """WITH s AS (SELECT * FROM datapoints WHERE block_id IS NOT NULL), w AS (SELECT metric, min(ts_nanos) AS lo,
- greatest(CAST(ceil((max(ts_nanos) - min(ts_nanos) + 1) / greatest(ceil(count(*) / 250000), 1)) AS BIGINT), 1) AS width FROM s GROUP BY metric),
+    "p3_compacted": """WITH s AS (SELECT * FROM datapoints WHERE block_id IS NOT NULL), b AS (SELECT metric, min(ts_nanos) AS first, count(*) AS n FROM s GROUP BY metric, block_id),
+ y AS (SELECT metric, min(first) AS first, CASE WHEN min(first) IS NOT NULL THEN sum(n) END AS n FROM b GROUP BY metric, first // 86400000000000),
+ w AS (SELECT metric, min(first) AS lo, greatest(CAST(floor(least(CAST(21600000000000000000 AS DOUBLE) / max(n), 4e18)) AS BIGINT), 1) AS width FROM y GROUP BY metric),
  k AS (SELECT *, row_number() OVER (PARTITION BY metric, ts_nanos, c0, c1, c2, CASE WHEN ts_nanos IS NULL THEN row_id END ORDER BY block_id, row_id) AS copy,
  min(block_id) OVER (PARTITION BY metric, ts_nanos) AS first_block FROM s)
  SELECT metric, CASE WHEN ts_nanos IS NULL THEN 'untimed' ELSE 'cmp' || lpad(CAST((ts_nanos - lo) // width AS VARCHAR), 12, '0') END AS new_block,

@@ -3,7 +3,7 @@
 A file stream discovers each file once and hands the files over in micro-batches; every batch is written under its
 batch id, replacing whatever an earlier attempt at the same batch left, so a retry can't duplicate rows. When all
 available files have been taken, the staged rows are merged: copies of a datapoint that was persisted more than once
-are reduced to one, and the rows are cut into blocks of about ``target_rows`` per metric.
+are reduced to one, and the rows are cut into blocks of time that hold about ``target_rows`` of their metric at most.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.timestamps import floor_div
 from tidemark.storage import discard, materialize, remove_path, scratch_path
 
+DAY_NANOS = 86_400 * 10**9
 #: What every stored row has; all its other columns are its fields.
 KEYS = ("metric", "ts_nanos", "block_id", "row_id")
 
@@ -81,19 +83,14 @@ def compact(
 
     stored = materialize(
         staged.groupBy("metric", "block_id").agg(
-            F.count(F.lit(1)).alias("n_rows"), F.min("ts_nanos").alias("first"), F.max("ts_nanos").alias("last")
+            F.count(F.lit(1)).alias("n_rows"), F.min("ts_nanos").alias("first")
         ),
         "stored-blocks",
     )
-    spans = materialize(
-        stored.groupBy("metric").agg(
-            F.min("first").alias("first"),
-            F.greatest(
-                F.ceil((F.max("last") - F.min("first") + 1) / F.greatest(F.ceil(F.sum("n_rows") / target_rows), F.lit(1))), F.lit(1)
-            ).alias("width"),
-        ),
-        "block-spans",
-    )
+    # blocks are as long as holds target_rows on the metric's busiest day, so a stray time far off doesn't make them larger
+    days = stored.groupBy("metric", floor_div(F.col("first"), DAY_NANOS).alias("day")).agg(F.min("first").alias("first"), F.sum("n_rows").alias("n"))
+    length = F.floor(F.least(F.lit(float(DAY_NANOS * target_rows)) / F.max(F.when(F.col("day").isNotNull(), F.col("n"))), F.lit(4e18)))
+    spans = materialize(days.groupBy("metric").agg(F.min("first").alias("first"), F.greatest(length, F.lit(1)).alias("width")), "block-spans")
     width = F.call_function("div", F.col("ts_nanos") - F.col("s.first"), F.col("s.width"))
     sliced = (
         staged.alias("d")
