@@ -42,9 +42,10 @@ def test_grid_covers_every_cell_once_and_keeps_observed_values(spark):
 
 def test_grid_edge_cases(spark):
     bad = [("a", None, 1.0), ("a", 5 * S, None), ("a", 6 * S, NAN), ("a", 7 * S, INF), (None, S, 1.0), ("zero", S, 1.0), ("none", S, 1.0), ("un", S, 1.0)]
-    good = [("a", 25 * S + 999_999_999, 0.1), ("a", 25 * S + 999_999_999, 0.1), ("a", 25 * S, 0.1), ("a", 400 * S, 4.0), ("a", 401 * S, 6.0), ("neg", -15 * S, 2.0)]
+    good = [("a", 25 * S + 999_999_999, 0.1), ("a", 25 * S + 999_999_999, 0.1), ("a", 25 * S, 0.1), ("a", 400 * S, 4.0), ("a", 401 * S, 6.0), ("neg", -15 * S, 2.0), ("a", 50 * S, 1.7e308), ("a", 51 * S, 1.6e308)]
     got = gridded(spark, bad + good, [("a", 10), ("neg", 10), ("zero", 0), ("none", None), (None, 10), ("idle", 10)])
     assert got["a", 20] == (0.1, "observed") and got["a", 400] == (5.0, "observed") and got["neg", -20] == (2.0, "observed")
+    assert got["a", 50] == (pytest.approx(1.65e308), "observed")
     assert {k[0] for k in got} == {"a", "neg"}
     assert len(got) == 40 and got["a", 210] == (None, "unsupported")
     assert gridded(spark, [], [("a", 10)]) == {}

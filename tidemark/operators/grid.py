@@ -107,6 +107,7 @@ def cells_of(readings: DataFrame, periods: DataFrame) -> DataFrame:
     """
     usable = readings.select("source", "ts_nanos", finite(F.col("value")).alias("value")).where("ts_nanos is not null and value is not null")
     period = F.col("period_sec").cast("bigint") * NANOS
+    exact = "case when lo = hi then lo when abs(mean) > 1.7976931348623157e308 then lo / 2 + hi / 2 else mean end"
     cell = F.expr("(ts_nanos - pmod(ts_nanos, period)) div period")  # whole numbers: doubles can't tell nanoseconds apart
     return (
         usable.join(periods.where("period_sec > 0").select("source", "period_sec"), "source")
@@ -114,7 +115,7 @@ def cells_of(readings: DataFrame, periods: DataFrame) -> DataFrame:
         .withColumn("cell", cell)
         .groupBy("source", "period_sec", "cell")
         .agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("mean"))
-        .select("source", "period_sec", "cell", F.expr("case when lo = hi then lo else mean end").alias("value"))
+        .select("source", "period_sec", "cell", F.expr(exact).alias("value"))
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import finite, nanos_to_date, rfc3339_nanos
+from tidemark.functions.timestamps import finite, rfc3339_nanos
 from tidemark.operators import anomalies, grid, intervals, quantiles, rolling
 from tidemark.operators.trades import distinct_trades
 from tidemark.streaming import compaction

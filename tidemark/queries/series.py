@@ -127,7 +127,6 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
 _DAYS = """SELECT '{m}' AS metric, date_diff('day', DATE '1970-01-01', {ts}::DATE) AS d, epoch_us(min({ts})) // 1000000 AS since,
  epoch_us(max({ts})) // 1000000 + 1 AS until, count(DISTINCT {ts}) AS n FROM {m} WHERE {ts} IS NOT NULL GROUP BY ALL"""
 _BLOCKS = " UNION ALL ".join(_DAYS.format(m=m, ts=ts) for m, (ts, _) in SERIES.items())
-_TIME = "to_timestamp({})::TIMESTAMPTZ AT TIME ZONE 'UTC'"
 
 
 def _meta(name: str) -> Callable[[SparkSession, str], DataFrame]:
