@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import time
 
 import pytest
@@ -135,6 +136,51 @@ def test_database_round_trip(spark, tmp_path):
         db.series("nothing")
 
 
+def test_failed_writes_are_recorded(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    broken = spark.sql("select 1L ts_nanos, cast(raise_error('no such sensor') as double) c0")
+    with pytest.raises(Exception, match="no such sensor"):
+        db.write_block("m", broken, block_id="a")
+    (record,) = (tmp_path / "db" / "error").glob("*.json")
+    assert json.loads(record.read_text())["block_id"] == "a"
+    assert db.manifest().count() == 0
+
+
+def test_store_search(spark):
+    store = WritableStore(spark, "m", ["double"])
+    store.push([(t, (0.0,)) for t in (9, 10, 19, 20, 20, 20, 30)])
+    points, places = store.search(TimeRange(20, 30))
+    assert ([t for t, _ in points], places) == ([20, 20, 20], range(3, 6))
+    assert store.search(TimeRange(30, 20)) == ([], range(6, 6))
+    assert len(store.search(TimeRange())[0]) == 7
+
+
+def test_limits_are_narrowed_by_the_manifest(spark, tmp_path):
+    engine = Engine(spark, [f"db=file://{tmp_path}/db"])
+    db, rng = engine.catalog.databases["db"], random.Random(1)
+    held = []
+    for i in range(12):
+        start = rng.randrange(0, 100)
+        times_ = sorted(rng.randrange(start, start + rng.choice([3, 20])) * 10**9 + rng.choice([0, 5]) for _ in range(6))
+        held += times_
+        db.write_block("m", spark.createDataFrame([(t,) for t in times_], "ts_nanos bigint"), block_id=f"b{i:02}")
+    held.sort()
+    narrowed = 0
+    for side, n, at in [(s, n, a) for s in ("head", "tail") for n in (0, 1, 4, 9, 99) for a in (0, 30 * 10**9 + 5, 200 * 10**9)]:
+        bounds = TimeRange(at, None) if side == "head" else TimeRange(None, at)
+        inside = [t for t in held if (t >= at if side == "head" else t < at)]
+        wanted = sorted(set(inside))[:n] if side == "head" else sorted(set(inside))[-n:] if n else []
+        limit = Limit(side, n)
+        narrow = db.narrowed("m", bounds, limit)
+        narrowed += narrow != bounds
+        got = times(series.limit_distinct(series.clip(db.series("m", narrow), bounds), limit))
+        assert got == [t for t in inside if t in set(wanted)], (side, n, at)
+    assert narrowed > 8
+    query = engine.query("select * from m where ts >=|2 '1970-01-01'")
+    assert query.count() == len([t for t in held if t in sorted(set(held))[:2]])
+    assert "LessThan(ts_nanos," in query._jdf.queryExecution().toString()
+
+
 def test_repair_drops_what_cannot_be_read(spark, tmp_path):
     db = Database(spark, f"file://{tmp_path}/db")
     for name in ("a", "b", "c"):

@@ -33,7 +33,7 @@ def _projection(query: SeriesQuery, fields: list[str]) -> list[tuple[str, str]]:
 
 def build_series(catalog: Catalog, query: SeriesQuery) -> DataFrame:
     """The rows in ascending time. The time comes first, as RFC3339 text or, unformatted, as the instant (microseconds)."""
-    source = catalog.series(query.metric, query.range, query.database, query.refresh)
+    source = catalog.series(query.metric, query.range, query.database, query.refresh, query.limit)
     return project_series(source, query)
 
 

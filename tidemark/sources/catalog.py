@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import timestamp_nanos
 from tidemark.operators.series import TS, block_stats, clip
-from tidemark.plans.analyze import TimeRange
+from tidemark.plans.analyze import Limit, TimeRange
 from tidemark.sources.database import MANIFEST, Database, check_metric_name
 
 DAY_NANOS = 86_400 * 10**9
@@ -96,7 +96,10 @@ class Catalog:
             raise LookupError("name a database with db=..., or set a default")
         return None
 
-    def series(self, metric: str, bounds: TimeRange, database: str | None = None, refresh: bool = False) -> DataFrame:
+    def series(
+        self, metric: str, bounds: TimeRange, database: str | None = None, refresh: bool = False, limit: Limit | None = None
+    ) -> DataFrame:
+        """Rows of a metric in a range; of stored ones, with a limit to come, only those that the limit can need."""
         if metric in self.externals and database is None:
             return self.externals[metric].series(bounds)
         held = self.database(database)
@@ -104,7 +107,7 @@ class Catalog:
             raise LookupError(f"no such metric: {metric}")
         if refresh:
             held.refresh(metric)
-        return held.series(metric, bounds)
+        return held.series(metric, held.narrowed(metric, bounds, limit) if limit else bounds)
 
     def manifest(self, database: str | None = None) -> DataFrame:
         held = self.database(database)

@@ -5,6 +5,7 @@ Layout below a database's folder (any Hadoop file system, local or ``gs://`` ali
     block/<metric>/block_id=<id>/ts_bucket=<n>/*.parquet    the rows of one write, sorted by time
     block_list/*.parquet                                    one row per block, the latest version of a block holds
     field_types/<metric>.json                               the fields' types, checked on every write
+    error/<nanoseconds>.json                                writes that failed
 
 A block is written before its manifest row, under an id that a retry repeats, so a failed or repeated write leaves
 neither dangling rows nor duplicates.
@@ -23,12 +24,14 @@ from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import floor_div
 from tidemark.operators.series import BUCKET_NANOS, TS, block_stats, bucket_range, clip
-from tidemark.plans.analyze import TimeRange
+from tidemark.plans.analyze import Limit, TimeRange
 from tidemark.storage import materialize, remove_path
 
 MANIFEST = "metric string, block_id string, since_sec bigint, until_sec bigint, timestamp_num bigint, updated_at_nanos bigint"
 FIELD_TYPES = (T.DoubleType, T.BooleanType, T.StringType, T.LongType, T.DecimalType, T.NullType, T.FloatType, T.IntegerType)
 MAX_FIELDS = 255
+#: Blocks of the manifest that the planning of a limit looks at.
+LIMIT_BLOCKS = 10_000
 
 
 def check_metric_name(name: str) -> str:
@@ -118,6 +121,32 @@ class Database:
         rows = stored.parquet(f"{self.root}/block/{metric}").where(bucket_range(bounds))
         return clip(rows, bounds).select(*schema.names)
 
+    def narrowed(self, metric: str, bounds: TimeRange, limit: Limit) -> TimeRange:
+        """A part of the range that surely holds the timestamps that a limit asks for, as far as the manifest tells.
+
+        Blocks that don't overlap add up to at least as many distinct timestamps as they list, so a head limit needs
+        nothing behind enough of them, and a tail limit nothing before. Up to ``LIMIT_BLOCKS`` blocks from the range's
+        beginning (or end) are looked at; if they don't suffice, the range stays as it is.
+        """
+        second, head = 10**9, limit.side == "head"
+        start = bounds.since if head else bounds.until
+        if limit.n <= 0 or start is None:
+            return bounds
+        whole = F.col("since_sec") >= -(-start // second) if head else F.col("until_sec") <= start // second
+        order = ("until_sec", "since_sec") if head else (F.col("since_sec").desc(), F.col("until_sec").desc())
+        blocks = self.manifest().where((F.col("metric") == metric) & whole).orderBy(*order).limit(LIMIT_BLOCKS)
+        edge, seen = start, 0
+        for b in blocks.select("since_sec", "until_sec", "timestamp_num").collect():
+            since, until = b["since_sec"] * second, b["until_sec"] * second
+            if (since < edge) if head else (until > edge):
+                continue  # overlaps a block that was counted
+            edge, seen = (until if head else since), seen + b["timestamp_num"]
+            if seen >= limit.n:
+                if head:
+                    return TimeRange(bounds.since, edge if bounds.until is None else min(edge, bounds.until))
+                return TimeRange(edge if bounds.since is None else max(edge, bounds.since), bounds.until)
+        return bounds
+
     def write_block(
         self, metric: str, rows: DataFrame, *, block_id: str | None = None, tie_keys: Sequence[str | Column] = (), files: int | None = None
     ) -> str | None:
@@ -140,10 +169,15 @@ class Database:
         if files:
             placed = placed.repartition(files, "ts_bucket")
         target = f"{self.root}/block/{metric}/block_id={block_id}"
-        (
-            placed.sortWithinPartitions("ts_bucket", TS, *tie_keys)
-            .write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("ts_bucket").parquet(target)
-        )
+        try:
+            (
+                placed.sortWithinPartitions("ts_bucket", TS, *tie_keys)
+                .write.mode("overwrite").option("parquet.writer.version", "v2").partitionBy("ts_bucket").parquet(target)
+            )
+        except Exception as e:
+            record = {"metric": metric, "block_id": block_id, "error": str(e)}
+            self._write_text(json.dumps(record), "error", f"{time.time_ns()}.json")
+            raise
         written = self.spark.read.schema(rows.schema).parquet(target) if self._has_rows(target) else None
         if written is None:
             remove_path(self.spark, target)
