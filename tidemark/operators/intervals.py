@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.storage import materialize
+
 #: Seconds that Spark timestamps hold; bounds beyond can't be placed and count as invalid.
 LIMIT_SEC = 3_000_000_000_000
 
@@ -33,9 +35,10 @@ def _pieces(intervals: DataFrame, bucket_sec: int) -> DataFrame:
     valid = intervals.where(
         f"since < until and since >= -{LIMIT_SEC} and until <= {LIMIT_SEC}"
     ).select("entity", F.floor(F.col("since") / bucket_sec).alias("bucket"), "since", "until")
+    valid = materialize(valid, "intervals")  # read twice, and costly to find out if versions had to be compared
     buckets = valid.groupBy("entity", "bucket").agg(F.max("until").alias("top"))
     before = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.withColumn("carry", F.max("top").over(before))
+    carried = materialize(buckets.withColumn("carry", F.max("top").over(before)), "carried")
     carry_rows = carried.where(F.col("carry") > F.col("bucket") * bucket_sec).select(
         "entity", "bucket", (F.col("bucket") * bucket_sec).alias("since"), F.col("carry").alias("until")
     )

@@ -95,7 +95,7 @@ def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = distinct_trades(_table(spark, sf_dir, "trades"))
     exact = {f: F.when(finite(F.col(f)) > 0, finite(F.col(f))).try_cast("decimal(28,10)") for f in ("price", "size")}
     daily = rolling.with_all_days(rolling.daily_totals(trades, "market", "trade_day", exact))
-    return rolling.trailing_totals(daily, ["n_rows", "sum_size", "n_size", "sum_price", "n_price"], (7, 30))
+    return rolling.trailing_totals(daily, ["n_rows", "sum_size", "n_size", "sum_price", "n_price"], (1, 7, 30))
 
 
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idle = _trailing(spark, sf_dir).where("n_rows = 0")
+    idle = _trailing(spark, sf_dir).where("n_rows_1d = 0")
     return idle.select(F.col("entity").alias("market"), F.date_format("day", "yyyy-MM-dd").alias("trade_day"))
 
 
