@@ -117,6 +117,21 @@ def test_series_that_hold_by_nature(spark):
     assert flags(spark, rows) == [("x", 333, "spike")]
 
 
+def test_spikes_of_a_series_that_mostly_holds_one_value(spark):
+    rng = random.Random(4)
+    rows, expected = [], []
+    for i in range(1000):
+        x = 75000.0 if rng.random() < 0.85 else rng.choice([74000.0, 76000.0])
+        if i in (200, 700, 701):
+            x = {200: 7.5e6, 700: 42000.0, 701: 43000.0}[i]
+            expected.append(("x", i, "spike"))
+        rows.append(("pegged", i, i * 60 * S, x, 9.0 if i == 555 else 0.0))
+    expected.append(("y", 555, "spike"))
+    # one spike is all that ever changes, and a tick of a series that hardly moves is none
+    rows += [("still", 2000 + i, i * 60 * S, 750.0 if i == 20 else 7.5, 101.0 if i == 9 else 100.0) for i in range(40)]
+    assert flags(spark, rows) == sorted([*expected, ("x", 2020, "spike")])
+
+
 def test_anomaly_edge_cases(spark):
     assert flags(spark, []) == []
     few = [(None, 1, 5, 1.0, 1.0), ("a", 2, None, 99.0, 1.0), ("a", 3, 7, None, NAN), ("b", 4, 7, 1e9, INF), ("b", 5, 7, 1.0, -INF)]

@@ -25,6 +25,9 @@ from tidemark.storage import discard, materialize, ship
 #: Readings around a reading that its deviation is measured against, on either side.
 REACH = 10
 DAY_NANOS = 86_400 * NANOS
+#: Departures from a value that three quarters of a series hold, in all and as a part of its readings, that are too few to
+#: have a usual size; and the part of that value which then stands for it.
+FEW, FEW_PART, LEVEL_PART = 2, 0.0025, 0.01
 #: Part of a chunk's width that is repeated in its neighbours.
 MARGIN = 16
 
@@ -36,6 +39,7 @@ class Limits:
     ``hold_fence``: the same for series that hold their value by nature, in interquartile ranges of their values.
     ``max_run``: a value may stay the same for so many distinct times. ``min_change``: part of the readings that must
     change for a series to count as one that changes with nearly every reading. ``frozen``: fields judged for runs.
+    ``logarithm``: fields that are logarithms, whose level is no measure of what a small part of it is.
     """
 
     fence: tuple[float, float] = (7.2, 7.2)
@@ -43,6 +47,7 @@ class Limits:
     max_run: int = 10
     min_change: float = 0.7
     frozen: tuple[bool, bool] = (True, True)
+    logarithm: tuple[bool, bool] = (False, False)
     min_context: int = 200
     min_readings: int = 7
 
@@ -144,13 +149,17 @@ def measured(series: DataFrame, chunk_rows: int = 5000) -> tuple[DataFrame, Data
     return readings, spans.select("record_table", "source", "series")
 
 
+def _quantile(sketch: str, p: float) -> Column:
+    return F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(p))
+
+
 def _iqr(sketch: str) -> Column:
-    q = [F.kll_sketch_get_quantile_double(F.col(sketch), F.lit(p)) for p in (0.25, 0.75)]
-    return q[1] - q[0]
+    return _quantile(sketch, 0.75) - _quantile(sketch, 0.25)
 
 
 def normal_ranges(readings: DataFrame) -> DataFrame:
-    """Per series and hour: the interquartile ranges of deviations and values, and the part that changes.
+    """Per series and hour: the interquartile ranges of deviations and values, the usual size (median) of the deviations that
+    aren't 0, and the part that changes.
 
     One sketch of each is kept per series and hour and merged over the hours for the series as a whole.
     """
@@ -158,9 +167,12 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
     aggs = []
     for k in ("1", "2"):
         loose = F.col(f"run{k}") <= 10
+        departure = F.when(F.col(f"deviation{k}") != 0, F.col(f"deviation{k}"))
         aggs += [
             F.kll_sketch_agg_double(F.col(f"deviation{k}").cast("double")).alias(f"dev{k}"),
             F.kll_sketch_agg_double(F.col(f"value{k}").cast("double")).alias(f"val{k}"),
+            F.kll_sketch_agg_double(F.abs(departure).cast("double")).alias(f"off{k}"),
+            F.count(departure).alias(f"away{k}"),
             F.count(f"deviation{k}").alias(f"n{k}"),
             F.count(F.when(loose, 1)).alias(f"loose{k}"),
             F.count(F.when(loose & F.col(f"changed{k}"), 1)).alias(f"change{k}"),
@@ -168,13 +180,15 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
         ]
     hourly = materialize(readings.groupBy(*keys, "hour").agg(*aggs), "hour-sketches")
     whole = hourly.groupBy(*keys).agg(
-        *[F.kll_merge_agg_double(f"{c}{k}").alias(f"{c}{k}") for c in ("dev", "val") for k in ("1", "2")],
-        *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("n", "loose", "change", "runs") for k in ("1", "2")],
+        *[F.kll_merge_agg_double(f"{c}{k}").alias(f"{c}{k}") for c in ("dev", "val", "off") for k in ("1", "2")],
+        *[F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("n", "away", "loose", "change", "runs") for k in ("1", "2")],
     )
     whole = whole.select(
         *keys,
         *[F.when(F.col(f"n{k}") > 0, _iqr(f"{c}{k}")).alias(f"all_{c}{k}") for c in ("dev", "val") for k in ("1", "2")],
-        *[F.col(f"n{k}").alias(f"all_n{k}") for k in ("1", "2")],
+        *[F.when(F.col(f"n{k}") > 0, _quantile(f"val{k}", 0.5)).alias(f"level{k}") for k in ("1", "2")],
+        *[F.when(F.col(f"away{k}") > 0, _quantile(f"off{k}", 0.5)).alias(f"step{k}") for k in ("1", "2")],
+        *[F.col(f"{c}{k}").alias(f"all_{c}{k}") for c in ("n", "away") for k in ("1", "2")],
         # of the readings outside long runs, how many change the value; of all runs, how many are short
         *[F.try_divide(F.col(f"change{k}"), F.col(f"loose{k}")).alias(f"rate{k}") for k in ("1", "2")],
         *[F.try_divide(F.col(f"change{k}"), F.col(f"runs{k}")).alias(f"short{k}") for k in ("1", "2")],
@@ -189,8 +203,11 @@ def flagged(readings: DataFrame, series: DataFrame, fields: dict[str, tuple[str,
     """(record_table, record_field, row_id, reason) of the readings that are spikes or stuck.
 
     ``readings`` and ``series`` are those of :func:`measured`; ``fields`` names value1 and value2 of each record table.
-    Where an hour of a source has fewer than ``min_context`` readings the source's merged sketch is used; a source with
-    fewer than ``min_readings`` has no normal range and no spikes.
+    Where an hour of a source has fewer than ``min_context`` readings or a range of 0 the source's merged sketch is used; a
+    source with fewer than ``min_readings`` has no normal range and no spikes. Where three quarters of a series hold one
+    value its ranges are 0, and the fence is ``fence`` times the median of the departures from the readings around; where
+    departures are too few for that (:data:`FEW`, :data:`FEW_PART`), at most times a hundredth of the value held, so that
+    any departure counts from a series that holds 0.
     """
     rows = readings.join(normal_ranges(readings).join(series, "series"), ["series", "hour"])
 
@@ -203,13 +220,19 @@ def flagged(readings: DataFrame, series: DataFrame, fields: dict[str, tuple[str,
 
     verdicts = []
     for i, k in enumerate(("1", "2")):
-        iqr = F.when(F.col(f"n{k}") >= of(lambda t: limits[t].min_context), F.col(f"iqr{k}")).otherwise(F.col(f"all_dev{k}"))
+        own_hour = (F.col(f"n{k}") >= of(lambda t: limits[t].min_context)) & (F.col(f"iqr{k}") > 0)
+        iqr = F.when(own_hour, F.col(f"iqr{k}")).otherwise(F.col(f"all_dev{k}"))
         rate, short = (F.coalesce(F.col(f"{c}{k}"), F.lit(1.0)) for c in ("rate", "short"))
         least = of(lambda t: limits[t].min_change)
         restless = (rate >= least) & (short >= least)
         holds = (F.col(f"all_dev{k}") <= 0) | (rate < 0.3)
-        fence = F.when(holds, of(lambda t: limits[t].hold_fence) * F.col(f"all_val{k}")).otherwise(of(lambda t, i=i: limits[t].fence[i]) * iqr)
-        spike = (F.abs(f"jump{k}") > fence) & (fence > 0) & (F.col(f"all_n{k}") >= of(lambda t: limits[t].min_readings))
+        few = F.col(f"all_away{k}") <= F.greatest(F.lit(float(FEW)), FEW_PART * F.col(f"all_n{k}"))
+        level = F.when(of(lambda t, i=i: limits[t].logarithm[i]), F.lit(1.0)).otherwise(F.abs(f"level{k}"))
+        step = F.when(few, F.least(F.col(f"step{k}"), LEVEL_PART * level)).otherwise(F.col(f"step{k}"))
+        factor = of(lambda t, i=i: limits[t].fence[i])
+        held = F.when(F.col(f"all_val{k}") > 0, of(lambda t: limits[t].hold_fence) * F.col(f"all_val{k}")).otherwise(factor * step)
+        fence = F.when(holds, held).otherwise(factor * iqr)
+        spike = (F.abs(f"jump{k}") > fence) & (F.col(f"all_n{k}") >= of(lambda t: limits[t].min_readings))
         stuck = (F.col(f"run{k}") > of(lambda t: limits[t].max_run)) & restless & of(lambda t, i=i: limits[t].frozen[i])
         reason = F.when(spike, F.lit("spike")).when(stuck, F.lit("stuck"))
         verdicts.append(F.struct(of(lambda t, i=i: fields[t][i]).alias("record_field"), reason.alias("reason")))

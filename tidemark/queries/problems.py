@@ -50,7 +50,7 @@ def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     # sizes spread over orders of magnitude, so they are judged by their logarithm, with the fence of a normal curve
-    limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(fence=(12.0, 5.2), frozen=(True, False))}
+    limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(fence=(12.0, 5.2), frozen=(True, False), logarithm=(False, True))}
     judged = anomalies.flagged(*anomalies.measured(series), {"datapoints": ("c0", "c1"), "trades": ("price", "size")}, limits)
     return judged.unionByName(anomalies.impossible(points, "datapoints", {"c0": infinite("c0") | outside, "c1": infinite("c1")})).unionByName(
         anomalies.impossible(trades, "trades", {f: ~F.isnan(f) & ((F.col(f) <= 0) | infinite(f)) for f in ("price", "size")})
