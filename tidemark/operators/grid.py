@@ -1,4 +1,4 @@
-"""Irregular readings onto a regular grid, with gaps filled by low-rank factorisation.
+"""Irregular readings onto a regular grid, with gaps filled by factorisation, smoothed in time.
 
 Readings are reduced to one value per source and period (map-side combined), and the cells are laid out as matrices of
 sources by times. A matrix covers the sources of one period length and one window of ``tile_cells`` periods; where
@@ -27,6 +27,8 @@ def factorise(values: np.ndarray, rank: int = 24, rounds: int = 12, ridge: float
     Rows are centred on their median and scaled by their spread; the factors then minimise the squared error over the
     observed cells, plus ``ridge`` times their squares, plus ``smooth`` times the squared steps of the time factors from
     one time to the next, so that a cell is estimated from the other sources at its time and from its own neighbours.
+    Where there are no more than ``rank`` sources the rank is full, and as each starts with a factor of its own, a cell is
+    estimated from its own neighbours alone; more sources than that share ``rank`` factors.
     Returns the estimates and the mask of cells with support: their source has at least ``MIN_SEEN`` observations here,
     and either two sources were observed at their time or their source was within ``NEAR`` periods.
     """
