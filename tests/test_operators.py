@@ -132,6 +132,30 @@ def test_spikes_of_a_series_that_mostly_holds_one_value(spark):
     assert flags(spark, rows) == sorted([*expected, ("x", 2020, "spike")])
 
 
+def test_a_busy_day_does_not_narrow_the_view_of_the_others(spark):
+    rng = random.Random(6)
+    rows, expected, day = [], [], 86_400 * S
+    for d in range(10):
+        n = 12000 if d == 4 else 40
+        for i in range(n):
+            x, y = rng.gauss(0, 1), round(rng.gauss(0, 1), 6)
+            if d != 4 and 2 * d <= i < 2 * d + 12:
+                y = float(d)
+                expected.append(("y", len(rows), "stuck"))
+            if d != 4 and i == 22:
+                x = 60.0
+                expected.append(("x", len(rows), "spike"))
+            rows.append(("hot", len(rows), d * day + i * (day // n), x, y))
+    assert flags(spark, rows) == sorted(expected)
+
+
+def test_runs_of_a_field_with_few_readings(spark):
+    rng = random.Random(7)
+    rows = [("s", i, i * 60 * S, rng.gauss(0, 1), round(rng.gauss(0, 1), 6) if i % 40 == 0 else None) for i in range(4000)]
+    rows = [(*r[:4], 0.5 if r[4] is not None and 1000 <= r[1] < 1440 else r[4]) for r in rows]
+    assert flags(spark, rows, chunk_rows=60) == [("y", i, "stuck") for i in range(1000, 1440, 40)]
+
+
 def test_anomaly_edge_cases(spark):
     assert flags(spark, []) == []
     few = [(None, 1, 5, 1.0, 1.0), ("a", 2, None, 99.0, 1.0), ("a", 3, 7, None, NAN), ("b", 4, 7, 1e9, INF), ("b", 5, 7, 1.0, -INF)]

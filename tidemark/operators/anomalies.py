@@ -5,8 +5,9 @@ are kept per source and hour of day and merged across partitions; readings beyon
 expanded by a factor, are spikes if the change against the readings before and after them is as implausible. Stretches
 of zero variance are flagged in series that otherwise change with nearly every reading.
 
-Series are cut into chunks of time that hold about ``chunk_rows`` readings at most, each with a margin of its neighbours,
-so a source of any size is worked on by many tasks.
+Series are cut into chunks of about ``chunk_rows`` rows, counted in small buckets of time. Each chunk is given so many
+readings of its neighbours that its own are judged as if the series were whole, however unevenly they lie in time; so a
+source of any size is worked on by many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import NANOS, floor_div
+from tidemark.functions.timestamps import NANOS, finite, floor_div
 from tidemark.storage import discard, materialize, ship
 
 #: Readings around a reading that its deviation is measured against, on either side.
@@ -28,8 +29,8 @@ DAY_NANOS = 86_400 * NANOS
 #: Departures from a value that three quarters of a series hold, in all and as a part of its readings, that are too few to
 #: have a usual size; and the part of that value which then stands for it.
 FEW, FEW_PART, LEVEL_PART = 2, 0.0025, 0.01
-#: Part of a chunk's width that is repeated in its neighbours.
-MARGIN = 16
+#: Buckets that a chunk's rows lie in on the busiest day of their source.
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -115,37 +116,67 @@ def _measure(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays(out, names)
 
 
-def measured(series: DataFrame, chunk_rows: int = 5000) -> tuple[DataFrame, DataFrame]:
+def _cut(chunk_rows: int, margin_times: int):
+    def cut(table: pa.Table) -> pa.Table:
+        """Of one series' buckets: the chunk that each belongs to, and those that it is a margin of."""
+        table = table.sort_by("bucket")
+        bucket, rows = (table.column(c).to_numpy() for c in ("bucket", "rows"))
+        own = (np.cumsum(rows) - rows) // chunk_rows
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        end = np.r_[first[1:], len(own)]
+        pairs = []
+        for k in ("1", "2"):
+            times = table.column("times" + k).to_numpy()
+            held = np.flatnonzero(times)  # only buckets with the field count for it, so empty stretches aren't carried
+            before = np.r_[0, np.cumsum(times[held])]
+            lo, hi = np.searchsorted(held, first), np.searchsorted(held, end)
+            far_lo = np.maximum(np.searchsorted(before, before[lo] - margin_times, "right") - 1, 0)
+            far_hi = np.minimum(np.searchsorted(before, before[hi] + margin_times), len(held))
+            for a, b in ((far_lo, lo), (hi, far_hi)):
+                count = np.where(hi > lo, b - a, 0)
+                at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
+                pairs.append(np.column_stack([held[at], np.repeat(own[first], count)]))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        at, chunk = np.r_[np.arange(len(own)), pairs[:, 0]], np.r_[own, pairs[:, 1]]
+        margin = np.arange(len(at)) >= len(own)
+        series = np.full(len(at), table.column("series")[0].as_py())
+        return pa.table({"series": series, "bucket": bucket[at], "chunk": chunk, "margin": margin})
+
+    return cut
+
+
+def measured(series: DataFrame, chunk_rows: int = 5000, max_run: int = 10) -> tuple[DataFrame, DataFrame]:
     """The readings (:data:`READING`) of ``series`` (record_table, source, row_id, ts_nanos, value1, value2), and the table of
     series: (record_table, source, series), whose numbers stand for the names in all that follows.
 
     Rows without a time are left out; null, NaN and infinite values are missing. A null source is a source of its own.
+    ``max_run`` is the greatest of the limits that the readings are judged by: a chunk sees one distinct time more than
+    that, and more than ``REACH``, of each field on either side.
     """
     ship(series.sparkSession)
     needed = series.select("record_table", F.coalesce("source", F.lit("\0")).alias("source"), "row_id", "ts_nanos", "value1", "value2")
     clean = needed.where("ts_nanos is not null")
-    # as long as holds chunk_rows on the source's busiest day, so a stray time far off doesn't make chunks larger
+    # sized by the source's busiest day, so a stray time far off doesn't make buckets larger
     days = clean.groupBy("record_table", "source", floor_div(F.col("ts_nanos"), DAY_NANOS).alias("day")).agg(
         F.min("ts_nanos").alias("first"), F.count(F.lit(1)).alias("n")
     )
-    width = F.greatest(F.floor(F.lit(float(DAY_NANOS * chunk_rows)) / F.max("n")), F.lit(MARGIN).cast("bigint"))
+    width = F.greatest(F.floor(F.lit(float(DAY_NANOS * chunk_rows / BUCKETS)) / F.max("n")), F.lit(1).cast("bigint"))
     spans = days.groupBy("record_table", "source").agg(F.min("first").alias("first"), width.alias("width"))
     spans = materialize(spans.withColumn("series", F.monotonically_increasing_id()), "series")
-    placed = (
-        clean.join(spans, ["record_table", "source"])
-        .withColumn("chunk", F.expr("(ts_nanos - first) div width"))
-        .withColumn("within", F.expr("ts_nanos - first - chunk * width"))
-        .withColumn("edge", F.expr(f"width div {MARGIN}"))
+    placed = clean.join(spans, ["record_table", "source"]).withColumn("bucket", F.expr("(ts_nanos - first) div width"))
+    placed = placed.select("series", "row_id", "ts_nanos", "value1", "value2", "bucket")
+    times = placed.groupBy("series", "bucket", "ts_nanos").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.max(finite(F.col(f"value{k}")).isNotNull().cast("int")).alias(f"has{k}") for k in ("1", "2")]
     )
-    # the rows near a chunk's end are there once more in the neighbour, as its margin
-    near = F.array(
-        F.struct(F.col("chunk"), F.lit(False).alias("margin")),
-        F.when(F.col("within") < F.col("edge"), F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(True).alias("margin"))),
-        F.when(F.col("within") >= F.col("width") - F.col("edge"), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(True).alias("margin"))),
+    buckets = times.groupBy("series", "bucket").agg(F.sum("rows").alias("rows"), *[F.sum(f"has{k}").alias(f"times{k}") for k in ("1", "2")])
+    cut = buckets.groupBy("series").applyInArrow(
+        _cut(chunk_rows, max(REACH, max_run) + 1), "series bigint, bucket bigint, chunk bigint, margin boolean"
     )
-    values = ("series", "row_id", "ts_nanos", "value1", "value2")
-    chunks = placed.select(*values, F.explode(F.filter(near, lambda x: x.isNotNull())).alias("at")).select(*values, "at.chunk", "at.margin")
+    cut = materialize(cut, "chunks")
+    # its file is many times smaller than its rows in memory, so Spark would broadcast it when it shouldn't
+    chunks = placed.join(cut.hint("shuffle_hash"), ["series", "bucket"]).drop("bucket")
     readings = materialize(chunks.groupBy("series", "chunk").applyInArrow(_measure, READING), "deviations")
+    discard(cut)
     return readings, spans.select("record_table", "source", "series")
 
 
