@@ -339,6 +339,16 @@ def test_periods_and_gaps(spark, bucket):
     assert intervals.gaps(df.where("false"), bucket).count() == 0 == intervals.periods(df.where("false"), bucket).count()
 
 
+def test_bounds_however_far_off(spark):
+    least, most = -(2**63), 2**63 - 1
+    rows = [("open", 0, 10), ("open", 20, most), ("open", 50, 60), ("open", 10**7, 10**7 + 5), ("ever", least, most), ("ever", 5, 6), ("begun", least, 3), ("begun", 7, 9)]
+    rows += [("far", 4 * 10**12, 5 * 10**12), ("far", 5 * 10**12, 6 * 10**12), ("far", 7 * 10**12, 7 * 10**12 + 1), ("far", 2**60 + 1, 2**60 + 2), ("far", 2**60 + 3, 2**60 + 4)]
+    df = spark.createDataFrame(rows, "entity string, since bigint, until bigint")
+    want = merged(rows)
+    assert sorted(map(tuple, intervals.periods(df).collect())) == sorted((e, a, b) for e, v in want.items() for a, b in v)
+    assert sorted(map(tuple, intervals.gaps(df).collect())) == sorted((e, x[1], y[0]) for e, v in want.items() for x, y in zip(v, v[1:], strict=False))
+
+
 def test_the_latest_version_of_a_block_holds(spark):
     rows = [("m", "a", 1, 5, 9, 1), ("m", "a", 1, 7, 9, 3), ("m", "a", 1, 7, 9, 3), ("m", "a", 0, 9, 9, None), ("m", None, 1, 2, 0, 1), ("m", None, 1, 2, 0, 1), ("n", "b", None, 2, 0, 1)]
     df = spark.createDataFrame(rows, "metric string, block_id string, since_sec bigint, until_sec bigint, timestamp_num bigint, updated_at_nanos bigint").withColumn("x", F.lit(1))

@@ -3,7 +3,8 @@
 Overlapping intervals are merged by Spark's ``session_window`` with a row-specific duration. An entity may hold any
 share of the rows, so the merge runs per (entity, time bucket): each bucket gets one carried interval for what earlier
 buckets still cover, so that all gaps are found within buckets by ``lag``, and period ends by ``lead`` over the one
-summary row that each bucket keeps.
+summary row that each bucket keeps. Within a bucket only the place of a start in it and the length up to its end matter,
+so bounds may lie as far off as whole numbers go.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import materialize
 
-#: Seconds that Spark timestamps hold; bounds beyond can't be placed and count as invalid.
-LIMIT_SEC = 3_000_000_000_000
-
 
 def latest_versions(manifest: DataFrame) -> DataFrame:
     """(metric, since_sec, until_sec): of several rows of a block the one with the greatest ``updated_at_nanos``.
@@ -32,18 +30,19 @@ def latest_versions(manifest: DataFrame) -> DataFrame:
 
 def _pieces(intervals: DataFrame, bucket_sec: int) -> DataFrame:
     """(entity, bucket, since, until, prev_end): merged pieces with the end of all coverage before each of them."""
-    valid = intervals.where(
-        f"since < until and since >= -{LIMIT_SEC} and until <= {LIMIT_SEC}"
-    ).select("entity", F.floor(F.col("since") / bucket_sec).alias("bucket"), "since", "until")
+    bounds = intervals.select("entity", F.col("since").cast("bigint"), F.col("until").cast("bigint")).where("since < until")
+    bucket = F.expr(f"since div {bucket_sec} - if(since % {bucket_sec} < 0, 1, 0)")
+    valid = bounds.select("entity", bucket.alias("bucket"), "since", "until")
     valid = materialize(valid, "intervals")  # read twice, and costly to find out if versions had to be compared
     buckets = valid.groupBy("entity", "bucket").agg(F.max("until").alias("top"))
     before = Window.partitionBy("entity").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = materialize(buckets.withColumn("carry", F.max("top").over(before)), "carried")
-    carry_rows = carried.where(F.col("carry") > F.col("bucket") * bucket_sec).select(
-        "entity", "bucket", (F.col("bucket") * bucket_sec).alias("since"), F.col("carry").alias("until")
-    )
-    all_rows = valid.unionByName(carry_rows).withColumn("ts", F.timestamp_seconds("since"))
-    length = F.expr("make_interval(0, 0, 0, 0, cast((until - since) div 3600 as int), 0, cast((until - since) % 3600 as decimal(18, 6)))")
+    start = F.try_multiply(F.col("bucket"), F.lit(bucket_sec).cast("bigint"))  # an entity's first bucket may begin before all numbers
+    carry_rows = carried.where(F.col("carry") > start).select("entity", "bucket", start.alias("since"), F.col("carry").alias("until"))
+    all_rows = valid.unionByName(carry_rows).withColumn("ts", F.timestamp_seconds(F.pmod("since", F.lit(bucket_sec))))
+    # what is longer than a bucket reaches beyond all starts in it, however long
+    longest = f"least(coalesce(try_subtract(until, since), {bucket_sec + 1}), {bucket_sec + 1})"
+    length = F.expr(f"make_interval(0, 0, 0, 0, 0, 0, cast({longest} as decimal(18, 6)))")
     merged = all_rows.groupBy("entity", "bucket", F.session_window("ts", length).alias("w")).agg(
         F.min("since").alias("since"), F.max("until").alias("until")
     )
@@ -59,9 +58,9 @@ def _pieces(intervals: DataFrame, bucket_sec: int) -> DataFrame:
 def gaps(intervals: DataFrame, bucket_sec: int = 86_400) -> DataFrame:
     """(entity, gap_since, gap_until): maximal uncovered stretches between two covered ones of an entity.
 
-    ``intervals`` has (entity, since, until) in whole seconds, until exclusive. Intervals with a null bound, with since
-    not below until, or with bounds beyond Spark's timestamps cover nothing. Touching intervals leave no gap. A null
-    entity is an entity of its own; an empty input gives an empty result.
+    ``intervals`` has (entity, since, until) in whole seconds, until exclusive. Intervals with a null bound or with since
+    not below until cover nothing. Touching intervals leave no gap. A null entity is an entity of its own; an empty input
+    gives an empty result.
     """
     return (
         _pieces(intervals, bucket_sec)
