@@ -1,5 +1,6 @@
 """The data-preparation operators against plain Python, with nulls, ties, repeats, empty tables and clashing names."""
 
+import inspect
 import math
 import random
 from collections import defaultdict
@@ -218,6 +219,10 @@ def test_compaction_goes_on_from_its_checkpoint(spark, tmp_path):
     assert compaction.compact(spark, path, workspace=work, bytes_per_batch=1).rows.count() == 3
 
 
+def test_a_batch_is_far_smaller_than_a_large_table():
+    assert inspect.signature(compaction.compact).parameters["bytes_per_batch"].default <= 8 << 30
+
+
 def test_a_stray_time_does_not_make_blocks_larger(spark, tmp_path):
     path, day = str(tmp_path / "in"), 86_400 * S
     rows = [("m", i * day // 10, f"b{i // 7:03}", i, "x", 0, 1.0) for i in range(1000)] + [("m", 250 * 365 * day, "z", 1000, "x", 0, 1.0)]

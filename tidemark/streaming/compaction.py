@@ -61,7 +61,7 @@ def compact(
     workspace: str | None = None,
     target_rows: int = 250_000,
     same_but: tuple[str, ...] = ("ingested_at",),
-    bytes_per_batch: int = 1 << 36,
+    bytes_per_batch: int = 1 << 32,
 ) -> Compacted:
     """Compact the datapoints stored under ``source`` (columns metric, ts_nanos, block_id, row_id and any fields).
 
@@ -73,7 +73,8 @@ def compact(
     null metric is a metric of its own. No stored rows give an empty result.
 
     ``workspace`` keeps the checkpoint and staged batches: called again with it, only files that have appeared since
-    are read. Without one, a folder below the shared one is used.
+    are read. Without one, a folder below the shared one is used. A batch takes files of ``bytes_per_batch`` in all, so a
+    call that was broken off goes on from the last whole batch if it named its workspace.
     """
     lasting = workspace is not None
     workspace = workspace or scratch_path(spark, "compaction")
