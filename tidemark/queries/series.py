@@ -250,12 +250,15 @@ def stream_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def columnar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON output of a query: one object with an array for each column."""
-    import io
+    """The JSON output of all events, one object with an array for each column, in a file: its length in bytes and hash."""
+    import hashlib
+    import os
 
-    out = io.StringIO()
-    engine(spark, sf_dir).run(f"with {COLS['events']}, format = json select value from events where ts = '2024-01-10 09:00'", out)
-    return spark.createDataFrame([(out.getvalue(),)], "json string")
+    path = scratch_path(spark, "file").removeprefix("file://") + ".json"
+    engine(spark, sf_dir).run(f"with {COLS['events']}, format = json, output_file = '{path}' select * from events where ts >= '1970-01-01'")
+    with open(path, "rb") as f:
+        digest = hashlib.file_digest(f, "md5").hexdigest()
+    return spark.createDataFrame([(os.path.getsize(path), digest)], "json_bytes bigint, json_md5 string")
 
 
 _PLAIN = [
@@ -281,6 +284,10 @@ _LIST = f"""SELECT metric AS metrics, max(until) OVER (PARTITION BY metric) AS u
 _BY_PARITY = """SELECT 'events' AS metric, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS block_id, epoch_us(min(ts)) // 1000000 AS since_sec,
  epoch_us(max(ts)) // 1000000 + 1 AS until_sec, count(DISTINCT ts) AS timestamp_num FROM events GROUP BY ALL"""
 _IDENTITY = f"SELECT {_EVENT_NANOS} FROM events"
+_JSON_ARRAYS = " || ',' || ".join(
+    f"""'"{c}":[' || coalesce(string_agg(coalesce(CAST(to_json({v}) AS VARCHAR), 'null'), ',' ORDER BY ts), '') || ']'"""
+    for c, v in (("ts", _micros("ts")), *((c, c) for c in SERIES["events"][1]))
+)
 
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _LANGUAGE.items()}
 ORACLES |= {
@@ -297,6 +304,7 @@ ORACLES |= {
     "format_seconds_text": "SELECT block_id, updated_at_nanos, strftime(make_timestamp(since_sec * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS since FROM block_manifest",
     "overlap_merge": f"{_IDENTITY} WHERE value < 60 UNION ALL {_IDENTITY} WHERE value > 40",
     "disjoint_append": _IDENTITY,
+    "columnar_json": f"SELECT strlen(j) AS json_bytes, md5(j) AS json_md5 FROM (SELECT '{{' || {_JSON_ARRAYS} || '}}' || chr(10) AS j FROM events WHERE ts >= TIMESTAMP '1970-01-01')",
     "range_search": f"{_IDENTITY} WHERE {_IN_WEEK}",
     "purge_range": f"{_IDENTITY} WHERE NOT ({_IN_WEEK})",
     "unique_ts_per_block": """SELECT metric, block_id, min(ts_nanos) // 1000000000 AS since_sec, max(ts_nanos) // 1000000000 + 1 AS until_sec,
