@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -117,19 +118,23 @@ def test_token_counts(spark):
 
 
 def brute_stretches(texts, span):
+    """Every window beside its reference's first place, extended both ways."""
     holders = {}
     for i, t in enumerate(texts):
         for at in range(len(t or "") - span + 1):
-            holders.setdefault(t[at : at + span], set()).add(i)
-    out = []
+            holders.setdefault(t[at : at + span], {}).setdefault(i, at)
+    out = set()
     for i, t in enumerate(texts):
-        run = None
-        for at in range(len(t or "") - span + 2):
-            if at <= len(t or "") - span and len(holders[t[at : at + span]]) > 1:
-                run = at if run is None else run
-            elif run is not None:
-                out.append((i, run, at - 1 + span - run))
-                run = None
+        for at in range(len(t or "") - span + 1):
+            held = holders[t[at : at + span]]
+            if len(held) > 1:
+                other = max(held) if i == min(held) else min(held)
+                a, b, u, n = at, held[other], texts[other], span
+                while a and b and t[a - 1] == u[b - 1]:
+                    a, b, n = a - 1, b - 1, n + 1
+                while a + n < len(t) and b + n < len(u) and t[a + n] == u[b + n]:
+                    n += 1
+                out.add((i, a, n, other, b))
     return sorted(out)
 
 
@@ -139,13 +144,53 @@ def prose(rng, n):
 
 def check_stretches(spark, texts, span):
     got = shared_spans.shared_stretches(documents(spark, texts), span).collect()
-    assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == brute_stretches(texts, span)
+    assert sorted((r["doc_id"], r["start"], r["length"], r["other"], r["other_start"]) for r in got) == brute_stretches(texts, span)
     for r in got:
-        begin = texts[r["doc_id"]][r["start"] : r["start"] + span]
-        assert r["other"] != r["doc_id"] and begin in texts[r["other"]]
+        stretch = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["other"] != r["doc_id"] and stretch == texts[r["other"]][r["other_start"] :][: r["length"]]
+        assert r["class_id"] == min(r["doc_id"], r["other"])
     return got
 
 
+def test_stretches_shared_with_different_documents_are_not_chained(spark):
+    rng = random.Random(5)
+    a, noise = prose(rng, 100)[:400], [prose(rng, 40) for _ in range(3)]
+    for texts in ([a, noise[0] + "#" + a[:250] + "#" + noise[1], "#" + a[100:400] + "#" + noise[2]], ["#" + a[:250] + "#", "#" + a[100:400] + "#", a]):
+        got = check_stretches(spark, texts, 150)
+        whole = texts.index(a)
+        assert sorted((r["start"], r["length"]) for r in got if r["doc_id"] == whole) == [(0, 250), (100, 300)]
+        assert {r["other"] for r in got if r["doc_id"] == whole} == {0, 1, 2} - {whole}
+
+
+def test_no_link_is_lost(spark):
+    """Any two documents that share a window meet at the same place of one document."""
+    rng = random.Random(15)
+    source = prose(rng, 200)
+    texts = [prose(rng, 10) + source[a : a + rng.randint(150, 500)] + prose(rng, 10) for a in (rng.randrange(900) for _ in range(25))]
+    texts += [texts[3], texts[3], source[:700]]
+    lines = defaultdict(list)
+    for r in check_stretches(spark, texts, 150):
+        lines[r["doc_id"]].append((r["other"], r["other_start"], r["length"], r["start"]))
+    first = defaultdict(dict)
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 149):
+            first[t[at : at + 150]].setdefault(i, at)
+    for held in first.values():
+        low = min(held)
+        for i in list(held)[1:]:
+            assert any(o == low and b <= held[low] and held[low] + 150 <= b + n for o, b, n, _ in lines[i])
+
+
+@pytest.mark.parametrize("limits", [(100_000, 100_000), (3, 1000)])
+def test_frequent_stretches_are_spread(spark, monkeypatch, limits):
+    monkeypatch.setattr(shared_spans, "HOT_ROWS", limits[0])
+    monkeypatch.setattr(shared_spans, "HOT_KEYS", limits[1])
+    rng = random.Random(16)
+    notice = prose(rng, 40)
+    texts = [prose(rng, 5) + notice[: rng.randint(150, len(notice))] + prose(rng, 5) for _ in range(30)] + [notice] * 10
+    assert check_stretches(spark, texts, 150)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_stretches_equal_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -180,7 +225,7 @@ def test_stretches_of_hot_and_long_texts(spark):
     texts = [prose(rng, 20) + notice + prose(rng, 20) for _ in range(60)] + [notice] * 30 + [prose(rng, 60_000) + notice]
     got = shared_spans.shared_parts(documents(spark, texts)).collect()
     assert len(got) == len(texts)
-    assert all(r["shared_chars"] >= len(notice) and r["stretches"] == 1 for r in got)
+    assert all(r["shared_chars"] >= len(notice) and r["stretches"] >= 1 and r["links"] >= 1 for r in got)
     assert all(r["n_chars"] == len(texts[r["doc_id"]]) for r in got)
 
 
@@ -271,3 +316,51 @@ def test_longest_passage():
     for a, b in itertools.product((0, 5, 20), (30, 45, 60)):
         n = leaks.longest_passage(item, ["x"] * 9 + item[a:b] + ["y"] * 9, 25, 8)
         assert n == 0 if b - a < 20 else n >= b - a or b - a < 25
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], min(before + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_longest_passage_tries_all_alignments(seed):
+    rng = random.Random(seed)
+    item = [rng.choice("abcdef") for _ in range(12)]
+    text = [w for w in item[rng.randrange(3) :] if rng.random() < 0.9 for w in ([w] if rng.random() < 0.8 else [rng.choice("abcdef"), w])]
+    best = 0
+    for i, j in itertools.combinations(range(len(item) + 1), 2):
+        if j - i >= 5:
+            least = min(edits(item[i:j], text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
+            best = max(best, j - i if least <= leaks.allowed(j - i, 4) else 0)
+    assert leaks.longest_passage(item, text, 5, 4) == best
+    shift = rng.randrange(-3, 3)
+    assert leaks.longest_passage(item, text, 5, 4, (shift, shift)) <= best == leaks.longest_passage(item, text, 5, 4, (-12, 20))
+
+
+def test_levels():
+    assert leaks.levels(25, 8) == [(25, 3, 6), (28, 4, 4), (36, 5, 7), (44, 6, 10)]
+    with pytest.raises(ValueError):
+        leaks.levels(10, 3)
+
+
+@pytest.mark.parametrize("places", [(5, 11, 17, 23), (4, 9, 14, 19, 24, 29, 34), (2, 8, 14, 20), (6, 12, 18, 22)])
+def test_the_filter_loses_nothing_that_the_verifier_accepts(spark, places):
+    """Changes where they destroy the most shingles, in passages of the least length for so many."""
+    rng = random.Random(sum(places))
+    size = 28 if len(places) == 4 else 52
+    words = sentence(rng, size)
+    text = [rng.choice(["", f"new{i}", f"{w} more"]) if i in places else w for i, w in enumerate(words)]
+    assert leaks.longest_passage(words, leaks.words_of(" ".join(text)), 25, 8)
+    noise = lambda n: " ".join(sentence(rng, n))
+    frequent = [" ".join(words[a : a + 12]) + noise(30) for a in range(size - 12) for _ in range(3)]  # no shingle is rare
+    got = leak_ids(spark, [f"{noise(40)} {' '.join(text)} {noise(40)}", noise(50), *frequent], [" ".join(words), noise(40)])
+    assert got == [(0, 0)]
+
+
+def test_long_tags_are_markup():
+    assert leaks.words_of(f"<a href='{'x' * 900}'>b</a> [url={'y' * 300}]c[/url]") == ["b", "c"]

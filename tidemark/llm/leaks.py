@@ -1,10 +1,12 @@
 """Passages of evaluation items that turn up in texts, whole, in part, or with some words changed.
 
-A window of ``min_words`` words of an item counts as leaked if a text carries it in sequence with at most one word in
-``per_change`` changed. Such a window keeps a known number of its word shingles, so by the prefix principle it must
-share one of its rarest shingles with the text. Shingles are ordered by their rarity in the corpus, the necessary ones
-are joined, pairs are bounded by the number of shingles they share at near positions, and the pairs that remain are
-aligned word by word over windows of the item's size.
+A part of at least ``min_words`` words of an item counts as leaked if a text carries it in sequence with at most one word
+in ``per_change`` changed, rounded to the nearest number: a word replaced, left out or put in is one change. One rule,
+:func:`allowed`, says how many changes a part of some length may have, to the filter and to the verification alike. A
+leaked part keeps a known number of its word shingles, so by the prefix principle it must share one of its rarest shingles
+with the text. Shingles are ordered by their rarity in the corpus, the necessary ones are joined, texts and items that are
+too short are left out, pairs are bounded by the number of shingles they share at near positions, and the pairs that remain
+are aligned word by word, exactly, over windows of the item's size.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,37 @@ from tidemark.llm.hashing import mix, prefix_hash, stretch_hash
 from tidemark.storage import discard, materialize, ship
 
 SHINGLE = 5
-#: Up to so many item shingles (16 bytes each) are broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Up to so many item shingles (16 bytes each) are broadcast; beyond, both sides are shuffled, and a shingle that is frequent
+#: among the texts is spread over so many tasks.
+BROADCAST_ROWS, SALTS = 2_000_000, 16
+#: Shingles whose positions differ by up to so many words are counted together.
+LANE = 16
 
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]{0,300}>|\[/?[A-Za-z*][^\[\]\n]{0,100}\]")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|\[/?[A-Za-z*][^\[\]\n]*\]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def allowed(words: int, per_change: int) -> int:
+    """The changes that a leaked part of so many words may have."""
+    return (2 * words + per_change) // (2 * per_change)
+
+
+def levels(min_words: int, per_change: int) -> list[tuple[int, int, int]]:
+    """(words, changes, shingles kept at least) of the parts to look for: every leaked part contains one of them.
+
+    A leaked part of twice ``min_words`` or more has a leaked half, and one that may have no more changes than a shorter one
+    contains that; so only the least lengths for each number of changes remain. A change destroys SHINGLE shingles at most.
+    """
+    out = []
+    for words in range(min_words, 2 * min_words):
+        changes = allowed(words, per_change)
+        if not out or changes > out[-1][1]:
+            out.append((words, changes, words - SHINGLE + 1 - SHINGLE * changes))
+    if min(kept for _, _, kept in out) < 1:
+        raise ValueError("so many changes may leave no shingle of a passage")
+    return out
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text, without case, punctuation, spacing, quote marks and markup."""
     return _WORD.findall(_MARKUP.sub(" ", html.unescape(text)).lower())
@@ -51,7 +76,9 @@ def shingle_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     return mix(stretch_hash(prefix_hash(codes), at, at + SHINGLE)).view(np.int64)
 
 
-def _shingle_rows(id_column: str, text_column: str):
+def _shingle_rows(id_column: str, text_column: str, least: int):
+    """Shingles of the texts that have at least ``least`` of them."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
@@ -60,7 +87,7 @@ def _shingle_rows(id_column: str, text_column: str):
                 known.clear()
             for key, text in zip(batch.column(id_column).to_pylist(), batch.column(text_column).to_pylist(), strict=True):
                 h = shingle_hashes(words_of(text), known) if text and key is not None else ()
-                if len(h):
+                if len(h) >= least:
                     ids.append(np.full(len(h), key, np.int64))
                     places.append(np.arange(len(h), dtype=np.int32))
                     hashes.append(h)
@@ -70,12 +97,9 @@ def _shingle_rows(id_column: str, text_column: str):
     return rows
 
 
-def _necessary(min_words: int, changes: int):
-    windows = min_words - SHINGLE + 1
-    kept = max(1, windows - SHINGLE * changes)
-
+def _necessary(parts: list[tuple[int, int, int]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each item, the shingles of which at least one is shared if any of its windows is."""
+        """Of each item, the shingles of which at least one is shared if any of its parts is leaked."""
         for batch in batches:
             for item, held in zip(batch.column("item_id").to_pylist(), batch.column("held").to_pylist(), strict=True):
                 held.sort(key=lambda x: x["place"])
@@ -83,44 +107,52 @@ def _necessary(min_words: int, changes: int):
                 rank = np.empty(len(held), np.int64)
                 rank[rarity] = np.arange(len(held))
                 need = np.zeros(len(held), bool)
-                for start in range(max(0, len(held) - windows) + 1):
-                    part = rank[start : start + windows]
-                    need[start + np.argsort(part)[: len(part) - kept + 1]] = True
+                for words, _, kept in parts:
+                    size = words - SHINGLE + 1
+                    for start in range(len(held) - size + 1):
+                        need[start + np.argsort(rank[start : start + size])[: size - kept + 1]] = True
                 chosen = sorted({held[i]["shingle"] for i in np.flatnonzero(need)})
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(chosen), pa.int64()), pa.array(chosen, pa.int64())], ["item_id", "shingle"])
 
     return rows
 
 
-def longest_passage(item: list[str], text: list[str], min_words: int, per_change: int) -> int:
-    """Words of the longest part of ``item`` of at least ``min_words`` that ``text`` carries with few enough changes, or 0."""
-    cost, extra = np.ones(len(item), np.int64), np.zeros(len(item) + 1, np.int64)
-    matcher = SequenceMatcher(None, item, text, autojunk=False)
-    blocks = [b for b in matcher.get_matching_blocks() if b.size]
-    if not blocks:
+def longest_passage(item: list[str], text: list[str], min_words: int, per_change: int, shifts: tuple[int, int] | None = None) -> int:
+    """Words of the longest part of ``item`` of at least ``min_words`` that ``text`` carries with few enough changes, or 0.
+
+    All alignments are tried. ``shifts``: bounds of place in the text less place in the item; an alignment that touches them
+    is found wherever else it goes, as each change moves it by one at most.
+    """
+    n, m = len(item), len(text)
+    low, high = shifts or (-n, m)
+    most = allowed(n, per_change)
+    low, high = max(low - most, -n), min(high + most, m)
+    if n < min_words or high < low:
         return 0
-    end = blocks[0].b
-    for b in blocks:
-        cost[b.a : b.a + b.size] = 0
-        extra[b.a] = b.b - end  # words of the text between this block and the one before
-        end = b.b + b.size
-    # between two blocks as many words are changed as the longer of the two sides has
-    best, n = 0, len(item)
-    ends = [(b.a, b.a + b.size) for b in blocks]
-    for i, (start, _) in enumerate(ends):
-        changes, last = 0, start
-        for j in range(i, len(ends)):
-            a, z = ends[j]
-            if j > i:
-                changes += max(a - last, int(extra[a]))
-            last = z
-            # a part may begin or end within a block, or reach over changed words that still fit
-            length = z - start
-            if length >= min_words and changes <= length / per_change + 0.5:
-                best = max(best, length)
-            spare = int(length / per_change + 0.5) - changes
-            if spare > 0 and length < min_words and length + spare >= min_words and (start > 0 or z < n):
-                best = max(best, min(length + spare, n))
+    numbers = {w: i for i, w in enumerate(item)}
+    kind = np.int16 if high - low < 10_000 else np.int32  # the largest sums stay below its greatest number
+    far = kind(10_000)
+    # the text's words at place j + d for every word j of the item and every d from low to high; -1 beyond its ends
+    padded = np.full(n + high - low, -1, np.int64)
+    begin, end = max(0, low), min(m, n + high)
+    padded[begin - low : end - low] = [numbers.get(w, -2) for w in text[begin:end]]
+    beside = np.lib.stride_tricks.sliding_window_view(padded, high - low + 1)
+    step = np.where(beside == -1, far, beside != np.array([numbers[w] for w in item])[:, None]).astype(kind)
+    slope = np.arange(high - low + 1, dtype=kind)
+    place = low + np.arange(high - low + 1)  # of the text, at the item's first word
+    cost = np.full((n, high - low + 1), far, kind)
+    best = 0
+    for j in range(n):
+        cost[j] = np.where((place + j >= 0) & (place + j <= m), 0, far)  # a part may begin here, anywhere in the text
+        live = cost[: j + 1]
+        after = np.minimum(live + step[j], far)
+        after[:, :-1] = np.minimum(after[:, :-1], live[:, 1:] + 1)  # the item's word is left out
+        after[:, :] = np.minimum.accumulate(after - slope, axis=1) + slope  # words are put in
+        cost[: j + 1] = after
+        words = j + 1 - np.arange(j + 1)
+        fits = (words >= min_words) & (after.min(axis=1) <= (2 * words + per_change) // (2 * per_change))
+        if fits.any():
+            best = max(best, int(words[fits.argmax()]))
     return best
 
 
@@ -134,15 +166,15 @@ def _verified(min_words: int, per_change: int):
                 if doc != last:
                     last, text = doc, words_of(raw)
                 words = words_of(passage)
-                slack = len(words) // per_change + 2
-                best, done = 0, -(1 << 60)
-                for shift in sorted(set(shifts)):
-                    if shift <= done:
-                        continue
-                    # all shifts within the slack of this one lie in one window of the item's size
-                    done = shift + slack
-                    window = text[max(0, shift - slack) : shift + len(words) + 2 * slack]
-                    best = max(best, longest_passage(words, window, min_words, per_change))
+                reach = 2 * allowed(len(words), per_change)
+                best, bounds = 0, []
+                for low, high in sorted((x["low"], x["high"]) for x in shifts):
+                    if bounds and low <= bounds[-1][1] + reach:
+                        bounds[-1][1] = max(bounds[-1][1], high)
+                    else:
+                        bounds.append([low, high])
+                for low, high in bounds:
+                    best = max(best, longest_passage(words, text, min_words, per_change, (low, high)))
                 if best:
                     out.append((doc, item, best))
             if out:
@@ -152,6 +184,14 @@ def _verified(min_words: int, per_change: int):
     return rows
 
 
+def _meet(met: DataFrame, side: DataFrame, small: bool) -> DataFrame:
+    """``met`` and ``side`` joined by shingle; the rows of a frequent shingle are spread over tasks by their document."""
+    if small:
+        return met.join(F.broadcast(side), "shingle")
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    return salted.join(side.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))), ["shingle", "salt"]).drop("salt")
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 25, per_change: int = 8) -> DataFrame:
     """(doc_id, item_id, words): texts of ``documents`` (doc_id, text) that leak ``items`` (item_id, passage).
 
@@ -161,33 +201,37 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, min_words: int = 25, p
     """
     ship(documents.sparkSession)
     texts, passages = documents.select("doc_id", "text"), items.select("item_id", "passage")
-    changes = min_words // per_change
-    kept = max(1, min_words - SHINGLE + 1 - SHINGLE * changes)
+    parts = levels(min_words, per_change)
+    kept = min(k for _, _, k in parts)
     held = materialize(
-        passages.mapInArrow(_shingle_rows("item_id", "passage"), "item_id bigint, place int, shingle bigint"), "item-shingles"
+        passages.mapInArrow(_shingle_rows("item_id", "passage", min_words - SHINGLE + 1), "item_id bigint, place int, shingle bigint"), "item-shingles"
     )
     wanted = held.select("shingle").distinct()
-    if held.count() <= BROADCAST_ROWS:
+    small = held.count() <= BROADCAST_ROWS
+    if small:
         wanted = F.broadcast(wanted)
-    shingles = texts.mapInArrow(_shingle_rows("doc_id", "text"), "doc_id bigint, place int, shingle bigint")
+    shingles = texts.mapInArrow(_shingle_rows("doc_id", "text", kept), "doc_id bigint, place int, shingle bigint")
     met = materialize(shingles.join(wanted, "shingle", "left_semi"), "met-shingles")
 
     seen = met.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen"))
     ranked = held.join(seen, "shingle", "left").fillna(0, ["seen"])
     per_item = ranked.groupBy("item_id").agg(F.collect_list(F.struct("place", "shingle", "seen")).alias("held"))
-    necessary = materialize(per_item.mapInArrow(_necessary(min_words, changes), "item_id bigint, shingle bigint"), "necessary")
-    pairs = met.join(necessary, "shingle").select("doc_id", "item_id").distinct()
+    necessary = materialize(per_item.mapInArrow(_necessary(parts), "item_id bigint, shingle bigint"), "necessary")
+    pairs = _meet(met, necessary, small).select("doc_id", "item_id").distinct()
 
     # pairs must share enough shingles at positions that differ by no more than the changes allow
     shared = (
-        met.withColumnRenamed("place", "at")
-        .join(held, "shingle")
+        _meet(met.withColumnRenamed("place", "at"), held, small)
         .join(pairs, ["doc_id", "item_id"], "left_semi")
         .withColumn("shift", F.col("at") - F.col("place"))
     )
-    near = shared.withColumn("lane", F.explode(F.array(F.floor(F.col("shift") / 16), F.floor(F.col("shift") / 16) - 1)))
-    lanes = near.groupBy("doc_id", "item_id", "lane").agg(F.count_distinct("place").alias("n"), F.min("shift").alias("shift")).where(F.col("n") >= kept)
-    bounded = materialize(lanes.groupBy("doc_id", "item_id").agg(F.collect_set("shift").alias("shifts")), "bounded-pairs")
+    width = max(LANE, 1 + allowed(2 * min_words, per_change))
+    near = shared.withColumn("lane", F.explode(F.array(F.floor(F.col("shift") / width), F.floor(F.col("shift") / width) - 1)))
+    lanes = near.groupBy("doc_id", "item_id", "lane").agg(
+        F.count_distinct("place").alias("n"), F.min("shift").alias("low"), F.max("shift").alias("high")
+    ).where(F.col("n") >= kept)
+    bounded = lanes.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("low", "high")).alias("shifts"))
+    bounded = materialize(bounded, "bounded-pairs")
     discard(held, met, necessary)
     return (
         bounded.join(texts, "doc_id")

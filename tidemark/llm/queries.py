@@ -28,8 +28,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stretches themselves; which document shares one is left out, as there may be several."""
-    return shared_spans.shared_stretches(_table(spark, sf_dir, "documents")).drop("other")
+    return shared_spans.shared_stretches(_table(spark, sf_dir, "documents"))
 
 
 def p9_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,16 +41,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p7_found, p7_assignment, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
 
-# Every window of 150 characters of every text, and those that occur in more than one document.
+# Every window of 150 characters of every text; those that occur in more than one document, beside the first place of their
+# least document (or, in that one, of their greatest); and the whole runs of equal windows on those diagonals.
 _WINDOWS = """w AS (SELECT doc_id, i AS start, substr(text, CAST(i AS BIGINT) + 1, 150) AS t FROM (SELECT doc_id, text, unnest(range(0, length(text) - 149)) AS i FROM documents WHERE length(text) >= 150)),
- s AS (SELECT t FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)), m AS (SELECT doc_id, start FROM w SEMI JOIN s USING (t)),
- r AS (SELECT doc_id, min(start) AS start, max(start) + 150 - min(start) AS length FROM (SELECT *, start - row_number() OVER (PARTITION BY doc_id ORDER BY start) AS k FROM m) GROUP BY doc_id, k)"""
+ s AS (SELECT t, min(doc_id) AS low, max(doc_id) AS high, min(struct_pack(d := doc_id, s := start)).s AS low_at, -max(struct_pack(d := doc_id, s := -start)).s AS high_at FROM w GROUP BY t HAVING min(doc_id) < max(doc_id)),
+ m AS (SELECT doc_id, start, CASE WHEN doc_id = low THEN high ELSE low END AS other, CASE WHEN doc_id = low THEN high_at ELSE low_at END - start AS shift FROM w JOIN s USING (t)),
+ d AS (SELECT DISTINCT doc_id, other, shift FROM m),
+ e AS (SELECT d.*, a.start FROM d JOIN w a USING (doc_id) JOIN w b ON b.doc_id = d.other AND b.start = a.start + d.shift AND b.t = a.t),
+ g AS (SELECT *, start - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY start) AS k FROM e),
+ i AS (SELECT doc_id, other, shift, min(start) AS start, max(start) AS last FROM g GROUP BY doc_id, other, shift, k),
+ r AS (SELECT i.doc_id, i.start, i.last + 150 - i.start AS length, i.other, i.start + i.shift AS other_start FROM i
+ WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = i.doc_id AND m.other = i.other AND m.shift = i.shift AND m.start BETWEEN i.start AND i.last))"""
 
 ORACLES: dict[str, str] = {
     "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM m",
-    "p9_stretches": f"WITH {_WINDOWS} SELECT doc_id, start, length FROM r",
-    "p9_parts": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, sum(length - greatest(coalesce(before, start) - start, 0)) AS shared_chars, count(*) AS stretches
+    "p9_stretches": f"WITH {_WINDOWS} SELECT *, least(doc_id, other) AS class_id FROM r",
+    "p9_parts": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, sum(greatest(start + length - greatest(start, coalesce(before, start)), 0)) AS shared_chars, count(*) AS stretches, count(DISTINCT other) AS links
  FROM (SELECT *, max(start + length) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r) GROUP BY doc_id)
- SELECT doc_id, length(text) AS n_chars, coalesce(CAST(shared_chars AS BIGINT), 0) AS shared_chars, coalesce(stretches, 0) AS stretches
+ SELECT doc_id, length(text) AS n_chars, coalesce(CAST(shared_chars AS BIGINT), 0) AS shared_chars, coalesce(stretches, 0) AS stretches, coalesce(links, 0) AS links
  FROM documents LEFT JOIN c USING (doc_id) WHERE text IS NOT NULL""",
 }

@@ -4,11 +4,12 @@ Seeds are winnowed anchors: of all anchors of ``ANCHOR`` characters that start i
 Every stretch of ``span`` characters (a window) has exactly one such anchor, determined by its characters alone, so two
 equal windows share their anchor. A seed stands for the run of windows that its anchor represents.
 
-Seeds of equal anchors are joined through their groups, never in pairs. Where the whole run's text is equal in two
-documents, the shared stretch is settled. What is left, mostly the ends of shared stretches, is extended from the anchor
-both ways: first by half of the missing characters to the left or to the right, one of which any equal window must
-match, then, where that succeeds, window by window, and equal windows meet by their hashes. Neighbouring shared windows
-make up the maximal stretches.
+Seeds of equal anchors are joined through their groups, never in pairs: of all documents that hold a window, the least is
+its reference. Where the whole run's text is equal in two documents, the run is settled. What is left, mostly the ends of
+shared stretches, is looked at from the anchor both ways: first by half of the missing characters to the left or to the
+right, one of which any equal window must match, then, where that succeeds, window by window, and equal windows meet by
+their hashes. At last each document is laid beside the references of its windows, and the match is extended both ways,
+character by character, as far as it goes: so every stretch is verbatim and maximal, and hashes only propose.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import code_points, mix, prefix_hash, sliding_min, stretch_hash
@@ -32,6 +33,12 @@ GROUP = 400_000
 
 # the columns of a seed, all bigint
 SEED = ("anchor", "run", "left", "right", "doc_id", "position", "first", "last")
+# of a window that is looked at by itself, with the run that its document stands for and its place in it
+WINDOW = ("anchor", "window", "doc_id", "start", "run", "rel")
+STRETCH = ("doc_id", "start", "length", "other", "other_start")
+
+#: Rows of one key beyond which it is spread over tasks, and the greatest number of keys that are.
+HOT_ROWS, HOT_KEYS = 100_000, 100_000
 
 
 def seeds_of(texts: list[str], span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
@@ -102,89 +109,170 @@ def _window_rows(span: int):
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "todo")), strict=True))
             for group in _groups(rows, lambda x: len(x[1])):
-                begin, todo = 0, []
+                begin, todo, runs = 0, [], []
                 for doc, text, seeds in group:
-                    todo += [(x["anchor"], doc, begin, begin + x["first"], x["last"] - x["first"] + 1) for x in seeds]
+                    todo += [(x["anchor"], doc, begin, begin + x["first"], x["last"] - x["first"] + 1, x["base"]) for x in seeds]
+                    runs += [x["run"] for x in seeds]
                     begin += len(text)
                 prefix = prefix_hash(code_points("".join(text for _, text, _ in group)))
-                anchor, doc, begin, first, size = (np.array(x, np.int64) for x in zip(*todo, strict=True))
+                anchor, doc, begin, first, size, base = (np.array(x, np.int64) for x in zip(*todo, strict=True))
                 start = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 window = stretch_hash(prefix, start, start + span)
                 place = start - np.repeat(begin, size)
+                run = pa.array(runs, pa.int64()).take(pa.array(np.repeat(np.arange(len(runs)), size)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(anchor, size)), _signed(window), pa.array(np.repeat(doc, size)), pa.array(place)],
-                    ["anchor", "window", "doc_id", "start"],
+                    [pa.array(np.repeat(anchor, size)), _signed(window), pa.array(np.repeat(doc, size)), pa.array(place), run, pa.array(place - np.repeat(base, size))],
+                    list(WINDOW),
                 )
 
     return rows
 
 
-def shared_windows(documents: DataFrame, span: int = 150) -> DataFrame:
-    """(doc_id, first, last, other): runs of window starts whose windows all occur in ``other``, another document.
+def _extended(span: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pair of texts, the maximal equal stretches on the diagonals that seeds lie on."""
+        for batch in batches:
+            out = []
+            for doc, text, other, beside, diagonals in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "other", "beside", "diagonals")), strict=True):
+                mine, theirs = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (text, beside))
+                for diagonal in diagonals:
+                    offset, starts = diagonal["offset"], np.array(diagonal["starts"])
+                    low, high = max(0, -offset), min(len(mine), len(theirs) - offset)
+                    if high - low < span:
+                        continue
+                    equal = np.zeros(high - low + 2, bool)
+                    equal[1:-1] = mine[low:high] == theirs[low + offset : high + offset]
+                    turns = low + np.flatnonzero(equal[1:] != equal[:-1])
+                    begin, end = turns[::2], turns[1::2]
+                    at = np.searchsorted(begin, starts, side="right") - 1
+                    held = np.unique(at[(at >= 0) & (starts + span <= end[at])])
+                    out += [(doc, begin[i], end[i] - begin[i], other, begin[i] + offset) for i in held]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in zip(*out, strict=True)], list(STRETCH))
+
+    return rows
+
+
+def _bigints(names: tuple[str, ...]) -> str:
+    return ", ".join(f"{n} bigint" for n in names)
+
+
+def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``few``, which has one row per key or so and ``n``, the rows of ``many`` with that key.
+
+    Keys of very many rows are spread over tasks by a salt. They are told by a broadcast table, which can't have more than
+    HOT_KEYS rows, as a key counts as hot only beyond that part of all ``total`` rows.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    salts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1)
+    hot = few.where(F.col("n") > limit).select(*keys, salts.alias("salts")).distinct()
+    salted = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("n")
+    return salted.join(copies, [*keys, "salt"], how).drop("salt")
+
+
+def _ends(place: str) -> tuple[Column, Column]:
+    """Aggregates that tell a group by its least and its greatest document, each with its first place there."""
+    return F.min(F.struct("doc_id", F.col(place).alias("at"))).alias("low"), F.max(F.struct("doc_id", (-F.col(place)).alias("at"))).alias("high")
+
+
+def _partner() -> tuple[Column, Column]:
+    """(other, its place) for a row of a group: the reference, or for the reference itself the greatest document."""
+    own = F.col("doc_id") == F.col("low.doc_id")
+    return F.when(own, F.col("high.doc_id")).otherwise(F.col("low.doc_id")), F.when(own, -F.col("high.at")).otherwise(F.col("low.at"))
 
-    Runs of a document may overlap and aren't merged; :func:`shared_stretches` does that.
+
+def matched_diagonals(documents: DataFrame, span: int = 150) -> DataFrame:
+    """(doc_id, other, offset, start): of every window that occurs in two documents, the diagonal on which it matches its
+    reference, the least document that holds it (for the reference itself, the greatest), at its first place there.
+
+    ``offset`` is the place there less the place here. Windows of one anchor on one diagonal have one row, with the first.
     """
     ship(documents.sparkSession)
     texts = documents.select("doc_id", "text")
-    bigints = lambda names: ", ".join(f"{n} bigint" for n in names)
-    low_high = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    seeds = materialize(texts.mapInArrow(_seed_rows(span), bigints(SEED)), "seeds")
+    seeds = materialize(texts.mapInArrow(_seed_rows(span), _bigints(SEED)), "seeds")
+    total = seeds.count()
     # groups are told by their least and greatest document, combined on the map side: frequent ones do no harm
-    anchors = materialize(seeds.groupBy("anchor").agg(*low_high).where("low < high").select("anchor"), "anchors")
-    joined = materialize(seeds.join(anchors, "anchor"), "joined-seeds")
+    anchors = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    anchors = materialize(anchors.where("low < high").select("anchor", "n"), "anchors")
+    joined = materialize(_spread_join(seeds, anchors, ["anchor"], total), "joined-seeds")
     discard(seeds, anchors)
 
-    runs = materialize(joined.groupBy("anchor", "run").agg(*low_high), "runs")
+    runs = materialize(joined.groupBy("anchor", "run").agg(*_ends("first"), F.count(F.lit(1)).alias("n")), "runs")
     several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("open"))
-    judged = joined.join(runs.join(several, "anchor", "left").where("low < high or open"), ["anchor", "run"])
-    judged = materialize(judged, "judged-seeds")
-    discard(joined, runs)
-    other = F.when(F.col("doc_id") == F.col("low"), F.col("high")).otherwise(F.col("low"))
-    settled = judged.where("low < high").select("doc_id", "first", "last", other.alias("other"))
+    wanted = runs.join(several, "anchor", "left").withColumn("settled", F.col("low.doc_id") < F.col("high.doc_id")).where("settled or open")
+    judged = materialize(_spread_join(joined, wanted, ["anchor", "run"], total), "judged-seeds")
+    discard(joined)
+    other, place = _partner()
+    closed = judged.where("settled and open is null").select("doc_id", other.alias("other"), (place - F.col("first")).alias("offset"), F.col("first").alias("start"))
 
     # of a settled run two documents stand for all; runs of one document are all looked at
-    todo = judged.where("open and (doc_id = low or doc_id = high)").drop("low", "high", "open", "run")
+    stands = (F.col("doc_id") == F.col("low.doc_id")) | (F.col("doc_id") == F.col("high.doc_id"))
+    leads = F.col("settled") & (F.col("doc_id") == F.col("low.doc_id")) & (F.col("first") == F.col("low.at"))
+    todo = judged.where(F.col("open") & stands).withColumn("led", F.when(leads, F.col("run"))).drop("low", "high", "open", "settled", "run")
     half = (span - ANCHOR + 1) // 2
     for side in ("left", "right"):
-        met = todo.where(F.col(side) != 0).groupBy("anchor", side).agg(*low_high).where("low < high")
-        todo = todo.join(met.select("anchor", side, F.lit(True).alias(f"met_{side}")), ["anchor", side], "left")
+        met = todo.where(F.col(side) != 0).groupBy("anchor", side).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+        met = met.where("low < high").select("anchor", side, "n", F.lit(True).alias(f"met_{side}"))
+        todo = _spread_join(todo, met, ["anchor", side], total, "left")
     # windows that begin half or more before the anchor hold its left half, those that begin half or less before its right
     nearest = F.when(F.col("met_right"), F.col("last")).otherwise(F.least("last", F.col("position") - half))
     farthest = F.when(F.col("met_left"), F.col("first")).otherwise(F.greatest("first", F.col("position") - (span - ANCHOR - half)))
-    todo = todo.where("met_left or met_right").select("doc_id", "anchor", farthest.alias("first"), nearest.alias("last")).where("first <= last")
-    by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "last")).alias("todo"))
-    windows = by_doc.join(texts, "doc_id").mapInArrow(_window_rows(span), bigints(("anchor", "window", "doc_id", "start")))
-    windows = materialize(windows, "windows")
-    equal = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    met = windows.join(equal, ["anchor", "window"])
-    extended = met.select("doc_id", F.col("start").alias("first"), F.col("start").alias("last"), other.alias("other"))
-    return settled.unionByName(extended)
+    todo = todo.where("met_left or met_right").select(
+        "doc_id", "anchor", F.col("led").alias("run"), F.col("first").alias("base"), farthest.alias("first"), nearest.alias("last")
+    ).where("first <= last")
+    by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run", "base", "first", "last")).alias("todo"))
+    windows = materialize(by_doc.join(texts, "doc_id").mapInArrow(_window_rows(span), _bigints(WINDOW)), "windows")
+    equal = windows.groupBy("anchor", "window").agg(*_ends("start"), F.count(F.lit(1)).alias("n")).where("low.doc_id < high.doc_id")
+    met = materialize(_spread_join(windows, equal, ["anchor", "window"], windows.count()), "met-windows")
+    looked = met.groupBy("doc_id", other.alias("other"), (place - F.col("start")).alias("offset"), "anchor").agg(F.min("start").alias("start")).drop("anchor")
+
+    # what the windows of the document that stands for a run have met holds for all documents of the run
+    pieces = met.where("run is not null").groupBy("anchor", "run", F.col("low.doc_id").alias("other"), (F.col("low.at") - F.col("rel")).alias("delta"))
+    pieces = pieces.agg(F.min("rel").alias("rel")).join(runs.select("anchor", "run", "n"), ["anchor", "run"])
+    rest = judged.where(F.col("open") & F.col("settled") & ~stands).select("doc_id", "anchor", "run", "first")
+    followed = _spread_join(rest, pieces, ["anchor", "run"], total).select(
+        "doc_id", "other", (F.col("delta") - F.col("first")).alias("offset"), (F.col("first") + F.col("rel")).alias("start")
+    )
+    diagonals = materialize(closed.unionByName(looked).unionByName(followed), "diagonals")
+    discard(runs, judged, windows, met)
+    return diagonals
 
 
 def shared_stretches(documents: DataFrame, span: int = 150) -> DataFrame:
-    """(doc_id, start, length, other): the maximal stretches of ``span`` or more characters found in other documents.
-
-    Characters are code points, compared exactly. A stretch is maximal: every ``span`` characters in it occur in another
-    document, and it can't be longer on either side; ``other`` is one document that shares its beginning. Stretches may
-    overlap where no single window covers their seam. Null and shorter texts share nothing; rows with a null ``doc_id``
-    are left out; a repeated ``doc_id`` counts as one document; an empty input gives an empty result.
+    """(doc_id, start, length, other, other_start, class_id): stretches of ``span`` or more characters found in other documents.
+
+    Characters are code points, compared exactly. A stretch is equal to the one of the same length at ``other_start`` in
+    ``other``, and can't be longer on either side. Every ``span`` characters (a window) that occur in another document lie
+    in a stretch shared with the window's reference, the least document that holds it, where it occurs first; the reference's
+    own windows, with the greatest document. ``class_id`` is that reference, so all documents that share a window meet at
+    the same place of one document, and no link is lost though copies aren't paired with each other. Stretches of a document
+    may overlap. Null and shorter texts share nothing; rows with a null ``doc_id`` are left out; a repeated ``doc_id``
+    counts as one document; an empty input gives an empty result.
     """
-    runs = shared_windows(documents, span)
-    order = Window.partitionBy("doc_id").orderBy("first", "last")
-    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(reached.isNull() | (F.col("first") > reached + 1), 1).otherwise(0)
-    numbered = runs.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(order))
-    return numbered.groupBy("doc_id", "stretch").agg(
-        F.min("first").alias("start"), (F.max("last") + span - F.min("first")).alias("length"), F.min_by("other", "first").alias("other")
-    ).drop("stretch")
+    diagonals = matched_diagonals(documents, span)
+    texts = documents.select("doc_id", "text").where(F.char_length("text") >= span)
+    lines = diagonals.groupBy("doc_id", "other", "offset").agg(F.collect_set("start").alias("starts"))
+    pairs = materialize(lines.groupBy("doc_id", "other").agg(F.collect_list(F.struct("offset", "starts")).alias("diagonals")), "pairs")
+    discard(diagonals)
+    partners = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
+    beside = texts.withColumnsRenamed({"doc_id": "other", "text": "beside"}).join(partners, "other")
+    both = _spread_join(pairs.join(texts, "doc_id"), beside, ["other"], pairs.count())
+    found = both.select("doc_id", "text", "other", "beside", "diagonals").mapInArrow(_extended(span), _bigints(STRETCH)).distinct()
+    return found.withColumn("class_id", F.least("doc_id", "other"))
 
 
 def shared_parts(documents: DataFrame, span: int = 150) -> DataFrame:
-    """(doc_id, n_chars, shared_chars, stretches) of every document with a text: how much of it is found in others."""
+    """(doc_id, n_chars, shared_chars, stretches, links) of every document with a text: how much of it is found in others.
+
+    ``links`` is the number of documents named by its stretches; all others that share with it are linked to those.
+    """
     order = Window.partitionBy("doc_id").orderBy("start")
     stretches = shared_stretches(documents, span).withColumn("stop", F.col("start") + F.col("length"))
     reached = F.coalesce(F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("start"))
-    fresh = F.col("stop") - F.greatest("start", reached)
-    held = stretches.withColumn("fresh", fresh).groupBy("doc_id").agg(F.sum("fresh").alias("shared_chars"), F.count(F.lit(1)).alias("stretches"))
+    fresh = F.greatest(F.col("stop") - F.greatest("start", reached), F.lit(0))
+    held = stretches.withColumn("fresh", fresh).groupBy("doc_id").agg(
+        F.sum("fresh").alias("shared_chars"), F.count(F.lit(1)).alias("stretches"), F.count_distinct("other").alias("links")
+    )
     lengths = documents.where("text is not null and doc_id is not null").select("doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
-    return lengths.join(held, "doc_id", "left").fillna(0, ["shared_chars", "stretches"])
+    return lengths.join(held, "doc_id", "left").fillna(0, ["shared_chars", "stretches", "links"])
