@@ -1,6 +1,7 @@
 """The data-preparation operators against plain Python, with nulls, ties, repeats, empty tables and clashing names."""
 
 import inspect
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -8,6 +9,8 @@ from datetime import date, timedelta
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +77,7 @@ def test_factorisation_beats_the_median_on_held_out_cells():
 def flags(spark, series, limits=None, chunk_rows=5000):
     df = spark.createDataFrame(series, "source string, row_id bigint, ts_nanos bigint, value1 double, value2 double")
     df = df.select(F.lit("t").alias("record_table"), "*", F.lit("clash").alias("chunk"), F.lit(0).alias("width"))
-    out = anomalies.flagged(*anomalies.measured(df, chunk_rows), {"t": ("x", "y")}, {"t": limits or anomalies.Limits()})
+    out = anomalies.flagged(anomalies.measured(df, chunk_rows), {"t": ("x", "y")}, {"t": limits or anomalies.Limits()})
     return sorted((r["record_field"], r["row_id"], r["reason"]) for r in out.collect())
 
 
@@ -161,9 +164,60 @@ def test_anomaly_edge_cases(spark):
     assert flags(spark, []) == []
     few = [(None, 1, 5, 1.0, 1.0), ("a", 2, None, 99.0, 1.0), ("a", 3, 7, None, NAN), ("b", 4, 7, 1e9, INF), ("b", 5, 7, 1.0, -INF)]
     assert flags(spark, few) == []
-    bad = spark.createDataFrame([(1, -1.0), (2, NAN), (3, None), (4, INF), (5, 1.0)], "row_id bigint, price double")
-    test = ~F.isnan("price") & ((F.col("price") <= 0) | (F.abs("price") == F.lit(INF)))
-    assert sorted(r["row_id"] for r in anomalies.impossible(bad, "t", {"price": test}).collect()) == [1, 4]
+    bad = spark.createDataFrame([("t", 1, True, None), ("t", 2, False, True), ("t", 3, True, True)], "record_table string, row_id bigint, bad1 boolean, bad2 boolean")
+    got = [(r["record_field"], r["row_id"]) for r in anomalies.impossible(bad, {"t": ("x", "y")}).collect()]
+    assert sorted(got) == [("x", 1), ("x", 3), ("y", 2), ("y", 3)]
+
+
+@pytest.mark.parametrize("sizes", [[1] * 60, [7, 1, 40, 200, 3], [400, 400], [2000]])
+def test_cutting_a_series_anywhere_changes_nothing(sizes):
+    """Partitions of any sizes, with ties, copies and a sparse field, give what one partition gives."""
+    rng = np.random.default_rng(len(sizes))
+    n = sum(sizes)
+    sources = np.sort(rng.choice(["a", "b", "c"], n, p=[0.1, 0.8, 0.1]))
+    t = np.concatenate([np.sort(rng.integers(0, 2 * n, (sources == s).sum())) for s in "abc"])
+    v1, v2 = np.round(rng.normal(0, 2, n)), np.where(rng.random(n) < 0.1, rng.normal(0, 1, n), np.nan)
+    table = pa.table({"record_table": ["t"] * n, "source": sources, "row_id": np.arange(n), "ts_nanos": t, "value1": v1, "value2": v2})
+    ends = [0]
+    for size in sizes:  # equal times are never in two partitions
+        end = ends[-1] + size
+        while 0 < end < n and (sources[end], t[end]) == (sources[end - 1], t[end - 1]):
+            end += 1
+        ends.append(min(end, n))
+
+    def run(parts, chunk_rows):
+        rows = [b for p in parts for b in anomalies._judge_partition(chunk_rows, 11)(iter(p.to_batches(max_chunksize=50)))]
+        judged = pa.Table.from_batches(rows).to_pandas()
+        edges = judged[judged["due"].notna()].sort_values(["source", "field", "ts_nanos"], kind="stable")
+        edges = pa.Table.from_pandas(edges[["record_table", "source", "field", "row_id", "ts_nanos", "value", "due"]], preserve_index=False)
+        edges = edges.set_column(6, "due", edges["due"].cast(pa.bool_()))
+        late = [b.to_pandas() for b in anomalies._judge_edges(chunk_rows, 11)(iter(edges.to_batches(max_chunksize=50)))]
+        out = pd.concat([judged[judged["due"].isna()], *late])
+        out["run"] = np.minimum(out["run"].astype(int), 11)  # beyond that a run is long, however long
+        return out.sort_values(["field", "row_id"])[["source", "field", "row_id", "hour", "value", "deviation", "jump", "run", "changed"]].reset_index(drop=True)
+
+    whole = run([table], 10**6)
+    assert len(whole) == np.isfinite(v1).sum() + np.isfinite(v2).sum()
+    got = run([table.slice(a, b - a) for a, b in itertools.pairwise(ends)], 60)
+    pd.testing.assert_frame_equal(got, whole, check_dtype=False)
+
+
+def test_a_burst_is_cut_like_any_stretch(spark):
+    rng = random.Random(9)
+    rows = [("s", i, 10**15 + i // 3, rng.gauss(0, 1), None) for i in range(9000)]  # 9000 readings in three microseconds
+    rows += [("s", 9000 + i, i * 3600 * S, rng.gauss(0, 1), None) for i in range(200)]
+    rows[4000] = ("s", 4000, rows[4000][2], 90.0, None)
+    assert flags(spark, rows, chunk_rows=100) == [("x", 4000, "spike")]
+
+
+def test_the_fence_follows_the_tail(spark):
+    rng = np.random.default_rng(4)
+    normal, heavy = rng.normal(0, 1, 20_000), rng.laplace(0, 1, 20_000)
+    rows = [(s, k * 20_000 + i, i * 60 * S, float(x), None) for k, (s, v) in enumerate((("normal", normal), ("heavy", heavy))) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "source string, row_id bigint, ts_nanos bigint, value1 double, value2 double").withColumn("record_table", F.lit("t"))
+    ranges = anomalies.normal_ranges(anomalies.measured(df), {"t": anomalies.Limits()})
+    fences = {r["source"]: r["f"] for r in ranges.groupBy("source").agg(F.percentile("fence", 0.5).alias("f")).collect()}
+    assert 4.7 < fences["normal"] < 6.0 and 8.0 < fences["heavy"] < 20.0
 
 
 # -- compaction

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import finite, rfc3339_nanos
 from tidemark.operators import anomalies, grid, intervals, quantiles, rolling
 from tidemark.operators.trades import distinct_trades
+from tidemark.storage import materialize
 from tidemark.streaming import compaction
 
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -31,32 +32,42 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).where(F.col("state") != grid.OBSERVED).select(F.col("source").alias("metric"), "cell_start_sec")
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FIELDS = {"datapoints": ("c0", "c1"), "trades": ("price", "size")}
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings with a time, each parsed once: what can't be is told by ``bad1`` and ``bad2`` and isn't among the values."""
     catalog = _table(spark, sf_dir, "metric_catalog").select("metric", "low_limit", "high_limit")
-    points = _table(spark, sf_dir, "datapoints").select("row_id", "metric", "ts_nanos", "c0", "c1").where("ts_nanos is not null")
-    points = points.join(catalog, "metric", "left")
+    points = _table(spark, sf_dir, "datapoints").select("row_id", "metric", "ts_nanos", "c0", "c1").join(catalog, "metric", "left")
     infinite = lambda c: F.abs(c) == F.lit(float("inf"))
     outside = ~F.isnan("c0") & ((F.col("c0") < F.col("low_limit")) | (F.col("c0") > F.col("high_limit")))
     trades = _table(spark, sf_dir, "trades").select("row_id", "market", "price", "size", rfc3339_nanos(F.col("exec_date")).alias("ts_nanos"))
-    trades = trades.where("ts_nanos is not null")
-    positive = lambda c: F.when(F.col(c) > 0, finite(F.col(c)))
-    series = points.select(
-        F.lit("datapoints").alias("record_table"), F.col("metric").alias("source"), "row_id", "ts_nanos",
-        F.when(~F.coalesce(outside, F.lit(False)), finite(F.col("c0"))).alias("value1"), finite(F.col("c1")).alias("value2"),
-    ).unionByName(
-        trades.select(
-            F.lit("trades").alias("record_table"), F.col("market").alias("source"), "row_id", "ts_nanos",
-            positive("price").alias("value1"), F.ln(positive("size")).alias("value2"),
-        )
-    )
-    # sizes spread over orders of magnitude, so they are judged by their logarithm, with the fence of a normal curve
-    limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(fence=(12.0, 5.2), frozen=(True, False), logarithm=(False, True))}
-    judged = anomalies.flagged(*anomalies.measured(series), {"datapoints": ("c0", "c1"), "trades": ("price", "size")}, limits)
-    return judged.unionByName(anomalies.impossible(points, "datapoints", {"c0": infinite("c0") | outside, "c1": infinite("c1")})).unionByName(
-        anomalies.impossible(trades, "trades", {f: ~F.isnan(f) & ((F.col(f) <= 0) | infinite(f)) for f in ("price", "size")})
+    unfit = lambda c: ~F.isnan(c) & ((F.col(c) <= 0) | infinite(c))
+
+    def readings(rows: DataFrame, table: str, source: str, values: tuple[Column, Column], bad: tuple[Column, Column]) -> DataFrame:
+        bad = [F.coalesce(b, F.lit(False)) for b in bad]
+        return rows.where("ts_nanos is not null").select(
+            F.lit(table).alias("record_table"), F.col(source).alias("source"), "row_id", "ts_nanos",
+            *[F.when(~b, finite(v)).alias(f"value{k}") for k, v, b in zip((1, 2), values, bad, strict=True)],
+            *[b.alias(f"bad{k}") for k, b in zip((1, 2), bad, strict=True)],
+        )
+
+    # sizes spread over orders of magnitude, so they are judged by their logarithm
+    return readings(points, "datapoints", "metric", (F.col("c0"), F.col("c1")), (infinite("c0") | outside, infinite("c1"))).unionByName(
+        readings(trades, "trades", "market", (F.col("price"), F.ln("size")), (unfit("price"), unfit("size")))
     )
 
 
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(frozen=(True, False), logarithm=(False, True))}
+    series = materialize(_series(spark, sf_dir), "series")
+    return anomalies.flagged(anomalies.measured(series), _FIELDS, limits).unionByName(anomalies.impossible(series, _FIELDS))
+
+
+def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.impossible(_series(spark, sf_dir), _FIELDS).drop("reason")
+
+
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir)
 
@@ -128,7 +139,7 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entity").alias("metric"), F.col("since").alias("since_sec"), F.col("until").alias("until_sec"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_compacted, p4_percentiles, p4_combined_days, p5_found, p5_trailing, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p2_impossible, p3_found, p3_compacted, p4_percentiles, p4_combined_days, p5_found, p5_trailing, p6_found, p6_periods)}
 
 # One delivery of each trade, with its instant and UTC day.
 _TRADES = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trade_id, -1), CASE WHEN trade_id IS NULL THEN row_id END
@@ -175,6 +186,9 @@ ORACLES: dict[str, str] = {
  WHERE ts_nanos IS NOT NULL AND isfinite(c0)), b AS (SELECT metric, p, min(cell) AS lo, max(cell) AS hi FROM u GROUP BY ALL),
  g AS (SELECT metric, p, unnest(range(lo, hi + 1)) AS cell FROM b)
  SELECT metric, cell * p AS cell_start_sec FROM g ANTI JOIN u USING (metric, cell)""",
+    "p2_impossible": """SELECT record_table, record_field, row_id FROM (SELECT 'datapoints' AS record_table, unnest(['c0', 'c1']) AS record_field, row_id, unnest([coalesce(isinf(c0) OR (NOT isnan(c0) AND (c0 < low_limit OR c0 > high_limit)), FALSE), coalesce(isinf(c1), FALSE)]) AS bad
+ FROM datapoints LEFT JOIN metric_catalog USING (metric) WHERE ts_nanos IS NOT NULL UNION ALL SELECT 'trades', unnest(['price', 'size']), row_id,
+ unnest([coalesce(NOT isnan(price) AND (price <= 0 OR isinf(price)), FALSE), coalesce(NOT isnan(size) AND (size <= 0 OR isinf(size)), FALSE)]) FROM trades WHERE exec_date IS NOT NULL) WHERE bad""",
     "p3_found": f"""SELECT metric, block_id FROM (SELECT DISTINCT metric, block_id FROM datapoints WHERE block_id IS NOT NULL)
  LEFT JOIN (SELECT metric, block_id, count(*) AS n FROM {_OWNED} GROUP BY ALL) USING (metric, block_id) WHERE coalesce(n, 0) < 64""",
     "p3_compacted": """WITH s AS (SELECT * FROM datapoints WHERE block_id IS NOT NULL), b AS (SELECT metric, min(ts_nanos) AS first, count(*) AS n FROM s GROUP BY metric, block_id),

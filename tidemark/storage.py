@@ -6,9 +6,13 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -51,6 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIR[sc.applicationId]
 
 
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the jobs run inside; names are given with ``_`` for ``.``, behind ``spark.sql.``."""
+    names = {f"spark.sql.{k.replace('_', '.')}": v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
@@ -59,8 +77,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    This cuts the lineage in a way that outlives lost executors, fixes the outcome of nondeterministic steps, and
-    tells Catalyst the true size, so a small table is broadcast only if it fits ``autoBroadcastJoinThreshold``.
+    This cuts the lineage in a way that outlives lost executors and fixes the outcome of nondeterministic steps. The files
+    are smaller than their rows in memory, so a table that may be broadcast goes through :func:`join_small`.
     """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
@@ -70,6 +88,39 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+#: Bytes in memory up to which a table may be broadcast, and the salts by which rows are spread beyond that.
+BROADCAST_BYTES, SALTS = 16 << 20, 16
+
+
+def memory_bytes(table: DataFrame) -> int:
+    """Bytes that the rows of a table of scalars and texts take in memory, counted."""
+    texts = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType | T.BinaryType)]
+    sums = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)) for c in texts]
+    rows, *lengths = table.agg(F.count(F.lit(1)), *sums).first()
+    return rows * (32 + 16 * len(table.columns)) + sum(lengths)
+
+
+def join_small(large: DataFrame, small: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
+    """The inner join of ``large`` with ``small``, a written table that may be small, by ``keys``.
+
+    It is broadcast only if its rows take no more than BROADCAST_BYTES in memory. Beyond that both are shuffled, and the rows
+    of each key of ``large`` are spread by a salt, so no key is too frequent. ``null_safe``: null keys meet each other.
+    """
+    if memory_bytes(small) <= BROADCAST_BYTES:
+        small = F.broadcast(small)
+    else:
+        large = large.withColumn("_salt", F.floor(F.rand(11) * SALTS).cast("int"))
+        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
+        keys = [*keys, "_salt"]
+    if not null_safe:
+        return large.join(small, keys).drop("_salt")
+    own = small.withColumnsRenamed({k: f"_own_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_own_{k}"))
+    return large.join(own, met).drop(*[f"_own_{k}" for k in keys], "_salt")
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`materialize` has written, once nothing that is still to be computed reads them."""
     for table in tables:
