@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import NANOS
-from tidemark.storage import discard, join_small, materialize, ship
+from tidemark.storage import discard, join_small, materialize, settings, ship
 
 #: Readings around a reading that its deviation is measured against, on either side.
 REACH = 10
@@ -32,6 +32,8 @@ IQR_SIGMAS = 1.349
 #: Parts of the deviations whose quantiles tell the shape of the tail, for large sources and ever smaller ones, and the
 #: size of the sketch that holds them (rank errors below half a percent).
 TAILS, TAIL_SKETCH = (0.03, 0.06, 0.12, 0.25, 0.5), 800
+#: Groups whose sketches (20 kB each) a task holds before it sorts its readings by group instead.
+GROUPS = 2048
 #: Departures from a value that three quarters of a series hold, in all and as a part of its readings, that are too few to
 #: have a usual size; and the part of that value which then stands for it.
 FEW, FEW_PART, LEVEL_PART = 2, 0.0025, 0.01
@@ -330,7 +332,9 @@ def normal_ranges(readings: DataFrame, limits: dict[str, Limits], sigmas: float
         F.count(F.when(loose & F.col("changed"), 1)).alias("change"),
         F.count(F.when(F.col("changed"), 1)).alias("runs"),
     )
-    hourly = materialize(hourly, "hour-sketches")
+    # a task sees few sources, but an hour and field of each is a group; sorting all readings by them would cost far more memory
+    with settings(readings.sparkSession, objectHashAggregate_sortBased_fallbackThreshold=str(GROUPS)):
+        hourly = materialize(hourly, "hour-sketches")
     whole = hourly.groupBy(*keys).agg(
         *[F.kll_merge_agg_double(c).alias(c) for c in ("dev", "val", "off")],
         F.kll_merge_agg_double("size", F.lit(TAIL_SKETCH)).alias("size"),
