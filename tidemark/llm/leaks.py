@@ -140,19 +140,29 @@ def longest_passage(item: list[str], text: list[str], min_words: int, per_change
     step = np.where(beside == -1, far, beside != np.array([numbers[w] for w in item])[:, None]).astype(kind)
     slope = np.arange(high - low + 1, dtype=kind)
     place = low + np.arange(high - low + 1)  # of the text, at the item's first word
-    cost = np.full((n, high - low + 1), far, kind)
-    best = 0
-    for j in range(n):
-        cost[j] = np.where((place + j >= 0) & (place + j <= m), 0, far)  # a part may begin here, anywhere in the text
-        live = cost[: j + 1]
-        after = np.minimum(live + step[j], far)
-        after[:, :-1] = np.minimum(after[:, :-1], live[:, 1:] + 1)  # the item's word is left out
-        after[:, :] = np.minimum.accumulate(after - slope, axis=1) + slope  # words are put in
-        cost[: j + 1] = after
-        words = j + 1 - np.arange(j + 1)
-        fits = (words >= min_words) & (after.min(axis=1) <= (2 * words + per_change) // (2 * per_change))
-        if fits.any():
-            best = max(best, int(words[fits.argmax()]))
+    best, first, block = 0, 0, 4
+    # starts in blocks, from the first on, until no later one can have a longer part
+    while n - first > max(best, min_words - 1):
+        starts = np.arange(first, min(first + block, n))
+        cost = np.full((len(starts), high - low + 1), far, kind)
+        spare = (2 * (n - starts) + per_change) // (2 * per_change)
+        for j in range(first, n):
+            if j - first < len(starts):
+                cost[j - first] = np.where((place + j >= 0) & (place + j <= m), 0, far)  # a part begins here, anywhere in the text
+            after = np.minimum(cost + step[j], far)
+            np.minimum(after[:, :-1], cost[:, 1:] + 1, out=after[:, :-1])  # the item's word is left out
+            after -= slope
+            np.minimum.accumulate(after, axis=1, out=after)  # words are put in
+            after += slope
+            cost = after
+            least = cost.min(axis=1)
+            words = j + 1 - starts
+            fits = (words >= min_words) & (least <= (2 * words + per_change) // (2 * per_change))
+            if fits.any():
+                best = max(best, int(words[fits.argmax()]))
+            if j >= starts[-1] and (least > spare).all():
+                break
+        first, block = first + block, 16
     return best
 
 
