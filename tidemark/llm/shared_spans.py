@@ -31,10 +31,10 @@ POSITION_BITS = 30
 GROUP = 400_000
 
 
-# the columns of a seed, all bigint
-SEED = ("anchor", "run", "left", "right", "doc_id", "position", "first", "last")
+# the columns of a seed, all bigint; ``at`` is the first place of an equal run in its text
+SEED = ("anchor", "run", "left", "right", "doc_id", "position", "first", "last", "at")
 # of a window that is looked at by itself, with the run that its document stands for and its place in it
-WINDOW = ("anchor", "window", "doc_id", "start", "run", "rel")
+WINDOW = ("anchor", "window", "doc_id", "start", "at", "run", "rel")
 STRETCH = ("doc_id", "start", "length", "other", "other_start")
 
 #: Rows of one key beyond which it is spread over tasks, and the greatest number of keys that are.
@@ -44,7 +44,7 @@ HOT_ROWS, HOT_KEYS = 100_000, 100_000
 def seeds_of(texts: list[str], span: int, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
     """Of each seed of some texts of at least ``span`` characters: (number of its text, hash of its anchor, of its run's
     text, of the anchor with half of the missing characters to the left, and to the right, the anchor's position, the
-    run's first and last window).
+    run's first and last window, the first window of the first equal run in the text).
 
     Where the text ends too soon for a half the hash is 0.
     """
@@ -71,7 +71,20 @@ def seeds_of(texts: list[str], span: int, anchor: int = ANCHOR) -> tuple[np.ndar
     low, high = position - half, position + anchor + half
     left = np.where(low >= begins[text], stretch_hash(prefix, np.maximum(low, 0), position + anchor) | np.uint64(1), np.uint64(0))
     right = np.where(high <= ends[text], stretch_hash(prefix, position, np.minimum(high, ends[-1])) | np.uint64(1), np.uint64(0))
-    return text, hashes[position], run, left, right, *(x - begins[text] for x in (position, first, last))
+    at = first[first_equal(text, hashes[position], run)]
+    return text, hashes[position], run, left, right, *(x - begins[text] for x in (position, first, last, at))
+
+
+def first_equal(*columns: np.ndarray) -> np.ndarray:
+    """Of each row, the number of the first row that equals it."""
+    order = np.lexsort((np.arange(len(columns[0])), *columns))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
 
 
 def _groups(items: list[tuple], length) -> Iterator[list[tuple]]:
@@ -111,6 +124,7 @@ def _window_rows(span: int):
             for group in _groups(rows, lambda x: len(x[1])):
                 begin, todo, runs = 0, [], []
                 for doc, text, seeds in group:
+                    seeds.sort(key=lambda x: x["first"])
                     todo += [(x["anchor"], doc, begin, begin + x["first"], x["last"] - x["first"] + 1, x["base"]) for x in seeds]
                     runs += [x["run"] for x in seeds]
                     begin += len(text)
@@ -120,10 +134,10 @@ def _window_rows(span: int):
                 window = stretch_hash(prefix, start, start + span)
                 place = start - np.repeat(begin, size)
                 run = pa.array(runs, pa.int64()).take(pa.array(np.repeat(np.arange(len(runs)), size)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(anchor, size)), _signed(window), pa.array(np.repeat(doc, size)), pa.array(place), run, pa.array(place - np.repeat(base, size))],
-                    list(WINDOW),
-                )
+                anchor, doc = np.repeat(anchor, size), np.repeat(doc, size)
+                at = place[first_equal(doc, anchor, window)]  # places of a text ascend, so that is the first
+                rel = place - np.repeat(base, size)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), _signed(window), *map(pa.array, (doc, place, at)), run, pa.array(rel)], list(WINDOW))
 
     return rows
 
@@ -157,13 +171,14 @@ def _bigints(names: tuple[str, ...]) -> str:
     return ", ".join(f"{n} bigint" for n in names)
 
 
-def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], limit: int | None, how: str = "inner") -> DataFrame:
     """``many`` joined with ``few``, which has one row per key or so and ``n``, the rows of ``many`` with that key.
 
-    Keys of very many rows are spread over tasks by a salt. They are told by a broadcast table, which can't have more than
-    HOT_KEYS rows, as a key counts as hot only beyond that part of all ``total`` rows.
+    Keys of more than ``limit`` rows are spread over tasks by a salt. They are told by a broadcast table of HOT_KEYS rows at
+    most, as the limit is at least that part of all rows. Without a limit no key is that frequent.
     """
-    limit = max(HOT_ROWS, total // HOT_KEYS)
+    if limit is None:
+        return many.join(few.drop("n"), keys, how)
     salts = F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1)
     hot = few.where(F.col("n") > limit).select(*keys, salts.alias("salts")).distinct()
     salted = many.join(F.broadcast(hot), keys, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1)))).drop("salts")
@@ -171,19 +186,26 @@ def _spread_join(many: DataFrame, few: DataFrame, keys: list[str], total: int, h
     return salted.join(copies, [*keys, "salt"], how).drop("salt")
 
 
-def _ends(place: str) -> tuple[Column, Column]:
+def _limit(few: DataFrame) -> int | None:
+    """Rows beyond which a key of ``few`` (with ``n`` rows each) is spread, or None if none has so many."""
+    most, total = few.agg(F.max("n"), F.sum("n")).first()
+    limit = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    return limit if (most or 0) > limit else None
+
+
+def _ends() -> tuple[Column, ...]:
     """Aggregates that tell a group by its least and its greatest document, each with its first place there."""
-    return F.min(F.struct("doc_id", F.col(place).alias("at"))).alias("low"), F.max(F.struct("doc_id", (-F.col(place)).alias("at"))).alias("high")
+    return F.min("doc_id").alias("low"), F.min_by("at", "doc_id").alias("low_at"), F.max("doc_id").alias("high"), F.max_by("at", "doc_id").alias("high_at")
 
 
 def _partner() -> tuple[Column, Column]:
     """(other, its place) for a row of a group: the reference, or for the reference itself the greatest document."""
-    own = F.col("doc_id") == F.col("low.doc_id")
-    return F.when(own, F.col("high.doc_id")).otherwise(F.col("low.doc_id")), F.when(own, -F.col("high.at")).otherwise(F.col("low.at"))
+    own = F.col("doc_id") == F.col("low")
+    return F.when(own, F.col("high")).otherwise(F.col("low")), F.when(own, F.col("high_at")).otherwise(F.col("low_at"))
 
 
-def matched_diagonals(documents: DataFrame, span: int = 150) -> DataFrame:
-    """(doc_id, other, offset, start): of every window that occurs in two documents, the diagonal on which it matches its
+def matched_diagonals(documents: DataFrame, span: int = 150) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, other, offset, start), and the texts (doc_id, text) of all documents in it: of every window that occurs in two documents, the diagonal on which it matches its
     reference, the least document that holds it (for the reference itself, the greatest), at its first place there.
 
     ``offset`` is the place there less the place here. Windows of one anchor on one diagonal have one row, with the first.
@@ -191,30 +213,31 @@ def matched_diagonals(documents: DataFrame, span: int = 150) -> DataFrame:
     ship(documents.sparkSession)
     texts = documents.select("doc_id", "text")
     seeds = materialize(texts.mapInArrow(_seed_rows(span), _bigints(SEED)), "seeds")
-    total = seeds.count()
     # groups are told by their least and greatest document, combined on the map side: frequent ones do no harm
-    anchors = seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-    anchors = materialize(anchors.where("low < high").select("anchor", "n"), "anchors")
-    joined = materialize(_spread_join(seeds, anchors, ["anchor"], total), "joined-seeds")
+    low_high = (F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
+    anchors = materialize(seeds.groupBy("anchor").agg(*low_high).where("low < high").select("anchor", "n"), "anchors")
+    limit = _limit(anchors)  # runs, halves and windows of an anchor are no more than its seeds
+    joined = materialize(_spread_join(seeds, anchors, ["anchor"], limit), "joined-seeds")
     discard(seeds, anchors)
 
-    runs = materialize(joined.groupBy("anchor", "run").agg(*_ends("first"), F.count(F.lit(1)).alias("n")), "runs")
+    runs = materialize(joined.groupBy("anchor", "run").agg(*_ends(), F.count(F.lit(1)).alias("n")), "runs")
     several = runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor", F.lit(True).alias("open"))
-    wanted = runs.join(several, "anchor", "left").withColumn("settled", F.col("low.doc_id") < F.col("high.doc_id")).where("settled or open")
-    judged = materialize(_spread_join(joined, wanted, ["anchor", "run"], total), "judged-seeds")
+    wanted = runs.join(several, "anchor", "left").where("low < high or open")
+    judged = materialize(_spread_join(joined, wanted, ["anchor", "run"], limit), "judged-seeds")
     discard(joined)
+    # from here on only texts that may share something are moved
+    texts = materialize(texts.join(judged.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     other, place = _partner()
-    closed = judged.where("settled and open is null").select("doc_id", other.alias("other"), (place - F.col("first")).alias("offset"), F.col("first").alias("start"))
+    closed = judged.where("low < high and open is null").select("doc_id", other.alias("other"), (place - F.col("first")).alias("offset"), F.col("first").alias("start"))
 
     # of a settled run two documents stand for all; runs of one document are all looked at
-    stands = (F.col("doc_id") == F.col("low.doc_id")) | (F.col("doc_id") == F.col("high.doc_id"))
-    leads = F.col("settled") & (F.col("doc_id") == F.col("low.doc_id")) & (F.col("first") == F.col("low.at"))
-    todo = judged.where(F.col("open") & stands).withColumn("led", F.when(leads, F.col("run"))).drop("low", "high", "open", "settled", "run")
+    leads = (F.col("low") < F.col("high")) & (F.col("doc_id") == F.col("low")) & (F.col("first") == F.col("low_at"))
+    todo = judged.where("open and (doc_id = low or doc_id = high)").withColumn("led", F.when(leads, F.col("run")))
+    todo = todo.select("doc_id", "anchor", "left", "right", "position", "first", "last", "led")
     half = (span - ANCHOR + 1) // 2
     for side in ("left", "right"):
-        met = todo.where(F.col(side) != 0).groupBy("anchor", side).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n"))
-        met = met.where("low < high").select("anchor", side, "n", F.lit(True).alias(f"met_{side}"))
-        todo = _spread_join(todo, met, ["anchor", side], total, "left")
+        met = todo.where(F.col(side) != 0).groupBy("anchor", side).agg(*low_high).where("low < high")
+        todo = _spread_join(todo, met.select("anchor", side, "n", F.lit(True).alias(f"met_{side}")), ["anchor", side], limit, "left")
     # windows that begin half or more before the anchor hold its left half, those that begin half or less before its right
     nearest = F.when(F.col("met_right"), F.col("last")).otherwise(F.least("last", F.col("position") - half))
     farthest = F.when(F.col("met_left"), F.col("first")).otherwise(F.greatest("first", F.col("position") - (span - ANCHOR - half)))
@@ -223,20 +246,26 @@ def matched_diagonals(documents: DataFrame, span: int = 150) -> DataFrame:
     ).where("first <= last")
     by_doc = todo.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "run", "base", "first", "last")).alias("todo"))
     windows = materialize(by_doc.join(texts, "doc_id").mapInArrow(_window_rows(span), _bigints(WINDOW)), "windows")
-    equal = windows.groupBy("anchor", "window").agg(*_ends("start"), F.count(F.lit(1)).alias("n")).where("low.doc_id < high.doc_id")
-    met = materialize(_spread_join(windows, equal, ["anchor", "window"], windows.count()), "met-windows")
-    looked = met.groupBy("doc_id", other.alias("other"), (place - F.col("start")).alias("offset"), "anchor").agg(F.min("start").alias("start")).drop("anchor")
+    equal = windows.groupBy("anchor", "window").agg(*_ends(), F.count(F.lit(1)).alias("n")).where("low < high")
+    met = _spread_join(windows, equal, ["anchor", "window"], limit)
+    led = F.col("run").isNotNull()
+    met = met.groupBy(
+        "doc_id", "anchor", "run", other.alias("other"), (place - F.col("start")).alias("offset"),
+        F.when(led, F.col("low")).alias("low"), F.when(led, F.col("low_at") - F.col("rel")).alias("delta"),
+    ).agg(F.min("start").alias("start"), F.min("rel").alias("rel"))
+    met = materialize(met, "met-windows")
+    looked = met.select("doc_id", "other", "offset", "start")
 
     # what the windows of the document that stands for a run have met holds for all documents of the run
-    pieces = met.where("run is not null").groupBy("anchor", "run", F.col("low.doc_id").alias("other"), (F.col("low.at") - F.col("rel")).alias("delta"))
-    pieces = pieces.agg(F.min("rel").alias("rel")).join(runs.select("anchor", "run", "n"), ["anchor", "run"])
-    rest = judged.where(F.col("open") & F.col("settled") & ~stands).select("doc_id", "anchor", "run", "first")
-    followed = _spread_join(rest, pieces, ["anchor", "run"], total).select(
+    pieces = met.where("run is not null").groupBy("anchor", "run", F.col("low").alias("other"), "delta").agg(F.min("rel").alias("rel"))
+    pieces = pieces.join(runs.select("anchor", "run", "n"), ["anchor", "run"])
+    rest = judged.where("open and low < high and doc_id != low and doc_id != high").select("doc_id", "anchor", "run", "first")
+    followed = _spread_join(rest, pieces, ["anchor", "run"], limit).select(
         "doc_id", "other", (F.col("delta") - F.col("first")).alias("offset"), (F.col("first") + F.col("rel")).alias("start")
     )
     diagonals = materialize(closed.unionByName(looked).unionByName(followed), "diagonals")
     discard(runs, judged, windows, met)
-    return diagonals
+    return diagonals, texts
 
 
 def shared_stretches(documents: DataFrame, span: int = 150) -> DataFrame:
@@ -250,14 +279,13 @@ def shared_stretches(documents: DataFrame, span: int = 150) -> DataFrame:
     may overlap. Null and shorter texts share nothing; rows with a null ``doc_id`` are left out; a repeated ``doc_id``
     counts as one document; an empty input gives an empty result.
     """
-    diagonals = matched_diagonals(documents, span)
-    texts = documents.select("doc_id", "text").where(F.char_length("text") >= span)
+    diagonals, texts = matched_diagonals(documents, span)
     lines = diagonals.groupBy("doc_id", "other", "offset").agg(F.collect_set("start").alias("starts"))
     pairs = materialize(lines.groupBy("doc_id", "other").agg(F.collect_list(F.struct("offset", "starts")).alias("diagonals")), "pairs")
     discard(diagonals)
     partners = pairs.groupBy("other").agg(F.count(F.lit(1)).alias("n"))
     beside = texts.withColumnsRenamed({"doc_id": "other", "text": "beside"}).join(partners, "other")
-    both = _spread_join(pairs.join(texts, "doc_id"), beside, ["other"], pairs.count())
+    both = _spread_join(pairs.join(texts, "doc_id"), beside, ["other"], _limit(partners))
     found = both.select("doc_id", "text", "other", "beside", "diagonals").mapInArrow(_extended(span), _bigints(STRETCH)).distinct()
     return found.withColumn("class_id", F.least("doc_id", "other"))
 
