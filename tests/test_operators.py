@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import anomalies, grid, intervals, quantiles, rolling
+from tidemark.operators import anomalies, grid, intervals, rolling
 from tidemark.operators.trades import distinct_trades
 from tidemark.streaming import compaction
 
@@ -71,6 +71,46 @@ def test_factorisation_beats_the_median_on_held_out_cells():
     assert not support.any() and np.isnan(nothing).all()
 
 
+@pytest.mark.parametrize("n_sources", [3, 12])
+def test_factors_tell_what_neighbours_in_time_do_not(n_sources):
+    """Sources that share what no neighbour foretells: two factors of white noise."""
+    rng = np.random.default_rng(1)
+    full = rng.normal(0, 1, (n_sources, 2)) @ rng.normal(0, 1, (2, 512)) * 5 + rng.normal(0, 0.1, (n_sources, 512)) + 100
+    seen = np.where(rng.random(full.shape) < 0.1, np.nan, full)
+    hidden = np.isnan(seen)
+    alone = np.abs(grid._neighbours(seen) - full)[hidden]
+    assert np.median(np.abs(grid.factorise(seen)[0] - full)[hidden]) < np.median(alone) * (0.6 if n_sources > 3 else 0.9)
+    # independent sources aren't mixed up
+    full = rng.normal(0, 1, (n_sources, 512))
+    seen = np.where(hidden, np.nan, full)
+    alone = np.abs(grid._neighbours(seen) - full)[hidden]
+    assert np.median(np.abs(grid.factorise(seen)[0] - full)[hidden]) < np.median(alone) * 1.1
+
+
+def test_a_ramp_is_carried_on():
+    values = np.arange(512.0)[None, :].copy()
+    values[0, 300:303] = np.nan
+    estimate, support = grid.factorise(values)
+    assert support[0, 300:303].all() and np.allclose(estimate[0, 300:303], [300, 301, 302])
+
+
+def test_edges_of_matrices_change_nothing(spark):
+    rng = random.Random(8)
+    readings = [(s, i * 10 * S, math.sin(i / 5) * k + rng.random()) for k, s in enumerate("abc") for i in range(200) if rng.random() < 0.7 and not 93 <= i < 99]
+    got = gridded(spark, readings, [(s, 10) for s in "abc"])
+    df = spark.createDataFrame(readings, "source string, ts_nanos bigint, value double")
+    ps = spark.createDataFrame([(s, 10) for s in "abc"], "source string, period_sec int")
+    whole = {(r[0], r[1]): r[3] for r in grid.regular_grid(df, ps, tile_cells=1000).collect()}
+    assert {k: v[1] for k, v in got.items()} == whole  # 16 periods to a matrix or all of them
+
+
+def test_held_out_cells_are_told_better_than_by_a_straight_line(spark):
+    rng = random.Random(10)
+    df = spark.createDataFrame([(s, i * 10 * S, 20 + rng.gauss(0, 1)) for s in "abc" for i in range(600)], "source string, ts_nanos bigint, value double")
+    got = grid.held_out_errors(df, spark.createDataFrame([(s, 10) for s in "abc"], "source string, period_sec int")).collect()
+    assert len(got) == 3 and all(r["cells"] > 30 for r in got) and sum(r["error"] for r in got) < sum(r["line_error"] for r in got)
+
+
 # -- anomalies
 
 
@@ -250,7 +290,9 @@ def test_compaction_keeps_every_datapoint_once(spark, tmp_path):
     blocks = defaultdict(list)
     for r in got:
         blocks[r["metric"], r["new_block"]].append(r["ts_nanos"])
-    assert len(blocks) <= 16 and all((k[1] == "untimed") == (None in v) for k, v in blocks.items())
+    assert len(blocks) <= 28 and all(k[1].startswith("untimed") == (None in v) for k, v in blocks.items())
+    listed = {(r["metric"], r["new_block"]): (r["since_nanos"], r["last_nanos"], r["n_rows"], r["timestamps"]) for r in done.blocks.collect()}
+    assert listed == {k: (None, None, len(v), 0) if None in v else (min(v), max(v), len(v), len(set(v))) for k, v in blocks.items()}
     counted = {(r[0], r[1]): (r[2], r[3]) for r in compaction.counted_timestamps(done).collect()}
     for m in {r[0] for r in rows}:
         for b in {r[2] for r in rows if r[0] == m and r[2]}:
@@ -264,72 +306,82 @@ def test_compaction_goes_on_from_its_checkpoint(spark, tmp_path):
     stored(spark, path, [("m", 2, "b2", 3, "x", 0, 1.0), ("m", 3, "b2", 4, "x", 0, 1.0)])
     done = compaction.compact(spark, path, workspace=work, bytes_per_batch=1)
     assert sorted((r["ts_nanos"], r["row_id"]) for r in done.rows.collect()) == [(1, 1), (2, 2), (3, 4)]
-    batches = sorted((tmp_path / "work" / "staging").glob("batch_id=*"))
+    assert {(r["block_id"], r["n_rows"], r["timestamps"]) for r in compaction.counted_timestamps(done).collect()} == {("b1", 2, 2), ("b2", 2, 1)}
+    batches = sorted((tmp_path / "work" / "checkpoint" / "commits").glob("[0-9]*"))
     assert len(batches) == 2, "each file was taken once"
-    # a retry of the last batch replaces it
-    offsets = sorted((tmp_path / "work" / "checkpoint" / "commits").glob("[0-9]*"))
-    offsets[-1].unlink()
-    (offsets[-1].parent / f".{offsets[-1].name}.crc").unlink(missing_ok=True)
-    assert compaction.compact(spark, path, workspace=work, bytes_per_batch=1).rows.count() == 3
+    # nothing new leaves all as it is
+    assert compaction.compact(spark, path, workspace=work).rows.count() == 3
+
+
+def test_a_broken_off_merge_is_done_again(spark, tmp_path):
+    path, work = str(tmp_path / "in"), f"file://{tmp_path}/work"
+    stored(spark, path, [("m", i, "b1", i, "x", 0, 1.0) for i in range(9)])
+    first = compaction.compact(spark, path, workspace=work)
+    stored(spark, path, [("m", i, "b2", 100 + i, "x", 0, 1.0) for i in range(5, 14)])
+    compaction._drain(spark, path, f"{work}/staging", f"{work}/checkpoint", 1 << 30)
+    # rows of the next version are there, its manifest isn't; and a batch's number is drawn again
+    first.rows.write.mode("overwrite").parquet(f"{work}/compacted/v=2")
+    commits = sorted((tmp_path / "work" / "checkpoint" / "commits").glob("[0-9]*"))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    done = compaction.compact(spark, path, workspace=work)
+    assert sorted((r["ts_nanos"], r["row_id"]) for r in done.rows.collect()) == [(i, i) for i in range(9)] + [(i, 100 + i - 5 + 5) for i in range(9, 14)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_one_after_another_equal_one_run(spark, tmp_path, seed):
+    """Whatever comes when: late rows, copies from smaller blocks, new metrics, rows without a time."""
+    rng = random.Random(seed)
+    day = 86_400 * S
+    rows = []
+    for i in range(600):
+        m = rng.choice(["hot", "hot", "cold", None, f"new{i // 200}"])
+        t = None if i % 60 == 7 else rng.choice([rng.randrange(60), rng.randrange(40) * S, rng.randrange(-30, 30) * 7 * day])
+        rows.append((m, t, f"b{rng.randrange(30):03}", i, rng.choice("xy"), None, rng.choice([1.0, NAN, None])))
+    rng.shuffle(rows)
+    work, path, whole = f"file://{tmp_path}/work", str(tmp_path / "in"), str(tmp_path / "whole")
+    stored(spark, whole, rows)
+    for part in range(3):
+        stored(spark, path, rows[part * 200 : part * 200 + 200])
+        done = compaction.compact(spark, path, workspace=work, target_rows=40, same_but=())
+    want = compaction.compact(spark, whole, target_rows=40, same_but=())
+    key = ["metric", "ts_nanos", "block_id", "row_id", "owner"]
+    assert sorted(map(str, done.rows.select(*key).collect())) == sorted(map(str, want.rows.select(*key).collect()))
+    assert sorted(map(str, compaction.counted_timestamps(done).collect())) == sorted(map(str, compaction.counted_timestamps(want).collect()))
+    spans = sorted((str(r["metric"]), r["since_nanos"], r["last_nanos"]) for r in done.blocks.where("since_nanos is not null").collect())
+    assert all(a[2] < b[1] for a, b in itertools.pairwise(spans) if a[0] == b[0]), "blocks of a metric don't overlap"
+    assert done.blocks.agg(F.max("n_rows")).first()[0] <= 120
+
+
+def test_a_second_run_leaves_untouched_blocks_alone(spark, tmp_path):
+    path, work, day = str(tmp_path / "in"), f"file://{tmp_path}/work", 86_400 * S
+    stored(spark, path, [("m", i * day, f"b{i // 50}", i, "x", 0, 1.0) for i in range(1000)])
+    first = {r["file"]: r["n_rows"] for r in compaction.compact(spark, path, workspace=work, target_rows=100).blocks.collect()}
+    stored(spark, path, [("m", 500 * day + i, "late", 2000 + i, "x", 0, 1.0) for i in range(1, 4)])
+    done = compaction.compact(spark, path, workspace=work, target_rows=100)
+    second = {r["file"]: r["n_rows"] for r in done.blocks.collect()}
+    assert len(first) >= 8 and len(set(first) & set(second)) == len(first) - 1
+    assert done.rows.count() == 1003 and sum(second.values()) == 1003
 
 
 def test_a_batch_is_far_smaller_than_a_large_table():
     assert inspect.signature(compaction.compact).parameters["bytes_per_batch"].default <= 8 << 30
 
 
-def test_a_stray_time_does_not_make_blocks_larger(spark, tmp_path):
+def test_blocks_hold_about_as_many_rows_wherever_they_lie(spark, tmp_path):
+    """One busy day, a burst within a second, quiet months and a stray time far off."""
     path, day = str(tmp_path / "in"), 86_400 * S
-    rows = [("m", i * day // 10, f"b{i // 7:03}", i, "x", 0, 1.0) for i in range(1000)] + [("m", 250 * 365 * day, "z", 1000, "x", 0, 1.0)]
-    stored(spark, path, rows)
-    sizes = compaction.compact(spark, path, target_rows=100).rows.groupBy("new_block").count().collect()
-    assert 10 <= len(sizes) <= 16 and max(r["count"] for r in sizes) <= 110
+    times = [i * day // 10 for i in range(600)] + [5 * day + i * S for i in range(600)] + [9 * day + i for i in range(600)] + [250 * 365 * day]
+    stored(spark, path, [("m", t, f"b{i // 7:03}", i, "x", 0, 1.0) for i, t in enumerate(times)])
+    sizes = [r["count"] for r in compaction.compact(spark, path, target_rows=100).rows.groupBy("new_block").count().collect()]
+    assert 12 <= len(sizes) <= 19 and max(sizes) <= 200 and sorted(sizes)[3] >= 40
 
 
 def test_compaction_of_nothing(spark, tmp_path):
     path = str(tmp_path / "in")
     stored(spark, path, [])
     done = compaction.compact(spark, path)
-    assert done.rows.count() == 0 and compaction.counted_timestamps(done).count() == 0
-
-
-# -- percentiles
-
-
-def exact(values, p):
-    v = sorted(values)
-    at = p * (len(v) - 1)
-    lo = math.floor(at)
-    return v[lo] if at == lo else v[lo] + (v[lo + 1] - v[lo]) * (at - lo)
-
-
-def test_percentiles_are_exact_whatever_the_ties(spark):
-    rng = random.Random(5)
-    rows = [("hot", 7.0 if rng.random() < 0.5 else round(rng.gauss(0, 9), 1), "clash", 0) for _ in range(3000)]
-    rows += [(rng.choice("abc"), rng.random(), "clash", 0) for _ in range(200)] + [(None, 1.0, "", 0), (None, 3.0, "", 0), ("one", 5.0, "", 0)]
-    rows += [("a", x, "", 0) for x in (None, NAN, INF, -INF)] + [("empty", None, "", 0), ("zero", -0.0, "", 0), ("zero", 0.0, "", 0)]
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, v double, part string, n int, salt bigint").repartition(5)
-    probs = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
-    long = quantiles.long_values(df, "g", ["v"], "salt")
-    held = defaultdict(list)
-    for g, v, *_ in rows:
-        if v is not None and math.isfinite(v):
-            held[g].append(v)
-    expected = {(g, p): (len(v), exact(v, p)) for g, v in held.items() for p in probs}
-    assert {(r["grp"], r["prob"]): (r["n"], r["value"]) for r in quantiles.exact_percentiles(long, probs).collect()} == expected
-    # portions kept as value counts combine to the same
-    halves = [quantiles.value_counts(long.where(f"pmod(xxhash64(value), 2) = {i}")) for i in (0, 1)]
-    combined = quantiles.exact_percentiles(halves[0].unionByName(halves[1]), probs)
-    assert {(r["grp"], r["prob"]): (r["n"], r["value"]) for r in combined.collect()} == expected
-    assert quantiles.exact_percentiles(long.where("false"), probs).count() == 0
-
-
-def test_numbering_goes_on_over_batches():
-    import pyarrow as pa
-
-    schema = ["grp", "field", "weight"]
-    parts = [[("a", 2), ("a", 3)], [("a", 1), ("b", 5), ("b", 1)], [], [("b", 1)], [("c", 1)]]
-    batches = [pa.RecordBatch.from_arrays([pa.array([g for g, _ in p], pa.string()), pa.array(["f"] * len(p)), pa.array([w for _, w in p], pa.int64())], schema) for p in parts]
-    assert [x for b in quantiles._number_rows(iter(batches)) for x in b.column("before").to_pylist()] == [0, 2, 5, 0, 5, 6, 0]
+    assert done.rows.count() == 0 == done.blocks.count() and compaction.counted_timestamps(done).count() == 0
 
 
 # -- rolling totals

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import finite, rfc3339_nanos
-from tidemark.operators import anomalies, grid, intervals, quantiles, rolling
+from tidemark.operators import anomalies, grid, intervals, rolling
 from tidemark.operators.trades import distinct_trades
-from tidemark.storage import materialize
+from tidemark.storage import materialize, scratch_path
 from tidemark.streaming import compaction
 
-PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grid_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     readings = _table(spark, sf_dir, "datapoints").select(F.col("metric").alias("source"), "ts_nanos", F.col("c0").alias("value"))
-    periods = _table(spark, sf_dir, "metric_catalog").select(F.col("metric").alias("source"), "period_sec")
-    return grid.regular_grid(readings, periods)
+    return readings, _table(spark, sf_dir, "metric_catalog").select(F.col("metric").alias("source"), "period_sec")
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.regular_grid(*_grid_input(spark, sf_dir))
 
 
 def p1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,16 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells that hold readings, with the exact value where all of a cell's readings agree."""
+    kept = _grid(spark, sf_dir).where(F.col("state") == grid.OBSERVED)
+    return kept.select(F.col("source").alias("metric"), "cell_start_sec", F.round("value", 6).alias("value"))
+
+
+def p1_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.held_out_errors(*_grid_input(spark, sf_dir)).withColumnRenamed("source", "metric")
+
+
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(frozen=(True, False), logarithm=(False, True))}
     series = materialize(_series(spark, sf_dir), "series")
@@ -83,30 +94,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = compaction.compact(spark, f"{sf_dir}/datapoints.parquet")
-    return done.rows.select("metric", "new_block", "ts_nanos", "fields.c0", "fields.c1", "fields.c2", "row_id", "block_id", "owner")
-
-
-def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trades = distinct_trades(_table(spark, sf_dir, "trades"))
-    found = quantiles.exact_percentiles(quantiles.long_values(trades, "market", ["price", "size"], "row_id"), PROBS)
-    return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
-
-
-def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from the value counts of single days, combined."""
-    trades = distinct_trades(_table(spark, sf_dir, "trades"))
-    day = F.date_format("trade_day", "yyyy-MM-dd")
-    daily = trades.select("row_id", F.struct(F.col("market"), day.alias("day")).alias("key"), "price", "size")
-    counts = quantiles.value_counts(quantiles.long_values(daily, "key", ["price", "size"], "row_id"))
-    found = quantiles.exact_percentiles(counts.withColumn("grp", F.col("grp.market")), PROBS)
-    return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
-
-
-def _trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return done.rows.select("metric", "ts_nanos", "fields.c0", "fields.c1", "fields.c2", "row_id", "block_id", "owner")
+
+
+def p3_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datapoints in a great many small files, compacted in two runs: what the manifest lists of each metric after the second,
+    and whether files are as few and as large as they should be.
+    """
+    source, workspace, target = scratch_path(spark, "small-files"), scratch_path(spark, "compaction"), 20_000
+    points = _table(spark, sf_dir, "datapoints").withColumn("late", F.pmod(F.xxhash64("block_id"), F.lit(5)) == 0)
+    for late in (False, True):
+        points.where(F.col("late") == late if late else "not coalesce(late, false)").drop("late").repartition(60, "row_id").write.mode("append").parquet(source)
+        done = compaction.compact(spark, source, workspace=workspace, target_rows=target)
+    n, blocks, most = F.sum("n_rows"), F.count(F.lit(1)), F.max("n_rows")
+    return done.blocks.groupBy("metric").agg(
+        n.alias("n_rows"), F.sum("timestamps").alias("timestamps"), F.min("since_nanos").alias("first_nanos"), F.max("last_nanos").alias("last_nanos"),
+        ((most <= 3 * target) & (blocks <= 4 + 4 * n / target)).alias("well_sized"),
+    )
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     trades = distinct_trades(_table(spark, sf_dir, "trades"))
     exact = {f: F.when(finite(F.col(f)) > 0, finite(F.col(f))).try_cast("decimal(28,10)") for f in ("price", "size")}
-    daily = rolling.with_all_days(rolling.daily_totals(trades, "market", "trade_day", exact))
-    return rolling.trailing_totals(daily, ["n_rows", "sum_size", "n_size", "sum_price", "n_price"], (1, 7, 30))
+    return rolling.with_all_days(rolling.daily_totals(trades, "market", "trade_day", exact))
 
 
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +126,16 @@ def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
         for f in ("size", "price"):
             total = F.col(f"sum_{f}_{w}d").cast("double")
             out += [total.alias(f"{f}_total_{w}d"), F.try_divide(total, F.col(f"n_{f}_{w}d")).alias(f"{f}_avg_{w}d")]
-    return _trailing(spark, sf_dir).select(*out)
+    found = rolling.trailing_totals(_daily(spark, sf_dir), ["n_rows", "sum_size", "n_size", "sum_price", "n_price"], (7, 30))
+    return found.select(*out)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    idle = _trailing(spark, sf_dir).where("n_rows_1d = 0")
+    """Days that add no trade to the trailing totals: those over 7 and 30 days are those of the 6 and 29 days before."""
+    totals = rolling.trailing_totals(_daily(spark, sf_dir), ["n_rows"], (6, 7, 29, 30))
+    before = Window.partitionBy("entity").orderBy("day")
+    added = [F.col(f"n_rows_{w}d") - F.coalesce(F.lag(f"n_rows_{w - 1}d").over(before), F.lit(0)) for w in (7, 30)]
+    idle = totals.withColumns({"added_7d": added[0], "added_30d": added[1]}).where("added_7d = 0 and added_30d = 0")
     return idle.select(F.col("entity").alias("market"), F.date_format("day", "yyyy-MM-dd").alias("trade_day"))
 
 
@@ -139,14 +154,14 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entity").alias("metric"), F.col("since").alias("since_sec"), F.col("until").alias("until_sec"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p2_impossible, p3_found, p3_compacted, p4_percentiles, p4_combined_days, p5_found, p5_trailing, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p1_observed, p1_held_out, p2_found, p2_flags, p2_impossible, p3_found, p3_compacted, p3_blocks, p5_found, p5_trailing, p6_found, p6_periods)}
 
 # One delivery of each trade, with its instant and UTC day.
-_TRADES = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trade_id, -1), CASE WHEN trade_id IS NULL THEN row_id END
+ONE_DELIVERY = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trade_id, -1), CASE WHEN trade_id IS NULL THEN row_id END
  ORDER BY exec_date IS NULL, received_at NULLS LAST, row_id) AS delivery, CAST(CAST(upper(exec_date) AS TIMESTAMPTZ) AS DATE) AS d FROM trades) WHERE delivery = 1)"""
 _USABLE = "CASE WHEN isfinite({0}) AND {0} > 0 THEN CAST({0} AS DECIMAL(28,10)) END"
 _CALENDAR = f"""days AS (SELECT market, d, count(*) AS n, sum({_USABLE.format("size")}) AS s, count({_USABLE.format("size")}) AS ns,
- sum({_USABLE.format("price")}) AS p, count({_USABLE.format("price")}) AS np FROM {_TRADES} WHERE d IS NOT NULL GROUP BY ALL),
+ sum({_USABLE.format("price")}) AS p, count({_USABLE.format("price")}) AS np FROM {ONE_DELIVERY} WHERE d IS NOT NULL GROUP BY ALL),
  ends AS (SELECT market, min(d) AS lo, max(d) AS hi FROM days GROUP BY ALL),
  cal AS (SELECT market, CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS d FROM ends)"""
 
@@ -165,41 +180,28 @@ def _trailing_sql() -> str:
  FROM cal LEFT JOIN days USING (market, d)"""
 
 
-def _percentile_sql() -> str:
-    # the order statistics themselves, so that both sides interpolate by the same formula to the last bit
-    one = """SELECT market, '{0}' AS field, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY market) AS n, {0} AS v
- FROM {1} WHERE isfinite({0}) WINDOW w AS (PARTITION BY market ORDER BY {0})"""
-    ranked = " UNION ALL ".join(one.format(f, _TRADES) for f in ("price", "size"))
-    probs = ", ".join(f"CAST({p} AS DOUBLE)" for p in PROBS)
-    return f"""SELECT market, field, n, prob, CASE WHEN f = 0 THEN lo ELSE lo + (hi - lo) * f END AS value FROM (SELECT market, field, n, prob,
- prob * (n - 1) - floor(prob * (n - 1)) AS f, max(CASE WHEN i = floor(prob * (n - 1)) THEN v END) AS lo,
- max(CASE WHEN i = least(floor(prob * (n - 1)) + 1, n - 1) THEN v END) AS hi FROM ({ranked}), (SELECT unnest([{probs}]) AS prob) GROUP BY market, field, n, prob)"""
-
-
 _LATEST = """(SELECT metric, since_sec AS s, until_sec AS u FROM (SELECT *, row_number() OVER (PARTITION BY block_id
  ORDER BY updated_at_nanos DESC NULLS LAST, until_sec DESC NULLS LAST, since_sec DESC NULLS LAST) AS v FROM block_manifest) WHERE v = 1 AND since_sec < until_sec)"""
 _EDGES = f"(SELECT *, max(u) OVER (PARTITION BY metric ORDER BY s, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {_LATEST})"
 _OWNED = """(SELECT metric, ts_nanos, min(block_id) AS block_id FROM datapoints WHERE ts_nanos IS NOT NULL AND block_id IS NOT NULL GROUP BY ALL)"""
+_KEPT = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric, ts_nanos, c0, c1, c2, CASE WHEN ts_nanos IS NULL THEN row_id END ORDER BY block_id, row_id) AS copy,
+ min(block_id) OVER (PARTITION BY metric, ts_nanos) AS first_block FROM datapoints WHERE block_id IS NOT NULL) WHERE copy = 1)"""
 
 ORACLES: dict[str, str] = {
     "p1_found": """WITH u AS (SELECT d.metric, m.period_sec AS p, (d.ts_nanos // 1000000000) // m.period_sec AS cell FROM datapoints d JOIN metric_catalog m USING (metric)
  WHERE ts_nanos IS NOT NULL AND isfinite(c0)), b AS (SELECT metric, p, min(cell) AS lo, max(cell) AS hi FROM u GROUP BY ALL),
  g AS (SELECT metric, p, unnest(range(lo, hi + 1)) AS cell FROM b)
  SELECT metric, cell * p AS cell_start_sec FROM g ANTI JOIN u USING (metric, cell)""",
+    "p1_observed": """SELECT metric, (ts_nanos // 1000000000) // period_sec * period_sec AS cell_start_sec, round(CASE WHEN min(c0) = max(c0) THEN min(c0) ELSE avg(c0) END, 6) AS value
+ FROM datapoints JOIN metric_catalog USING (metric) WHERE ts_nanos IS NOT NULL AND isfinite(c0) GROUP BY metric, period_sec, cell_start_sec""",
     "p2_impossible": """SELECT record_table, record_field, row_id FROM (SELECT 'datapoints' AS record_table, unnest(['c0', 'c1']) AS record_field, row_id, unnest([coalesce(isinf(c0) OR (NOT isnan(c0) AND (c0 < low_limit OR c0 > high_limit)), FALSE), coalesce(isinf(c1), FALSE)]) AS bad
  FROM datapoints LEFT JOIN metric_catalog USING (metric) WHERE ts_nanos IS NOT NULL UNION ALL SELECT 'trades', unnest(['price', 'size']), row_id,
  unnest([coalesce(NOT isnan(price) AND (price <= 0 OR isinf(price)), FALSE), coalesce(NOT isnan(size) AND (size <= 0 OR isinf(size)), FALSE)]) FROM trades WHERE exec_date IS NOT NULL) WHERE bad""",
     "p3_found": f"""SELECT metric, block_id FROM (SELECT DISTINCT metric, block_id FROM datapoints WHERE block_id IS NOT NULL)
  LEFT JOIN (SELECT metric, block_id, count(*) AS n FROM {_OWNED} GROUP BY ALL) USING (metric, block_id) WHERE coalesce(n, 0) < 64""",
-    "p3_compacted": """WITH s AS (SELECT * FROM datapoints WHERE block_id IS NOT NULL), b AS (SELECT metric, min(ts_nanos) AS first, count(*) AS n FROM s GROUP BY metric, block_id),
- y AS (SELECT metric, min(first) AS first, CASE WHEN min(first) IS NOT NULL THEN sum(n) END AS n FROM b GROUP BY metric, first // 86400000000000),
- w AS (SELECT metric, min(first) AS lo, greatest(CAST(floor(least(CAST(21600000000000000000 AS DOUBLE) / max(n), 4e18)) AS BIGINT), 1) AS width FROM y GROUP BY metric),
- k AS (SELECT *, row_number() OVER (PARTITION BY metric, ts_nanos, c0, c1, c2, CASE WHEN ts_nanos IS NULL THEN row_id END ORDER BY block_id, row_id) AS copy,
- min(block_id) OVER (PARTITION BY metric, ts_nanos) AS first_block FROM s)
- SELECT metric, CASE WHEN ts_nanos IS NULL THEN 'untimed' ELSE 'cmp' || lpad(CAST((ts_nanos - lo) // width AS VARCHAR), 12, '0') END AS new_block,
- ts_nanos, c0, c1, c2, row_id, block_id, CASE WHEN ts_nanos IS NOT NULL THEN first_block END AS owner FROM k JOIN w USING (metric) WHERE copy = 1""",
-    "p4_percentiles": _percentile_sql(),
-    "p4_combined_days": _percentile_sql(),
+    "p3_compacted": f"""SELECT metric, ts_nanos, c0, c1, c2, row_id, block_id, CASE WHEN ts_nanos IS NOT NULL THEN first_block END AS owner FROM {_KEPT}""",
+    "p3_blocks": f"""SELECT metric, count(*) AS n_rows, count(DISTINCT ts_nanos) AS timestamps, min(ts_nanos) AS first_nanos, max(ts_nanos) AS last_nanos, TRUE AS well_sized
+ FROM {_KEPT} GROUP BY metric""",
     "p5_found": f"WITH {_CALENDAR} SELECT market, strftime(d, '%Y-%m-%d') AS trade_day FROM cal ANTI JOIN days USING (market, d)",
     "p5_trailing": _trailing_sql(),
     "p6_found": f"SELECT metric, before AS gap_since_sec, s AS gap_until_sec FROM {_EDGES} WHERE before < s",
