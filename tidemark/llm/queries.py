@@ -3,14 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import leaks, packing, shared_spans
+from tidemark.llm import leaks, packing, quantiles, shared_spans
+from tidemark.operators.trades import distinct_trades
+from tidemark.queries.problems import ONE_DELIVERY
+
+PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trades = distinct_trades(_table(spark, sf_dir, "trades"))
+    found = quantiles.exact_percentiles(quantiles.long_values(trades, "market", ["price", "size"], "row_id"), PROBS)
+    return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
+
+
+def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the value counts of single days, combined."""
+    trades = distinct_trades(_table(spark, sf_dir, "trades"))
+    day = F.date_format("trade_day", "yyyy-MM-dd")
+    daily = trades.select("row_id", F.struct(F.col("market"), day.alias("day")).alias("key"), "price", "size")
+    counts = quantiles.value_counts(quantiles.long_values(daily, "key", ["price", "size"], "row_id"))
+    found = quantiles.exact_percentiles(counts.withColumn("grp", F.col("grp.market")), PROBS)
+    return found.select(F.col("grp").alias("market"), "field", "n", "prob", "value")
+
+
 def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.assign_containers(packing.token_counts(_table(spark, sf_dir, "documents")))
 
@@ -39,7 +60,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_stretches(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_assignment, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined_days, p7_found, p7_assignment, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
+
+def _percentile_sql() -> str:
+    # the order statistics themselves, so that both sides interpolate by the same formula to the last bit
+    one = """SELECT market, '{0}' AS field, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY market) AS n, {0} AS v
+ FROM {1} WHERE isfinite({0}) WINDOW w AS (PARTITION BY market ORDER BY {0})"""
+    ranked = " UNION ALL ".join(one.format(f, ONE_DELIVERY) for f in ("price", "size"))
+    probs = ", ".join(f"CAST({p} AS DOUBLE)" for p in PROBS)
+    return f"""SELECT market, field, n, prob, CASE WHEN f = 0 THEN lo ELSE lo + (hi - lo) * f END AS value FROM (SELECT market, field, n, prob,
+ prob * (n - 1) - floor(prob * (n - 1)) AS f, max(CASE WHEN i = floor(prob * (n - 1)) THEN v END) AS lo,
+ max(CASE WHEN i = least(floor(prob * (n - 1)) + 1, n - 1) THEN v END) AS hi FROM ({ranked}), (SELECT unnest([{probs}]) AS prob) GROUP BY market, field, n, prob)"""
+
 
 # Every window of 150 characters of every text; those that occur in more than one document, beside the first place of their
 # least document (or, in that one, of their greatest); and the whole runs of equal windows on those diagonals.
@@ -54,6 +86,8 @@ _WINDOWS = """w AS (SELECT doc_id, i AS start, substr(text, CAST(i AS BIGINT) +
  WHERE EXISTS (SELECT 1 FROM m WHERE m.doc_id = i.doc_id AND m.other = i.other AND m.shift = i.shift AND m.start BETWEEN i.start AND i.last))"""
 
 ORACLES: dict[str, str] = {
+    "p4_percentiles": _percentile_sql(),
+    "p4_combined_days": _percentile_sql(),
     "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM m",
     "p9_stretches": f"WITH {_WINDOWS} SELECT *, least(doc_id, other) AS class_id FROM r",
     "p9_parts": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, sum(greatest(start + length - greatest(start, coalesce(before, start)), 0)) AS shared_chars, count(*) AS stretches, count(DISTINCT other) AS links
