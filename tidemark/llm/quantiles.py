@@ -94,24 +94,29 @@ def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
         (F.sum("held").over(by_group.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("offset"),
         F.sum("held").over(by_group).alias("n"),
     )
-    # one row of offsets for each row of values; a row is then picked by its own position, before anything is copied
-    placed = join_small(runs, materialize(offsets, "offsets"), ["grp", "field", "part"], null_safe=True)
-    first = F.col("before") + F.col("offset")
-    behind = first + F.col("weight")
-    picks, wanted = [], F.lit(False)
-    for p in probs:
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        lo = F.floor(position)
-        hi = F.least(lo + 1, F.col("n") - 1)
-        is_lo, is_hi = (first <= lo) & (lo < behind), (first <= hi) & (hi < behind)
-        wanted = wanted | is_lo | is_hi
+    # of each wanted position, the places of its two neighbours in the partition's own count
+    places = []
+    for i, p in enumerate(probs):
+        lo = F.floor(F.lit(float(p)) * (F.col("n") - 1))
+        places += [(lo - F.col("offset")).alias(f"lo{i}"), (F.least(lo + 1, F.col("n") - 1) - F.col("offset")).alias(f"hi{i}")]
+    offsets = materialize(offsets.select("grp", "field", "part", "n", *places), "offsets")
+    # a row is picked by its own position, before anything is copied; the test is a plain one, as it sees all rows
+    placed = join_small(runs, offsets, ["grp", "field", "part"], null_safe=True)
+    held = lambda place: (F.col("before") <= F.col(place)) & (F.col(place) < F.col("before") + F.col("weight"))
+    wanted = F.lit(False)
+    for i in range(len(probs)):
+        wanted = wanted | ((F.col("before") <= F.col(f"hi{i}")) & (F.col("before") + F.col("weight") > F.col(f"lo{i}")))
+    found = placed.where(wanted).repartition("grp", "field")
+    picks = []
+    for i, p in enumerate(probs):
+        is_lo, is_hi, position = held(f"lo{i}"), held(f"hi{i}"), F.lit(float(p)) * (F.col("n") - 1)
         picks.append(
             F.when(is_lo | is_hi, F.struct(
-                F.lit(float(p)).alias("prob"), (position - lo).alias("fraction"),
+                F.lit(float(p)).alias("prob"), (position - F.floor(position)).alias("fraction"),
                 F.when(is_lo, F.col("value")).alias("lo"), F.when(is_hi, F.col("value")).alias("hi"),
             ))
         )
-    found = placed.where(wanted).select("grp", "field", "n", F.explode(F.array_compact(F.array(*picks))).alias("x"))
+    found = found.select("grp", "field", "n", F.explode(F.array_compact(F.array(*picks))).alias("x"))
     return (
         found.groupBy("grp", "field", "n", F.col("x.prob").alias("prob"), F.col("x.fraction").alias("fraction"))
         .agg(F.max("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
