@@ -5,12 +5,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.queries import problems, series
+from tidemark.queries import problems, series, stores
 
 ROOT = Path(entry.__file__).parent
 TABLES = ("events", "orders", "lineitem", "trades", "datapoints", "block_manifest", "metric_catalog")
-SETS = problems.QUERIES | series.QUERIES
-SQL = problems.ORACLES | series.ORACLES
+SETS = problems.QUERIES | series.QUERIES | stores.QUERIES
+SQL = problems.ORACLES | series.ORACLES | stores.ORACLES
 
 
 @pytest.fixture(scope="module")

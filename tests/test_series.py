@@ -1,6 +1,8 @@
 import io
 import json
+import os
 import random
+import threading
 import time
 
 import pytest
@@ -14,9 +16,9 @@ from tidemark.plans.grammar import QueryError
 from tidemark.sources.database import Database
 from tidemark.sources.json_trades import read_trades
 from tidemark.sources.store import WritableStore
-from tidemark.streaming.ingest import ingest, waiting
+from tidemark.streaming.ingest import ingest, release_due, waiting
 
-TIES = [2, 2, 2, 3, 3, 4, 5, 6, 8, 8, 10, 10]
+TIES = [1, 1, 7, 7, 7, 11, 12, 19, 23, 23, 40, 40, 40]
 
 
 @pytest.fixture
@@ -31,8 +33,8 @@ def times(df):
 @pytest.mark.parametrize(
     ("side", "n", "expected"),
     [
-        ("head", 0, []), ("tail", 0, []), ("head", 1, [2] * 3), ("head", 2, [2] * 3 + [3] * 2),
-        ("tail", 2, [8, 8, 10, 10]), ("tail", 1, [10, 10]), ("head", 99, TIES), ("tail", 99, TIES),
+        ("head", 0, []), ("tail", 0, []), ("head", 1, [1] * 2), ("head", 2, [1] * 2 + [7] * 3),
+        ("tail", 2, [23, 23, 40, 40, 40]), ("tail", 1, [40] * 3), ("head", 99, TIES), ("tail", 99, TIES),
     ],
 )
 def test_limits_keep_ties(ties, side, n, expected):
@@ -44,19 +46,19 @@ def test_limit_of_nothing(ties):
 
 
 def test_clip_split_purge(spark):
-    df = spark.createDataFrame([(t,) for t in (9, 10, 19, 20, 20, 20, 30, 40, 50, 50, 51, None)], "ts_nanos bigint")
-    assert times(series.clip(df, TimeRange(20, 50))) == [20, 20, 20, 30, 40]
-    assert len(times(series.clip(df, TimeRange(20, None)))) == 8
-    assert times(series.clip(df, TimeRange(50, 20))) == []
-    before, within, after = series.split(df, TimeRange(19, 30))
-    assert (times(before), times(within), times(after)) == ([9, 10], [19, 20, 20, 20], [30, 40, 50, 50, 51])
-    assert times(series.purge(df, TimeRange(10, 51))) == [None, 9, 51]
+    df = spark.createDataFrame([(t,) for t in (28, 31, 58, 61, 61, 61, 91, 121, 151, 151, 154, None)], "ts_nanos bigint")
+    assert times(series.clip(df, TimeRange(61, 151))) == [61, 61, 61, 91, 121]
+    assert len(times(series.clip(df, TimeRange(61, None)))) == 8
+    assert times(series.clip(df, TimeRange(151, 61))) == []
+    before, within, after = series.split(df, TimeRange(58, 91))
+    assert (times(before), times(within), times(after)) == ([28, 31], [58, 61, 61, 61], [91, 121, 151, 151, 154])
+    assert times(series.purge(df, TimeRange(31, 154))) == [None, 28, 154]
 
 
 def test_merge_keeps_duplicates_and_checks_types(spark):
-    a = spark.createDataFrame([(t,) for t in (9, 10, 19, 20, 50, 51)], "ts_nanos bigint")
-    b = spark.createDataFrame([(t,) for t in (8, 10, 11, 52, 53)], "ts_nanos bigint")
-    assert times(series.merge(a, b)) == [8, 9, 10, 10, 11, 19, 20, 50, 51, 52, 53]
+    a = spark.createDataFrame([(t,) for t in (4, 6, 17, 25, 70, 71)], "ts_nanos bigint")
+    b = spark.createDataFrame([(t,) for t in (3, 6, 8, 72, 99)], "ts_nanos bigint")
+    assert times(series.merge(a, b)) == [3, 4, 6, 6, 8, 17, 25, 70, 71, 72, 99]
     with pytest.raises(TypeError):
         series.merge(a, b.select(F.col("ts_nanos").cast("string")))
 
@@ -68,7 +70,7 @@ def test_sortedness(ties):
 
 def test_block_stats_and_rows(ties):
     (stat,) = series.block_stats(ties.withColumn("ts_nanos", F.col("ts_nanos") * 10**9), [F.lit("b").alias("block_id")]).collect()
-    assert tuple(stat) == ("b", 2, 11, 7)
+    assert tuple(stat) == ("b", 1, 41, 7)
     assert [t for t, _ in series.to_rows(ties)] == TIES
 
 
@@ -114,11 +116,11 @@ def frame(spark, offsets):
 def test_database_round_trip(spark, tmp_path):
     db = Database(spark, f"file://{tmp_path}/db")
     assert db.manifest().count() == 0
-    db.write_block("m.x", frame(spark, [66, 62, 63]), block_id="a")
-    db.write_block("m.x", frame(spark, [64, 63, 10**9]), block_id="b")
+    db.write_block("m.x", frame(spark, [37, 32, 34]), block_id="a")
+    db.write_block("m.x", frame(spark, [35, 34, 10**9]), block_id="b")
     assert db.write_block("m.x", frame(spark, []), block_id="c") is None
-    assert times(db.series("m.x")) == [T0 + o * 1000 for o in (62, 63, 63, 64, 66, 10**9)]
-    assert times(db.series("m.x", TimeRange(T0 + 63_000, T0 + 66_000))) == [T0 + o * 1000 for o in (63, 63, 64)]
+    assert times(db.series("m.x")) == [T0 + o * 1000 for o in (32, 34, 34, 35, 37, 10**9)]
+    assert times(db.series("m.x", TimeRange(T0 + 34_000, T0 + 37_000))) == [T0 + o * 1000 for o in (34, 34, 35)]
     listed = {r["block_id"]: (r["since_sec"], r["until_sec"], r["timestamp_num"]) for r in db.manifest().collect()}
     assert listed == {"a": (T0 // 10**9, T0 // 10**9 + 1, 3), "b": (T0 // 10**9, (T0 + 10**12) // 10**9 + 1, 3)}
     db.write_block("m.x", frame(spark, [1]), block_id="a")
@@ -136,6 +138,52 @@ def test_database_round_trip(spark, tmp_path):
         db.series("nothing")
 
 
+def test_a_range_is_read_from_the_blocks_that_the_manifest_lists(spark, tmp_path, monkeypatch):
+    db = Database(spark, f"file://{tmp_path}/db")
+    for i, name in enumerate("abcd"):
+        db.write_block("m", frame(spark, [i * 10**7, i * 10**7 + 5]), block_id=name)
+    frame(spark, [3]).withColumn("ts_bucket", F.lit(1)).write.partitionBy("ts_bucket").parquet(f"file://{tmp_path}/db/block/m/block_id=unlisted")
+    second = 10**9
+    bounds = TimeRange(T0 + 10 * second, T0 + 20 * second + 6000)
+    assert sorted(r[0] for r in db.blocks_in("m", bounds).select("block_id").collect()) == ["b", "c"]
+    for limit in (10_000, 1):
+        monkeypatch.setattr("tidemark.sources.database.LIMIT_BLOCKS", limit)
+        assert times(db.series("m", bounds)) == [T0 + o * 1000 for o in (10**7, 10**7 + 5, 2 * 10**7, 2 * 10**7 + 5)]
+        assert db.series("m").count() == 8, "a block that isn't listed isn't committed"
+    monkeypatch.setattr("tidemark.sources.database.LIMIT_BLOCKS", 10_000)
+    assert {f.split("block_id=")[1][0] for f in db.series("m", bounds).inputFiles()} == {"b", "c"}
+
+
+def test_the_manifest_stays_in_few_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.sources.database.MANIFEST_FILES", 3)
+    db = Database(spark, f"file://{tmp_path}/db")
+    for i in range(9):
+        db.write_block("m", frame(spark, [i]), block_id=f"b{i % 7}")
+    assert sorted(r["block_id"] for r in db.manifest().collect()) == [f"b{i}" for i in range(7)]
+    assert len(list((tmp_path / "db/block_list").glob("*.parquet"))) <= 4
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    db = Database(spark, f"file://{tmp_path}/db")
+    with db.lock("m"):
+        with pytest.raises(TimeoutError), db.lock("m", wait=0.2):
+            pass
+        with db.lock("other", wait=0.2):
+            pass
+    with db.lock("m", wait=0.2):
+        os.utime(tmp_path / "db/lock/m.lock", (1, 1))
+        with db.lock("m", wait=0.2):
+            pass  # left behind by a writer that died
+    assert not list((tmp_path / "db/lock").glob("*.lock"))
+    blocks = []
+    threads = [threading.Thread(target=lambda i=i: blocks.append(db.write_block("m", frame(spark, [i]), block_id=f"b{i}"))) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(blocks) == [f"b{i}" for i in range(4)] and db.series("m").count() == 4
+
+
 def test_failed_writes_are_recorded(spark, tmp_path):
     db = Database(spark, f"file://{tmp_path}/db")
     broken = spark.sql("select 1L ts_nanos, cast(raise_error('no such sensor') as double) c0")
@@ -199,20 +247,20 @@ def test_repair_drops_what_cannot_be_read(spark, tmp_path):
 def test_store_purges_and_persists_ranges(spark, tmp_path):
     db = Database(spark, f"file://{tmp_path}/db")
     store = WritableStore(spark, "m", ["double", "double"], database=db, wal_dir=str(tmp_path / "wal"))
-    points = [(T0 + o * 1000, (float(o), 0.0)) for o in (67, 61, 63, 66, 62, 64)]
+    points = [(T0 + o * 1000, (float(o), 0.0)) for o in (38, 31, 34, 37, 32, 35)]
     store.push(points[:4])
     store.push(points[4:])
     assert [t for t, _ in store.datapoints()] == sorted(t for t, _ in points)
-    store.purge(TimeRange(T0 + 63_000, T0 + 64_001))
-    assert [(t - T0) // 1000 for t, _ in store.datapoints()] == [61, 62, 66, 67]
+    store.purge(TimeRange(T0 + 34_000, T0 + 35_001))
+    assert [(t - T0) // 1000 for t, _ in store.datapoints()] == [31, 32, 37, 38]
     again = WritableStore(spark, "m", ["double", "double"], database=db, wal_dir=str(tmp_path / "wal"))
-    assert [(t - T0) // 1000 for t, _ in again.datapoints()] == [61, 62, 66, 67], "the log holds what isn't persisted"
-    assert store.persist(TimeRange(T0 + 61_000, T0 + 66_001)) is not None
-    assert [(t - T0) // 1000 for t, _ in store.datapoints()] == [67]
-    assert times(db.series("m", TimeRange(T0 + 62_000, T0 + 66_001))) == [T0 + 62_000, T0 + 66_000]
+    assert [(t - T0) // 1000 for t, _ in again.datapoints()] == [31, 32, 37, 38], "the log holds what isn't persisted"
+    assert store.persist(TimeRange(T0 + 31_000, T0 + 37_001)) is not None
+    assert [(t - T0) // 1000 for t, _ in store.datapoints()] == [38]
+    assert times(db.series("m", TimeRange(T0 + 32_000, T0 + 37_001))) == [T0 + 32_000, T0 + 37_000]
     assert store.persist(TimeRange(0, 1)) is None
     again = WritableStore(spark, "m", ["double", "double"], database=db, wal_dir=str(tmp_path / "wal"))
-    assert [(t - T0) // 1000 for t, _ in again.datapoints()] == [67]
+    assert [(t - T0) // 1000 for t, _ in again.datapoints()] == [38]
 
 
 def test_store_sorts_ties_and_checks_types(spark):
@@ -276,6 +324,69 @@ def test_streaming_keeps_late_rows_and_survives_a_restart(spark, tmp_path):
     assert times(waiting(db, "m", SCHEMA)) == []
 
 
+def test_due_rows_are_stored_though_nothing_comes_in(spark, tmp_path):
+    db, source, checkpoint = Database(spark, f"file://{tmp_path}/db"), str(tmp_path / "in"), str(tmp_path / "cp")
+    clock = [100]
+
+    def put(values):
+        spark.createDataFrame([(t, 0.0, 0.0) for t in values], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+
+    def run(**options):
+        return ingest(spark.readStream.schema(SCHEMA).parquet(source), db, "m", checkpoint, now=lambda: clock[0], **options)
+
+    release = lambda: release_due(db, "m", checkpoint, SCHEMA, now=lambda: clock[0])
+    assert release() is None
+    put([50, 200, 300, 400])
+    run().awaitTermination()
+    assert release() is None
+    clock[0] = 250
+    assert release() is not None and release() is None
+    assert times(db.series("m")) == [50, 200] and times(waiting(db, "m", SCHEMA)) == [300, 400]
+    # a release that was broken off before its staging was written is done again under the same number
+    db.write_block("m", waiting(db, "m", SCHEMA).where("ts_nanos = 300"), block_id="batch000000000000.due2")
+    clock[0] = 350
+    release()
+    assert times(db.series("m")) == [50, 200, 300]
+    put([10, 500])
+    query = run(every="1 second")
+    for _ in range(60):
+        if times(db.series("m")) == [10, 50, 200, 300]:
+            break
+        time.sleep(0.5)
+    clock[0] = 450
+    for _ in range(60):
+        if 400 in times(db.series("m")):
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert times(db.series("m")) == [10, 50, 200, 300, 400] and times(waiting(db, "m", SCHEMA)) == [500]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_ranges_reach_the_scan_of_tables_from_elsewhere(spark, tmp_path, kind):
+    from tidemark.sources.catalog import External
+
+    path, day = str(tmp_path / "t"), 86_400 * 10**9
+    spark.range(10).select(F.col("id"), F.expr(f"cast(timestamp_seconds(id * 43200) as {kind})").alias("t")).write.parquet(path)
+    held = External(lambda: spark.read.parquet(path), "t", ("id",))
+    got = held.series(TimeRange(2 * day, 4 * day))
+    assert sorted(r["id"] for r in got.collect()) == [4, 5, 6, 7]
+    assert "GreaterThanOrEqual(t," in got._jdf.queryExecution().toString()
+
+
+def test_kept_results_are_bounded(spark, tmp_path):
+    one = Engine(spark, [f"main=file://{tmp_path}/main"], now=lambda: T0, cache=2)
+    one.writable_store("m", ["double"]).push([])
+    store = one.writable_store("m", ["double"])
+    store.push([(T0, (1.0,))])
+    store.persist()
+    texts = [f"select * from m where ts >= '20{y}-01-01'" for y in (10, 11, 12)]
+    kept = [one.query(t) for t in texts]
+    assert [x.is_cached for x in kept] == [False, True, True] and one.query(texts[2]) is kept[2]
+    assert one.query("with use_cache = false " + texts[2]) is not kept[2]
+    assert one.query("with force_sync_cloud = true " + texts[2]) is not kept[2]
+
+
 @pytest.fixture
 def engine(spark, tmp_path):
     out = Engine(spark, [f"main=file://{tmp_path}/main"], now=lambda: T0)
@@ -293,7 +404,7 @@ def test_engine_end_to_end(engine):
     assert got.count() == 4
     assert engine.query(f"select * from trades where ts {day}").columns == ["0", "1", "2", "3"]
     raw = engine.query(f"with format_datetime = false, cols=[a,b,c] select b from trades where ts {day}")
-    assert raw.schema["ts"].dataType.simpleString() == "timestamp"
+    assert raw.schema["ts"].dataType.simpleString() == "bigint"
     with pytest.raises(QueryError):
         engine.query(f"with cols=[a,b] select * from trades where ts {day}")
     with pytest.raises(QueryError):

@@ -1,6 +1,6 @@
 """Command line: ``python -m tidemark.cli [options] [query]``.
 
-Modes: ``adhoc`` runs one query, or reads queries up to ``;`` from standard input; ``server`` answers queries over the
+Modes: ``adhoc`` runs one query, or takes queries up to ``;`` from a prompt or standard input; ``server`` answers queries over the
 network; ``client`` sends them to a server; ``repair`` rebuilds a database's manifest. Options come from a JSON file
 (``--config``), else from arguments, else from environment variables named ``TIDEMARK_<OPTION>``.
 """
@@ -49,6 +49,33 @@ def statements(lines: TextIO) -> Iterator[str]:
         yield held.strip()
 
 
+def prompted(name: str = "tidemark") -> Iterator[str]:
+    """Queries typed at a prompt, over any number of lines up to a semicolon, with a history of earlier ones."""
+    try:
+        import readline
+
+        history = os.path.expanduser("~/.tidemark_history")
+        if os.path.exists(history):
+            readline.read_history_file(history)
+    except ImportError:
+        readline = None
+    held = ""
+    while True:
+        try:
+            held += input(f"{'.' * len(name) if held else name}> ") + "\n"
+        except KeyboardInterrupt:
+            held = ""
+            print()
+            continue
+        except EOFError:
+            break
+        if held.rstrip().endswith(";"):
+            yield held.strip()
+            held = ""
+    if readline:
+        readline.write_history_file(history)
+
+
 def main(argv: list[str] | None = None) -> int:
     opts = settings(sys.argv[1:] if argv is None else argv, dict(os.environ))
     spark = SparkSession.builder.master(opts["master"]).appName("tidemark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -70,7 +97,8 @@ def main(argv: list[str] | None = None) -> int:
     else:
         run = engine.run
     failed = 0
-    for text in [opts["query"]] if opts.get("query") else statements(sys.stdin):
+    typed = prompted() if sys.stdin.isatty() else statements(sys.stdin)
+    for text in [opts["query"]] if opts.get("query") else typed:
         try:
             run(text)
         except Exception as e:  # noqa: BLE001 - a bad query ends neither the session nor the other queries

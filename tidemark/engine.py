@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Callable, Sequence
 from typing import TextIO
 
@@ -21,7 +22,8 @@ class Engine:
     """Runs queries over a catalog.
 
     ``now`` returns the clock's nanoseconds for today() and its kin. ``legacy_granule`` keeps the older sub-second
-    lengths of equality filters. Results of queries with ``use_cache`` are kept only if ``cache`` is set.
+    lengths of equality filters. Of queries with ``use_cache`` the last ``cache`` results are kept, and of the same query
+    taken from there; ``force_sync_cloud`` computes it anew.
     """
 
     def __init__(
@@ -32,9 +34,10 @@ class Engine:
         default_database: str | None = None,
         now: Callable[[], int] | None = None,
         legacy_granule: bool = False,
-        cache: bool = False,
+        cache: int = 0,
     ) -> None:
         self.spark, self.now, self.legacy_granule, self.cache = spark, now, legacy_granule, cache
+        self._kept: OrderedDict[str, DataFrame] = OrderedDict()
         ship(spark)
         self.catalog = Catalog.from_specs(spark, databases, default_database)
 
@@ -48,8 +51,17 @@ class Engine:
     def _build(self, query: SeriesQuery | MetaQuery) -> DataFrame:
         if isinstance(query, MetaQuery):
             return build_meta(self.catalog, query)
-        df = build_series(self.catalog, query)
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.cache and query.use_cache else df
+        if not self.cache or not query.use_cache:
+            return build_series(self.catalog, query)
+        key = repr(query)
+        if query.refresh and key in self._kept:
+            self._kept.pop(key).unpersist()
+        if key not in self._kept:
+            self._kept[key] = build_series(self.catalog, query).persist(StorageLevel.MEMORY_AND_DISK)
+        self._kept.move_to_end(key)
+        while len(self._kept) > self.cache:
+            self._kept.popitem(last=False)[1].unpersist()
+        return self._kept[key]
 
     def run(self, text: str, stream: TextIO | None = None) -> DataFrame | None:
         """Run a query and send its result where its options say; it is returned for ``output_to_memory``."""

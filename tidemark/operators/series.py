@@ -61,7 +61,10 @@ def _few_distinct(n: int, last: bool):
         """The partition's n first or last distinct times; memory is bounded by n, whatever the number of ties."""
         held = np.zeros(0, np.int64)
         for batch in batches:
-            held = np.unique(np.r_[held, batch.column(0).to_numpy()])
+            times = batch.column(0).to_numpy()
+            if len(held) == n:  # next to all later times lie beyond those held
+                times = times[times > held[0]] if last else times[times < held[-1]]
+            held = np.unique(np.r_[held, times])
             held = held[-n:] if last else held[:n]
         yield pa.RecordBatch.from_arrays([pa.array(held)], [TS])
 

@@ -32,7 +32,7 @@ def _projection(query: SeriesQuery, fields: list[str]) -> list[tuple[str, str]]:
 
 
 def build_series(catalog: Catalog, query: SeriesQuery) -> DataFrame:
-    """The rows in ascending time. The time comes first, as RFC3339 text or, unformatted, as the instant (microseconds)."""
+    """The rows in ascending time. The time comes first, as RFC3339 text or, unformatted, in nanoseconds since the epoch."""
     source = catalog.series(query.metric, query.range, query.database, query.refresh, query.limit)
     return project_series(source, query)
 
@@ -43,7 +43,7 @@ def project_series(source: DataFrame, query: SeriesQuery) -> DataFrame:
     if query.limit is not None:
         rows = limit_distinct(rows, query.limit)
     time = F.col(TS)
-    shown = format_nanos(time, query.offset, zone_suffix(query)) if query.format_datetime else F.timestamp_micros(floor_div(time, 1000))
+    shown = format_nanos(time, query.offset, zone_suffix(query)) if query.format_datetime else time
     picked = rows.select(time.alias(_TIME), shown.alias("_shown"), *[F.col(f).alias(f"_f{i}") for i, (f, _) in enumerate(projection)])
     names = ["ts" if query.names is not None else "0", *[n for _, n in projection]]
     return picked.orderBy(_TIME).drop(_TIME).toDF(*names)

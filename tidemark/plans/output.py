@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
-import shutil
 import sys
 import uuid
 from collections.abc import Iterator
 from typing import TextIO
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.analyze import Output
+from tidemark.storage import ship
 
 
 def _text(value: object) -> str:
-    return "" if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+    return "" if value is None else str(value)
+
+
+def _serialized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch"])
+
+
+def arrow_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows in order, as the Arrow batches that the executors make of them; the driver holds one partition's at most."""
+    ship(df.sparkSession)
+    for row in df.mapInArrow(_serialized, "batch binary").toLocalIterator():
+        yield from pa.ipc.open_stream(row[0])
 
 
 def table_lines(df: DataFrame) -> Iterator[str]:
@@ -30,43 +47,128 @@ def table_lines(df: DataFrame) -> Iterator[str]:
     yield border
     yield line(df.columns)
     yield border
-    for row in texts.toLocalIterator():
-        yield line([_text(x) for x in row])
+    for batch in arrow_batches(texts):
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            yield line([_text(x) for x in row])
     yield border
 
 
+def _plain(value: object) -> object:
+    return value if value is None or isinstance(value, bool | int | float | str) else str(value)
+
+
+def _write_values(df: DataFrame, name: str, out: TextIO) -> None:
+    """A column as a JSON array."""
+    out.write("[")
+    begun = False
+    for batch in arrow_batches(df.select(F.col(f"`{name}`").alias("c"))):
+        for text in (json.dumps(_plain(x)) for x in batch.column(0).to_pylist()):
+            out.write("," + text if begun else text)
+            begun = True
+    out.write("]")
+
+
 def write_columns_json(df: DataFrame, out: TextIO) -> None:
     """One object with an array per column, written column by column, so no more than a partition is held."""
     out.write("{")
     for i, name in enumerate(df.columns):
-        out.write(("," if i else "") + json.dumps(name) + ":[")
-        for j, row in enumerate(df.select(F.col(f"`{name}`")).toLocalIterator()):
-            value = row[0]
-            plain = value if value is None or isinstance(value, bool | int | float | str) else str(value)
-            out.write(("," if j else "") + json.dumps(plain))
-        out.write("]")
+        out.write(("," if i else "") + json.dumps(name) + ":")
+        _write_values(df, name, out)
     out.write("}\n")
 
 
+# The tags of the types of columns in a frame's JSON.
+TAGS = {"double": "Float64", "boolean": "Bool", "string": "String", "bigint": "UInt64"}
+
+
+def write_frame_json(df: DataFrame, out: TextIO) -> None:
+    """A series as one object: its times, and each field with its name, its type's tag and its values."""
+    ts, *fields = df.schema.fields
+    out.write('{"ts_nanos":')
+    _write_values(df, ts.name, out)
+    out.write(',"columns":[')
+    for i, f in enumerate(fields):
+        tag = TAGS.get(f.dataType.simpleString())
+        if tag is None:
+            raise TypeError(f"{f.name}: {f.dataType.simpleString()} has no tag")
+        out.write(("," if i else "") + f'{{"name":{json.dumps(f.name)},"t":"{tag}","c":')
+        _write_values(df, f.name, out)
+        out.write("}")
+    out.write("]}\n")
+
+
+def read_frame_json(spark: SparkSession, path: str) -> DataFrame:
+    """Series from files that :func:`write_frame_json` has made, each a single object; nulls stay nulls."""
+    shape = spark.read.option("multiLine", "true").schema("ts_nanos array<bigint>, columns array<struct<name: string, t: string>>")
+    first = shape.json(path).select("columns").first()
+    kinds = {tag: kind for kind, tag in TAGS.items()}
+    names = [(c["name"], kinds[c["t"]]) for c in first["columns"]] if first else []
+    rows = spark.read.option("multiLine", "true").schema("ts_nanos array<bigint>, columns array<struct<c: array<string>>>").json(path)
+    zipped = F.arrays_zip("ts_nanos", *[F.col("columns")[i]["c"].alias(f"f{i}") for i in range(len(names))])
+    return rows.select(F.explode(zipped).alias("x")).select(
+        F.col("x.ts_nanos").alias("ts_nanos"), *[F.col("x")[f"f{i}"].cast(kind).alias(name) for i, (name, kind) in enumerate(names)]
+    )
+
+
+class _HadoopText(io.TextIOBase):
+    """Text written to a path of any Hadoop file system, a megabyte at a time."""
+
+    def __init__(self, df: DataFrame, path: str) -> None:
+        self._held, self._size = [], 0
+        fs, target = _file_system(df, path)
+        self._stream = fs.create(target, True)
+
+    def write(self, text: str) -> int:
+        self._held.append(text)
+        self._size += len(text)
+        if self._size >= 1 << 20:
+            self.flush()
+        return len(text)
+
+    def flush(self) -> None:
+        if self._held:
+            self._stream.write(bytearray("".join(self._held).encode()))
+            self._held, self._size = [], 0
+
+    def close(self) -> None:
+        if not self.closed:
+            self.flush()
+            self._stream.close()
+        super().close()
+
+
+def _file_system(df: DataFrame, path: str):
+    """The file system of a path and the path as it names it; a path without a scheme is a local one."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def write_parquet_file(df: DataFrame, path: str, compression: str) -> None:
     """One Parquet file at ``path``; the reader of a single file asks for it to be written by one task."""
-    parts = f"{path}.{uuid.uuid4().hex}"
-    df.coalesce(1).write.option("compression", compression).parquet(f"file://{os.path.abspath(parts)}")
-    (part,) = [p for p in os.listdir(parts) if p.endswith(".parquet")]
-    os.replace(os.path.join(parts, part), path)
-    shutil.rmtree(parts)
+    fs, target = _file_system(df, path)
+    parts = target.suffix(f".{uuid.uuid4().hex}")
+    df.coalesce(1).write.option("compression", compression).parquet(parts.toString())
+    (part,) = [s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().endswith(".parquet")]
+    fs.mkdirs(target.getParent())
+    fs.delete(target, False)
+    fs.rename(part, target)
+    fs.delete(parts, True)
 
 
 def emit(df: DataFrame, output: Output, stream: TextIO | None = None) -> DataFrame | None:
-    """Send a result to its destination; returns it for ``memory``. Folders of a file are made, the file is replaced."""
+    """Send a result to its destination; returns it for ``memory``. Folders of a file are made, the file is replaced.
+
+    A file may lie on any file system that Spark can write to; on a cluster a local one is the executors' own for Parquet, so
+    a shared path is to be named there.
+    """
     if output.destination == "memory":
         return df
     if output.destination == "file":
-        os.makedirs(os.path.dirname(os.path.abspath(output.path)), exist_ok=True)
         if output.format.startswith("parquet"):
             write_parquet_file(df, output.path, "snappy" if output.format == "parquet_snappy" else "none")
             return None
-        with open(output.path, "w") as f:
+        with _HadoopText(df, output.path) as f:
             _write_text(df, output.format, f)
         return None
     _write_text(df, output.format, stream or sys.stdout)

@@ -38,7 +38,7 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return out
 
 
-def _micros(ts: str, offset_hours: float = 0) -> str:
+def micros(ts: str, offset_hours: float = 0) -> str:
     """DuckDB's text of a timestamp as RFC3339 with nine digits."""
     zone = "Z" if not offset_hours else f"{'+' if offset_hours > 0 else '-'}{int(abs(offset_hours)):02}:{int(abs(offset_hours) % 1 * 60):02}"
     return f"strftime({ts} + INTERVAL ({int(offset_hours * 60)}) MINUTE, '%Y-%m-%dT%H:%M:%S.%f') || '000{zone}'"
@@ -47,7 +47,7 @@ def _micros(ts: str, offset_hours: float = 0) -> str:
 def _language() -> dict[str, tuple[str, str]]:
     """Query text and SQL of everything that the language can say."""
     out: dict[str, tuple[str, str]] = {}
-    e, ts = COLS["events"], _micros("ts")
+    e, ts = COLS["events"], micros("ts")
     fields = ", ".join(SERIES["events"][1])
     all_events = f"SELECT {ts} AS ts, {fields} FROM events WHERE "
 
@@ -89,21 +89,21 @@ def _language() -> dict[str, tuple[str, str]]:
     where("eq_second", "= '2024-01-10 09:07:33'", "ts >= TIMESTAMP '2024-01-10 09:07:33' AND ts < TIMESTAMP '2024-01-10 09:07:34'")
     where("eq_hour_by_delta", "= '2024-01-10' + 7 hours", "ts >= TIMESTAMP '2024-01-10 07:00:00' AND ts < TIMESTAMP '2024-01-10 08:00:00'")
     tokyo = "ts >= TIMESTAMP '2024-01-09 15:00:00' AND ts < TIMESTAMP '2024-01-10 15:00:00'"
-    where("eq_day_tokyo", "= '2024-01-10'", tokyo, ", tz = Asia/Tokyo", _micros("ts", 9))
-    where("tz_fixed_offset_ny", "in ('2024-01-10', '2024-01-12')", "ts >= TIMESTAMP '2024-01-10 05:00:00' AND ts < TIMESTAMP '2024-01-12 05:00:00'", ", tz = America/New_York", _micros("ts", -5))
-    where("tz_half_hour_kolkata", "= '2024-01-10'", "ts >= TIMESTAMP '2024-01-09 18:30:00' AND ts < TIMESTAMP '2024-01-10 18:30:00'", ", tz = Asia/Kolkata", _micros("ts", 5.5))
-    where("tz_numeric_offset", "= '2024-01-10'", "ts >= TIMESTAMP '2024-01-10 03:30:00' AND ts < TIMESTAMP '2024-01-11 03:30:00'", ", tz = -3:30", _micros("ts", -3.5))
+    where("eq_day_tokyo", "= '2024-01-10'", tokyo, ", tz = Asia/Tokyo", micros("ts", 9))
+    where("tz_fixed_offset_ny", "in ('2024-01-10', '2024-01-12')", "ts >= TIMESTAMP '2024-01-10 05:00:00' AND ts < TIMESTAMP '2024-01-12 05:00:00'", ", tz = America/New_York", micros("ts", -5))
+    where("tz_half_hour_kolkata", "= '2024-01-10'", "ts >= TIMESTAMP '2024-01-09 18:30:00' AND ts < TIMESTAMP '2024-01-10 18:30:00'", ", tz = Asia/Kolkata", micros("ts", 5.5))
+    where("tz_numeric_offset", "= '2024-01-10'", "ts >= TIMESTAMP '2024-01-10 03:30:00' AND ts < TIMESTAMP '2024-01-11 03:30:00'", ", tz = -3:30", micros("ts", -3.5))
     where("today_fixed_clock", "in today()", "ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-11'")
     where("yesterday_fixed_clock", "= yesterday()", "ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-10'")
     where("tomorrow_fixed_clock", ">= tomorrow()", "ts >= TIMESTAMP '2024-01-11'")
     where("yesterday_clock_range", "in (yesterday(), + 9:00)", "ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-09 09:00:00'")
     where("comments_and_case", "\n // the second half\n IN ('2024-01-16',\\ +1 DAY)", "ts >= TIMESTAMP '2024-01-16' AND ts < TIMESTAMP '2024-01-17'")
-    where("repeated_option", "= '2024-01-10'", tokyo, ", tz = UTC, tz = Asia/Tokyo", _micros("ts", 9))
+    where("repeated_option", "= '2024-01-10'", tokyo, ", tz = UTC, tz = Asia/Tokyo", micros("ts", 9))
     where("format_rfc3339_nanos", "= '2024-01-12'", "ts >= TIMESTAMP '2024-01-12' AND ts < TIMESTAMP '2024-01-13'")
-    where("format_rfc3339_tokyo", ">= '2024-01-12'", "ts >= TIMESTAMP '2024-01-11 15:00:00'", ", tz = Asia/Tokyo", _micros("ts", 9))
+    where("format_rfc3339_tokyo", ">= '2024-01-12'", "ts >= TIMESTAMP '2024-01-11 15:00:00'", ", tz = Asia/Tokyo", micros("ts", 9))
     for metric in ("orders", "lineitem"):
         ts_col, names = SERIES[metric]
-        shown, picked = _micros(ts_col), ", ".join(names)
+        shown, picked = micros(ts_col), ", ".join(names)
         cases = {
             f"head_n_gte_{metric}": (">=|3 '1998-01-01'", f"{ts_col} >= TIMESTAMP '1998-01-01'", "ASC", 3),
             f"head_n_gt_{metric}": (">|4 '1998-01-02'", f"{ts_col} > TIMESTAMP '1998-01-02'", "ASC", 4),
@@ -137,13 +137,13 @@ def _meta(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).catalog.series("events", TimeRange())
 
 
-_EVENT_NANOS = "epoch_us(ts) * 1000 AS ts_nanos, value, user_id, event_type, event_id"
-_WEEK = (1_704_672_000 * 10**9, 1_705_276_800 * 10**9)  # 2024-01-08 .. 2024-01-15
-_IN_WEEK = "ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'"
+EVENT_NANOS = "epoch_us(ts) * 1000 AS ts_nanos, value, user_id, event_type, event_id"
+WEEK = (1_704_672_000 * 10**9, 1_705_276_800 * 10**9)  # 2024-01-08 .. 2024-01-15
+IN_WEEK = "ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15'"
 
 
 def epoch_nanos_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,21 +166,21 @@ def format_seconds_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlap_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir)
+    rows = events(spark, sf_dir)
     return series.ordered(series.merge(rows.where("value < 60"), rows.where("value > 40")))
 
 
 def disjoint_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, within, after = series.split(_events(spark, sf_dir), TimeRange(*_WEEK))
+    before, within, after = series.split(events(spark, sf_dir), TimeRange(*WEEK))
     return series.ordered(series.merge(before, within, after))
 
 
 def range_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.clip(_events(spark, sf_dir), TimeRange.from_texts("1704672000", "2024-01-15T00:00:00Z"))
+    return series.clip(events(spark, sf_dir), TimeRange.from_texts("1704672000", "2024-01-15T00:00:00Z"))
 
 
 def purge_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.purge(_events(spark, sf_dir), TimeRange(*_WEEK))
+    return series.purge(events(spark, sf_dir), TimeRange(*WEEK))
 
 
 def unique_ts_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +203,7 @@ def custom_sorter_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stored(spark: SparkSession, sf_dir: str) -> Database:
     """Two overlapping blocks of events in a new database."""
     database = Database(spark, scratch_path(spark, "db"))
-    rows = _events(spark, sf_dir)
+    rows = events(spark, sf_dir)
     database.write_block("events", rows.where("event_id % 2 = 0"), block_id="even")
     database.write_block("events", rows.where("event_id % 2 = 1"), block_id="odd")
     return database
@@ -214,12 +214,12 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stored_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir).series("events", TimeRange(*_WEEK))
+    return _stored(spark, sf_dir).series("events", TimeRange(*WEEK))
 
 
 def persist_range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     database = Database(spark, scratch_path(spark, "db"))
-    before, within, after = series.split(_events(spark, sf_dir), TimeRange(*_WEEK))
+    before, within, after = series.split(events(spark, sf_dir), TimeRange(*WEEK))
     for name, part in (("a", before), ("b", within), ("c", after)):
         database.write_block("events", part, block_id=name)
     return database.manifest().select("metric", "block_id", "since_sec", "until_sec", "timestamp_num")
@@ -232,18 +232,15 @@ def repair_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_snappy_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "file").removeprefix("file://") + ".parquet"
-    import os
-
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    write_parquet_file(series.ordered(_events(spark, sf_dir)), path, "snappy")
-    return spark.read.parquet(f"file://{path}")
+    path = scratch_path(spark, "file") + ".parquet"
+    write_parquet_file(series.ordered(events(spark, sf_dir)), path, "snappy")
+    return spark.read.parquet(path)
 
 
 def stream_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events through a file stream, cut into several micro-batches, into blocks."""
     source, database = scratch_path(spark, "stream-source"), Database(spark, scratch_path(spark, "db"))
-    _events(spark, sf_dir).repartition(4, "event_id").write.parquet(source)
+    events(spark, sf_dir).repartition(4, "event_id").write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 2).parquet(source)
     ingest(stream, database, "events", scratch_path(spark, "checkpoint")).awaitTermination()
     return database.series("events")
@@ -251,14 +248,10 @@ def stream_ingest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def columnar_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON output of all events, one object with an array for each column, in a file: its length in bytes and hash."""
-    import hashlib
-    import os
-
-    path = scratch_path(spark, "file").removeprefix("file://") + ".json"
+    path = scratch_path(spark, "file") + ".json"
     engine(spark, sf_dir).run(f"with {COLS['events']}, format = json, output_file = '{path}' select * from events where ts >= '1970-01-01'")
-    with open(path, "rb") as f:
-        digest = hashlib.file_digest(f, "md5").hexdigest()
-    return spark.createDataFrame([(os.path.getsize(path), digest)], "json_bytes bigint, json_md5 string")
+    whole = spark.read.format("binaryFile").load(path)
+    return whole.select(F.col("length").alias("json_bytes"), F.md5("content").alias("json_md5"))
 
 
 _PLAIN = [
@@ -283,10 +276,10 @@ _LIST = f"""SELECT metric AS metrics, max(until) OVER (PARTITION BY metric) AS u
  row_number() OVER (PARTITION BY metric ORDER BY until, d) AS seq, since AS block_list_start, until AS block_list_end FROM ({_BLOCKS})"""
 _BY_PARITY = """SELECT 'events' AS metric, CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS block_id, epoch_us(min(ts)) // 1000000 AS since_sec,
  epoch_us(max(ts)) // 1000000 + 1 AS until_sec, count(DISTINCT ts) AS timestamp_num FROM events GROUP BY ALL"""
-_IDENTITY = f"SELECT {_EVENT_NANOS} FROM events"
+_IDENTITY = f"SELECT {EVENT_NANOS} FROM events"
 _JSON_ARRAYS = " || ',' || ".join(
     f"""'"{c}":[' || coalesce(string_agg(coalesce(CAST(to_json({v}) AS VARCHAR), 'null'), ',' ORDER BY ts), '') || ']'"""
-    for c, v in (("ts", _micros("ts")), *((c, c) for c in SERIES["events"][1]))
+    for c, v in (("ts", micros("ts")), *((c, c) for c in SERIES["events"][1]))
 )
 
 ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _LANGUAGE.items()}
@@ -305,15 +298,15 @@ ORACLES |= {
     "overlap_merge": f"{_IDENTITY} WHERE value < 60 UNION ALL {_IDENTITY} WHERE value > 40",
     "disjoint_append": _IDENTITY,
     "columnar_json": f"SELECT strlen(j) AS json_bytes, md5(j) AS json_md5 FROM (SELECT '{{' || {_JSON_ARRAYS} || '}}' || chr(10) AS j FROM events WHERE ts >= TIMESTAMP '1970-01-01')",
-    "range_search": f"{_IDENTITY} WHERE {_IN_WEEK}",
-    "purge_range": f"{_IDENTITY} WHERE NOT ({_IN_WEEK})",
+    "range_search": f"{_IDENTITY} WHERE {IN_WEEK}",
+    "purge_range": f"{_IDENTITY} WHERE NOT ({IN_WEEK})",
     "unique_ts_per_block": """SELECT metric, block_id, min(ts_nanos) // 1000000000 AS since_sec, max(ts_nanos) // 1000000000 + 1 AS until_sec,
  count(DISTINCT ts_nanos) AS timestamp_num FROM datapoints WHERE ts_nanos IS NOT NULL AND block_id IS NOT NULL GROUP BY ALL""",
     "metric_hull": "SELECT min(since_sec) AS since_sec, max(until_sec) AS until_sec FROM block_manifest",
     "custom_sorter_tiebreak": """SELECT epoch_us(o_orderdate) * 1000 AS ts_nanos, o_orderkey,
  row_number() OVER (PARTITION BY o_orderdate ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS place FROM orders""",
     "parquet_roundtrip": _IDENTITY,
-    "stored_range": f"{_IDENTITY} WHERE {_IN_WEEK}",
+    "stored_range": f"{_IDENTITY} WHERE {IN_WEEK}",
     "persist_range_split": """SELECT 'events' AS metric, CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 'a' WHEN ts < TIMESTAMP '2024-01-15' THEN 'b' ELSE 'c' END AS block_id,
  epoch_us(min(ts)) // 1000000 AS since_sec, epoch_us(max(ts)) // 1000000 + 1 AS until_sec, count(DISTINCT ts) AS timestamp_num FROM events GROUP BY ALL""",
     "repair_manifest": _BY_PARITY,

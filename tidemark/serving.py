@@ -17,22 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.engine import Engine
-from tidemark.plans.analyze import Output
-from tidemark.plans.output import emit
+from tidemark.plans.analyze import Output, SeriesQuery
+from tidemark.plans.output import arrow_batches, emit
 
 PORT = 51033
 
 
 def _batches(df: DataFrame, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The rows in order, in batches of one partition or less."""
-    names, rows = df.columns, []
-    for row in df.toLocalIterator():
-        rows.append(row)
-        if len(rows) == 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names)
+    for batch in arrow_batches(df):
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, schema, strict=True)], schema=schema)
 
 
 class QueryServer(flight.FlightServerBase):
@@ -50,7 +43,10 @@ class QueryServer(flight.FlightServerBase):
         except (ValueError, LookupError) as e:
             raise flight.FlightServerError(str(e)) from None
         output = json.dumps(asdict(query.output)).encode()
-        schema = to_arrow_schema(df.schema).with_metadata({b"output": output})
+        schema = to_arrow_schema(df.schema)
+        if isinstance(query, SeriesQuery) and not query.format_datetime:
+            schema = schema.set(0, pa.field(schema.field(0).name, pa.timestamp("ns", "UTC")))  # Arrow has what Spark lacks
+        schema = schema.with_metadata({b"output": output})
         return flight.GeneratorStream(schema, _batches(df, schema))
 
 

@@ -29,8 +29,8 @@ class External:
         """The range is pushed to the scan as one on the time column itself where the column's type allows."""
         table = self.load()
         kind = dict(table.dtypes)[self.ts]
-        if kind == "timestamp_ntz":
-            table = table.where(_micro_range(self.ts, bounds))
+        if kind in ("timestamp_ntz", "timestamp", "date"):
+            table = table.where(_typed_range(self.ts, kind, bounds))
         nanos = timestamp_nanos(F.col(self.ts), kind).alias(TS)
         return clip(table.select(nanos, *[F.col(c) for c in self.fields]), bounds)
 
@@ -40,13 +40,21 @@ class External:
         return block_stats(named, ["metric", "block_id"]).withColumn("updated_at_nanos", F.col("until_sec") * F.lit(10**9))
 
 
-def _micro_range(ts: str, bounds: TimeRange) -> Column:
-    """A range on a zoneless timestamp, as literals that Parquet can compare; at most a microsecond too wide."""
+def _typed_range(ts: str, kind: str, bounds: TimeRange) -> Column:
+    """A range on a timestamp or date column, as literals that Parquet can compare; at most a microsecond, or for dates a
+    day, too wide.
+    """
+
+    def literal(micros: int) -> Column:
+        if kind == "timestamp":
+            return F.timestamp_micros(F.lit(min(max(micros, -(2**62)), 2**62)))
+        return F.lit(_ntz(micros)).cast("timestamp_ntz").cast(kind)
+
     test = F.col(ts).isNotNull()
     if bounds.since is not None:
-        test = test & (F.col(ts) >= F.lit(_ntz(bounds.since // 1000)).cast("timestamp_ntz"))
+        test = test & (F.col(ts) >= literal(bounds.since // 1000))
     if bounds.until is not None:
-        test = test & (F.col(ts) <= F.lit(_ntz(-(-bounds.until // 1000))).cast("timestamp_ntz"))
+        test = test & (F.col(ts) <= literal(-(-bounds.until // 1000)))
     return test
 
 

@@ -6,18 +6,23 @@ Layout below a database's folder (any Hadoop file system, local or ``gs://`` ali
     block_list/*.parquet                                    one row per block, the latest version of a block holds
     field_types/<metric>.json                               the fields' types, checked on every write
     error/<nanoseconds>.json                                writes that failed
+    lock/<name>.lock                                        held while a metric or the manifest is written
 
 A block is written before its manifest row, under an id that a retry repeats, so a failed or repeated write leaves
-neither dangling rows nor duplicates.
+neither dangling rows nor duplicates. Readers take no locks: they read the blocks that the manifest lists.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
+import socket
 import time
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,8 +35,12 @@ from tidemark.storage import materialize, remove_path
 MANIFEST = "metric string, block_id string, since_sec bigint, until_sec bigint, timestamp_num bigint, updated_at_nanos bigint"
 FIELD_TYPES = (T.DoubleType, T.BooleanType, T.StringType, T.LongType, T.DecimalType, T.NullType, T.FloatType, T.IntegerType)
 MAX_FIELDS = 255
-#: Blocks of the manifest that the planning of a limit looks at.
+#: Blocks of the manifest that the planning of a limit looks at, and that a range is read from by name.
 LIMIT_BLOCKS = 10_000
+#: Files of the manifest beyond which they are merged into one.
+MANIFEST_FILES = 64
+#: Seconds after which a lock counts as left behind by a writer that died.
+LOCK_SECONDS = 3600
 
 
 def check_metric_name(name: str) -> str:
@@ -89,6 +98,35 @@ class Database:
         finally:
             stream.close()
 
+    @contextmanager
+    def lock(self, name: str, wait: float = 60.0) -> Iterator[None]:
+        """Hold ``name`` alone among all writers of the database; those that come later wait, or give up with an error.
+
+        The file system creates the lock's file for one of them only. A lock older than LOCK_SECONDS is taken over.
+        """
+        path, until = self._path("lock", f"{name}.lock"), time.monotonic() + wait
+        while True:
+            try:
+                stream = self._fs().create(path, False)
+                break
+            except Py4JJavaError as e:
+                if not self._fs().exists(path):
+                    if "AlreadyExists" not in e.java_exception.toString():
+                        raise
+                    continue
+                if time.time() * 1000 - self._fs().getFileStatus(path).getModificationTime() > LOCK_SECONDS * 1000:
+                    self._fs().delete(path, False)
+                elif time.monotonic() > until:
+                    raise TimeoutError(f"{name} is being written by another writer") from None
+                else:
+                    time.sleep(0.05)
+        stream.write(bytearray(f"{socket.gethostname()} {os.getpid()}".encode()))
+        stream.close()
+        try:
+            yield
+        finally:
+            self._fs().delete(path, False)
+
     # -- manifest
 
     def manifest(self) -> DataFrame:
@@ -112,14 +150,33 @@ class Database:
             raise LookupError(f"no such metric: {metric}")
         return T.StructType.fromJson(json.loads(self._read_text("field_types", f"{metric}.json")))
 
+    def blocks_in(self, metric: str, bounds: TimeRange) -> DataFrame:
+        """The manifest's rows of a metric's blocks that may hold rows of a range."""
+        second, test = 10**9, F.col("metric") == metric
+        if bounds.since is not None:
+            test = test & (F.col("until_sec") > F.lit(bounds.since // second))
+        if bounds.until is not None:
+            test = test & (F.col("since_sec") <= F.lit((bounds.until - 1) // second))
+        return self.manifest().where(test)
+
     def series(self, metric: str, bounds: TimeRange = TimeRange()) -> DataFrame:
-        """Rows of a metric in a range; the range also prunes the bucket folders and reaches the Parquet scan."""
+        """Rows of a metric in a range, from the blocks that the manifest lists for it.
+
+        Only these blocks' folders are listed; if they are more than LIMIT_BLOCKS the whole metric's are, and blocks that
+        aren't listed are left out by name. The range also prunes the bucket folders and reaches the Parquet scan.
+        """
         schema = self.schema_of(metric)
-        if not self.exists("block", metric):
+        blocks = [r["block_id"] for r in self.blocks_in(metric, bounds).select("block_id").limit(LIMIT_BLOCKS + 1).collect()]
+        folder = f"{self.root}/block/{metric}"
+        if not blocks:
             return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("ts_bucket", T.LongType())]))
-        rows = stored.parquet(f"{self.root}/block/{metric}").where(bucket_range(bounds))
-        return clip(rows, bounds).select(*schema.names)
+        kept = [T.StructField("block_id", T.StringType()), T.StructField("ts_bucket", T.LongType())]
+        reader = self.spark.read.schema(T.StructType([*schema.fields, *kept])).option("basePath", folder)
+        if len(blocks) <= LIMIT_BLOCKS:
+            rows = reader.parquet(*[f"{folder}/block_id={b}" for b in blocks])
+        else:
+            rows = reader.parquet(folder).join(self.blocks_in(metric, bounds).select("block_id"), "block_id", "left_semi")
+        return clip(rows.where(bucket_range(bounds)), bounds).select(*schema.names)
 
     def narrowed(self, metric: str, bounds: TimeRange, limit: Limit) -> TimeRange:
         """A part of the range that surely holds the timestamps that a limit asks for, as far as the manifest tells.
@@ -153,10 +210,15 @@ class Database:
         """Store ``rows`` (``ts_nanos`` and fields) as one block; returns its id, or None if there are no rows.
 
         A block of the same id is replaced. Fields must have the types of the metric's first write. ``files`` is the
-        number of files per bucket to aim at; by default the frame's own partitions are kept.
+        number of files per bucket to aim at; by default the frame's own partitions are kept. One writer at a time writes to
+        a metric; others wait.
         """
         check_metric_name(metric)
         check_fields(rows.schema)
+        with self.lock(metric):
+            return self._write_block(metric, rows, block_id, tie_keys, files)
+
+    def _write_block(self, metric: str, rows: DataFrame, block_id: str | None, tie_keys: Sequence[str | Column], files: int | None) -> str | None:
         if self.exists("field_types", f"{metric}.json"):
             known = self.schema_of(metric)
             if [f.dataType for f in known] != [f.dataType for f in rows.schema]:
@@ -190,26 +252,35 @@ class Database:
         return any(s.isDirectory() for s in self._fs().listStatus(path))
 
     def _list_blocks(self, stats: DataFrame) -> None:
-        stats.withColumn("updated_at_nanos", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(f"{self.root}/block_list")
+        with self.lock(".block_list"):
+            stats.withColumn("updated_at_nanos", F.lit(time.time_ns())).coalesce(1).write.mode("append").parquet(f"{self.root}/block_list")
+            names = [f.getPath().getName() for f in self._fs().listStatus(self._path("block_list"))]
+            if sum(n.endswith(".parquet") for n in names) > MANIFEST_FILES:
+                self._replace_manifest(self.manifest())
+
+    def _replace_manifest(self, rows: DataFrame) -> None:
+        """The new manifest is complete before the old one is removed."""
+        fresh = self._path(f"block_list-{time.time_ns()}")
+        rows.coalesce(1).write.parquet(str(fresh))
+        remove_path(self.spark, f"{self.root}/block_list")
+        self._fs().rename(fresh, self._path("block_list"))
+        self.spark.catalog.refreshByPath(f"{self.root}/block_list")
 
     def repair(self) -> DataFrame:
         """Rebuild the manifest from the blocks that can be read; returns the rows that were dropped or corrected.
 
-        Unreadable files count as absent. The new manifest is complete before the old one is removed.
+        Unreadable files count as absent. All metrics' times are read in one scan; metric and block are told by the path.
         """
-        before = materialize(self.manifest(), "manifest")  # as the files behind it are about to go
-        metrics = [r[0] for r in before.select("metric").distinct().collect()]
-        found = self.spark.createDataFrame([], MANIFEST)
-        reader = self.spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
-        for metric in metrics:
-            if self.exists("block", metric) and self._has_rows(f"{self.root}/block/{metric}"):
-                schema = T.StructType([*self.schema_of(metric).fields, T.StructField("block_id", T.StringType())])
-                stats = block_stats(reader.schema(schema).parquet(f"{self.root}/block/{metric}"), [F.lit(metric).alias("metric"), "block_id"])
-                found = found.unionByName(stats.withColumn("updated_at_nanos", F.lit(time.time_ns())))
-        fresh, listed = f"{self.root}/block_list-{time.time_ns()}", f"{self.root}/block_list"
-        found.coalesce(1).write.parquet(fresh)
-        remove_path(self.spark, listed)
-        self._fs().rename(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(fresh), self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(listed))
+        with self.lock(".block_list"):
+            before = materialize(self.manifest(), "manifest")  # as the files behind it are about to go
+            reader = self.spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
+            found = self.spark.createDataFrame([], MANIFEST)
+            if self.exists("block"):
+                path = F.col("_metadata.file_path")
+                part = lambda n: F.url_decode(F.regexp_extract(path, r"/block/([^/]+)/block_id=([^/]+)/[^/]+/[^/]+$", n))
+                times = reader.schema(f"{TS} bigint").parquet(f"{self.root}/block").select(TS, part(1).alias("metric"), part(2).alias("block_id"))
+                found = block_stats(times, ["metric", "block_id"]).withColumn("updated_at_nanos", F.lit(time.time_ns()))
+            self._replace_manifest(found.select(*before.columns))
         self.refresh()
         keys = ["metric", "block_id", "since_sec", "until_sec", "timestamp_num"]
         return before.join(self.manifest(), keys, "left_anti")
