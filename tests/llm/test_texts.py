@@ -108,10 +108,20 @@ def test_every_text_has_its_place(spark, rows_per_task):
 
 
 def test_token_counts(spark):
-    texts = ["hello world", "", None, "<|endoftext|>", "a" * 1_000_000, "naïve 日本語 \U0001f600", " " * 300_000]
+    texts = ["hello world", "", None, "<|endoftext|>", "a" * 1_000_000, "naïve 日本語 \U0001f600", " " * 300_000, "ab " * 200_000, "x" + " \n" * 40_000 + " y"]
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(documents(spark, texts)).collect()}
     assert (got[0], got[1], got[2]) == (2, 0, 0)
-    assert got[3] > 1 and got[4] > 10_000 and got[5] > 4 and got[6] > 0
+    whole = packing._encoder(packing.VOCABULARY)
+    assert got[3] > 1 and got[5] > 4 and got[6] > 0
+    assert got[4] == len(whole.encode_ordinary(texts[4])) and got[7] == len(whole.encode_ordinary(texts[7]))
+    assert got[8] == len(whole.encode_ordinary("x")) + len(whole._encode_single_piece(" \n" * 40_000)) + len(whole.encode_ordinary(" y"))
+
+
+def test_pieces_are_those_of_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "BLANKS", 3)
+    encoder = packing._encoder(packing.VOCABULARY)
+    for text in ("a   b", "  x\n\n\n y 12 don't", "\t\t\t", "日本   語!!  ", "a    "):
+        assert packing.count_tokens(text, encoder) == len(encoder.encode_ordinary(text))
 
 
 # -- shared stretches

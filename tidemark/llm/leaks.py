@@ -138,6 +138,11 @@ def longest_passage(item: list[str], text: list[str], min_words: int, per_change
     padded[begin - low : end - low] = [numbers.get(w, -2) for w in text[begin:end]]
     beside = np.lib.stride_tricks.sliding_window_view(padded, high - low + 1)
     step = np.where(beside == -1, far, beside != np.array([numbers[w] for w in item])[:, None]).astype(kind)
+    # each word of a part that isn't changed lies within reach; most of what isn't leaked lacks too many of its words
+    within = np.cumsum(np.r_[0, (step == 0).any(axis=1)])
+    lengths = [w for w in range(min_words, min(2 * min_words, n + 1)) if w == min_words or allowed(w, per_change) > allowed(w - 1, per_change)]
+    if not any((within[w:] - within[:-w]).max() >= w - allowed(w, per_change) for w in lengths):
+        return 0
     slope = np.arange(high - low + 1, dtype=kind)
     place = low + np.arange(high - low + 1)  # of the text, at the item's first word
     best, first, block = 0, 0, 4

@@ -9,11 +9,14 @@ size. The pieces then take their places by their rank among the pieces of their
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +26,8 @@ from tidemark.storage import materialize, ship
 SPLIT_PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
-#: Longest run of characters handed to the tokenizer at once; longer texts are measured in such stretches.
-STRETCH = 200_000
+#: White space of so many characters in a row is more than the tokenizer's own splitting can take.
+BLANKS = 50_000
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]
 
@@ -38,19 +41,29 @@ def _encoder(vocabulary: str):
     return tiktoken.Encoding("public", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(text: str, encoder) -> int:
+    """Tokens of a whole text, however long."""
+    if len(text) < BLANKS or not re.search(rf"\s{{{BLANKS}}}", text):
+        return len(encoder.encode_ordinary(text))
+    import regex
+
+    # split by the same pattern, but piece by piece
+    return sum(len(encoder._encode_single_piece(x)) for x in regex.findall(SPLIT_PATTERN, text))
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens); a null text has no tokens, as an empty one. Every node must hold the vocabulary file."""
+    """(doc_id, n_tokens); a null text has no tokens, as an empty one. The vocabulary's file is sent to the executors."""
+    spark = documents.sparkSession
+    spark.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encoder = _encoder(SparkFiles.get(name))
         for batch in batches:
-            sizes = []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                sizes.append(sum(len(encode(text[i : i + STRETCH])) for i in range(0, len(text), STRETCH)))
+            sizes = [count_tokens(text, encoder) if text else 0 for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    ship(documents.sparkSession)
+    ship(spark)
     return documents.select("doc_id", "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import leaks, packing, quantiles, shared_spans
 from tidemark.operators.trades import distinct_trades
 from tidemark.queries.problems import ONE_DELIVERY
+from tidemark.storage import materialize
 
 PROBS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
@@ -40,6 +41,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_assignment(spark, sf_dir).where("part > 0").select("doc_id").distinct()
 
 
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the assignment: all documents placed, no container too full, none cut that fits, little room unused."""
+    placed = materialize(p7_assignment(spark, sf_dir), "placed")
+    capacity = F.lit(2048)
+    docs = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("parts"))
+    needless = F.count(F.when(F.col("parts") > F.greatest(F.ceil(F.col("n") / capacity), F.lit(1)), 1))
+    by_doc = docs.agg(F.count(F.lit(1)).alias("documents"), needless.alias("cut_needlessly"), F.sum("n").alias("tokens"))
+    loads = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where("n > 0")
+    by_container = loads.agg(F.count(F.when(F.col("n") > capacity, 1)).alias("too_full"), F.count(F.lit(1)).alias("containers"))
+    one = F.lit(0).alias("one")
+    both = by_doc.select("*", one).join(by_container.select("*", one), "one")
+    return both.select("documents", "cut_needlessly", "too_full", (F.col("containers") <= F.ceil(F.col("tokens") / capacity) * 1.02 + 1).alias("tight"))
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
@@ -60,7 +75,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_stretches(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined_days, p7_found, p7_assignment, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
+QUERIES = {f.__name__: f for f in (p4_percentiles, p4_combined_days, p7_found, p7_assignment, p7_summary, p8_found, p8_leaks, p9_found, p9_stretches, p9_parts)}
 
 def _percentile_sql() -> str:
     # the order statistics themselves, so that both sides interpolate by the same formula to the last bit
@@ -88,6 +103,7 @@ _WINDOWS = """w AS (SELECT doc_id, i AS start, substr(text, CAST(i AS BIGINT) +
 ORACLES: dict[str, str] = {
     "p4_percentiles": _percentile_sql(),
     "p4_combined_days": _percentile_sql(),
+    "p7_summary": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS cut_needlessly, CAST(0 AS BIGINT) AS too_full, TRUE AS tight FROM documents",
     "p9_found": f"WITH {_WINDOWS} SELECT DISTINCT doc_id FROM m",
     "p9_stretches": f"WITH {_WINDOWS} SELECT *, least(doc_id, other) AS class_id FROM r",
     "p9_parts": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, sum(greatest(start + length - greatest(start, coalesce(before, start)), 0)) AS shared_chars, count(*) AS stretches, count(DISTINCT other) AS links
