@@ -15,6 +15,8 @@ from tidemark.plans.analyze import Limit
 df = spark.range(1000).selectExpr("id * 1000000000 as ts_nanos", "'a' as source", "cast(id as double) value")
 periods = spark.createDataFrame([("a", 10)], "source string, period_sec int")
 print("RESULT", grid.regular_grid(df, periods).count(), series.limit_distinct(df, Limit("tail", 2)).count())
+from pathlib import Path
+print("TABLES", len(list(Path({tmp!r}, "shared").rglob("*.parquet"))) > 0)
 """
 
 
@@ -29,6 +31,7 @@ def test_executors_need_no_installation(tmp_path):
         if p.name != "work":
             (home / p.name).symlink_to(p)
     env["SPARK_HOME"] = str(home)
-    done = subprocess.run([sys.executable, "-c", SCRIPT.format(root=str(ROOT), tmp=tmp_path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170)
+    done = subprocess.run([sys.executable, "-c", SCRIPT.format(root=str(ROOT), tmp=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=170)
     assert "RESULT 100 2" in done.stdout, done.stderr[-2000:]
-    assert list((tmp_path / "shared").rglob("*.parquet")), "intermediate tables go to the shared folder"
+    assert "TABLES True" in done.stdout, "intermediate tables go to the shared folder"
+    assert not list((tmp_path / "shared").rglob("*.parquet")), "and are gone when the application ends"

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_RUN_DIRS: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -69,9 +70,27 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; it is deleted when the driver's JVM ends, or by :func:`close`."""
+    path = f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
+    if path not in _RUN_DIRS:
+        fs, target = _file_system(spark, path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _RUN_DIRS.add(path)
+    return path
+
+
+def close(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that weren't computed yet can't be any more."""
+    path = run_dir(spark)
+    remove_path(spark, path)
+    _RUN_DIRS.discard(path)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{tag}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -127,8 +146,12 @@ def discard(*tables: DataFrame) -> None:
         remove_path(table.sparkSession, table._tidemark_path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path through the file system it lives on; missing paths are ignored."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file_system(spark, path)
+    fs.delete(target, True)
