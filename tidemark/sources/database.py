@@ -19,6 +19,7 @@ import os
 import re
 import socket
 import time
+import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
@@ -104,28 +105,61 @@ class Database:
 
         The file system creates the lock's file for one of them only. A lock older than LOCK_SECONDS is taken over.
         """
-        path, until = self._path("lock", f"{name}.lock"), time.monotonic() + wait
-        while True:
-            try:
-                stream = self._fs().create(path, False)
-                break
-            except Py4JJavaError as e:
-                if not self._fs().exists(path):
-                    if "AlreadyExists" not in e.java_exception.toString():
-                        raise
-                    continue
-                if time.time() * 1000 - self._fs().getFileStatus(path).getModificationTime() > LOCK_SECONDS * 1000:
-                    self._fs().delete(path, False)
-                elif time.monotonic() > until:
-                    raise TimeoutError(f"{name} is being written by another writer") from None
-                else:
-                    time.sleep(0.05)
-        stream.write(bytearray(f"{socket.gethostname()} {os.getpid()}".encode()))
-        stream.close()
+        parts, until = ("lock", f"{name}.lock"), time.monotonic() + wait
+        token = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}"
+        while not self._create(token, *parts):
+            age = self._age(*parts)
+            if age is not None and age > LOCK_SECONDS:
+                # renamed first, as only one of several that find it so can do that
+                old = ("lock", f"{name}.{uuid.uuid4().hex}")
+                if self._fs().rename(self._path(*parts), self._path(*old)):
+                    self._fs().delete(self._path(*old), False)
+            elif time.monotonic() > until:
+                raise TimeoutError(f"{name} is being written by another writer")
+            else:
+                time.sleep(0.05)
         try:
             yield
         finally:
-            self._fs().delete(path, False)
+            if self._holds(token, *parts):
+                self._fs().delete(self._path(*parts), False)
+
+    def _create(self, text: str, *parts: str) -> bool:
+        """Write a file that doesn't exist yet; False if it does. Only one of several at once succeeds."""
+        if self._fs().getUri().getScheme() == "file":  # Hadoop's own class for local files looks first and creates later
+            path = self._path(*parts).toUri().getPath()
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            try:
+                with open(path, "x") as f:
+                    f.write(text)
+            except FileExistsError:
+                return False
+            return True
+        try:
+            stream = self._fs().create(self._path(*parts), False)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.toString():
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def _holds(self, token: str, *parts: str) -> bool:
+        """Whether a lock is still this writer's, and wasn't taken over."""
+        try:
+            return self._read_text(*parts) == token
+        except Py4JJavaError:
+            return False
+
+    def _age(self, *parts: str) -> float | None:
+        """Seconds since a file was written, or None if it isn't there any more."""
+        try:
+            return time.time() - self._fs().getFileStatus(self._path(*parts)).getModificationTime() / 1000
+        except Py4JJavaError as e:
+            if "FileNotFound" in e.java_exception.toString():
+                return None
+            raise
 
     # -- manifest
 
