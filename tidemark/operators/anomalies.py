@@ -384,13 +384,23 @@ def flagged(readings: DataFrame, fields: dict[str, tuple[str, str]], limits: dic
     departures are too few for that (:data:`FEW`, :data:`FEW_PART`), at most a hundredth of the value held, so that any
     departure counts from a series that holds 0.
     """
-    rows = join_small(readings, normal_ranges(readings, limits, sigmas), ["record_table", "source", "field", "hour"])
-    spike = F.abs("jump") > F.col("fence")
-    stuck = F.col("restless") & (F.col("run") > _limit(limits, lambda x, k: x.max_run)) & _limit(limits, lambda x, k: x.frozen[k])
-    found = rows.withColumn("reason", F.when(spike, F.lit("spike")).when(stuck, F.lit("stuck"))).where("reason is not null")
+    rows = _judged(readings, limits, sigmas)
+    found = rows.withColumn("reason", F.when(F.col("spike"), F.lit("spike")).when(F.col("stuck"), F.lit("stuck"))).where("reason is not null")
     return found.select("record_table", _limit(fields, lambda x, k: x[k]).alias("record_field"), "row_id", "reason")
 
 
+def stuck(readings: DataFrame, fields: dict[str, tuple[str, str]], limits: dict[str, Limits]) -> DataFrame:
+    """(record_table, record_field, row_id) of the values in stretches of zero variance, spikes or not."""
+    rows = _judged(readings, limits, 5.0).where("stuck")
+    return rows.select("record_table", _limit(fields, lambda x, k: x[k]).alias("record_field"), "row_id")
+
+
+def _judged(readings: DataFrame, limits: dict[str, Limits], sigmas: float) -> DataFrame:
+    rows = join_small(readings, normal_ranges(readings, limits, sigmas), ["record_table", "source", "field", "hour"])
+    long = F.col("run") > _limit(limits, lambda x, k: x.max_run)
+    return rows.withColumns({"spike": F.abs("jump") > F.col("fence"), "stuck": F.col("restless") & long & _limit(limits, lambda x, k: x.frozen[k])})
+
+
 def impossible(series: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
     """(record_table, record_field, row_id, reason) of the values of ``series`` that physics or meaning rule out, as
     ``bad1`` and ``bad2`` tell; nulls pass.

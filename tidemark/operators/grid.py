@@ -15,11 +15,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import NANOS, finite
-from tidemark.storage import discard, materialize, ship
+from tidemark.storage import discard, join_small, materialize, ship
 
 OBSERVED, FILLED, UNSUPPORTED = "observed", "filled", "unsupported"
 #: What an estimate needs: observations of its source in the matrix, and periods to the nearest of them.
@@ -158,7 +158,7 @@ def cells_of(readings: DataFrame, periods: DataFrame) -> DataFrame:
     exact = "case when lo = hi then lo when abs(mean) > 1.7976931348623157e308 then lo / 2 + hi / 2 else mean end"
     cell = F.expr("(ts_nanos - pmod(ts_nanos, period)) div period")  # whole numbers: doubles can't tell nanoseconds apart
     return (
-        usable.join(periods.where("period_sec > 0").select("source", "period_sec"), "source")
+        join_small(usable, periods.where("period_sec > 0").select("source", "period_sec"), ["source"])
         .withColumn("period", period)
         .withColumn("cell", cell)
         .groupBy("source", "period_sec", "cell")
@@ -190,7 +190,7 @@ def regular_grid(readings: DataFrame, periods: DataFrame, *, tile_cells: int = 5
     # cells near an edge are shown to the matrix beyond it as well, if their source passes through that
     beside = [F.when((F.col("cell") - own * tile_cells < HALO) & (own > F.floor(F.col("first_cell") / tile_cells)), own - 1)]
     beside += [F.when(((own + 1) * tile_cells - F.col("cell") <= HALO) & (own < F.floor(F.col("last_cell") / tile_cells)), own + 1)]
-    held = cells.join(placed, ["source", "period_sec"]).select(
+    held = join_small(cells, placed, ["source", "period_sec"]).select(
         "source", "period_sec", "grp", F.explode(F.array_compact(F.array(own, *beside))).alias("tile"), "first_cell", "last_cell", "cell", "value"
     )
     return held.unionByName(tiles).groupBy("period_sec", "grp", "tile").applyInPandas(
@@ -201,22 +201,23 @@ def regular_grid(readings: DataFrame, periods: DataFrame, *, tile_cells: int = 5
 def held_out_errors(readings: DataFrame, periods: DataFrame, part: int = 10, **options) -> DataFrame:
     """(source, cells, error, line_error): how far fills lie off cells that were held out, one in ``part`` of each source's.
 
-    Errors are medians over the cells that are filled and lie between two observed ones, in the unit of the readings;
-    ``line_error`` is that of a straight line between these two.
+    Errors are medians over the cells that are filled and have an observed one within ``NEAR`` periods on both sides, in the
+    unit of the readings; ``line_error`` is that of a straight line between the nearest two.
     """
     cells = materialize(cells_of(readings, periods), "grid-truth")
     hidden = F.pmod(F.xxhash64("source", "cell"), F.lit(part)) == 0
-    centre = (F.col("cell") * F.col("period_sec") * NANOS).alias("ts_nanos")
-    rest = cells.where(~hidden).select("source", centre, "value")
-    filled = regular_grid(rest, periods, **options).where(F.col("state") == FILLED)
-    by_time = Window.partitionBy("source").orderBy("cell")
-    shown = F.when(~hidden, F.struct("cell", "value"))
-    before, after = F.last(shown, True).over(by_time), F.first(shown, True).over(by_time.rowsBetween(0, Window.unboundedFollowing))
-    placed = cells.withColumns({"_before": before, "_after": after}).where(hidden & F.col("_before").isNotNull() & F.col("_after").isNotNull())
-    ahead = (F.col("cell") - F.col("_before.cell")) / (F.col("_after.cell") - F.col("_before.cell"))
-    line = F.col("_before.value") + (F.col("_after.value") - F.col("_before.value")) * ahead
-    truth = placed.select("source", (F.col("cell") * F.col("period_sec")).alias("cell_start_sec"), F.col("value").alias("truth"), line.alias("line"))
-    both = truth.join(filled.select("source", "cell_start_sec", "value"), ["source", "cell_start_sec"])
+    shown = cells.where(~hidden)
+    at = (F.col("cell") * F.col("period_sec")).alias("cell_start_sec")
+    filled = regular_grid(shown.select("source", (at * NANOS).alias("ts_nanos"), "value"), periods, **options).where(F.col("state") == FILLED)
+    steps = F.explode(F.array(*[F.lit(k) for k in range(-NEAR, NEAR + 1) if k])).alias("step")
+    asked = cells.where(hidden).select("source", "period_sec", F.col("cell").alias("at"), F.col("value").alias("truth"), steps).withColumn("cell", F.col("at") + F.col("step"))
+    before, after = F.when(F.col("step") < 0, F.col("step")), F.when(F.col("step") > 0, F.col("step"))
+    beside = asked.join(shown.select("source", "cell", "value"), ["source", "cell"]).groupBy("source", "period_sec", "at", "truth").agg(
+        F.max(before).alias("a"), F.max_by("value", before).alias("va"), F.min(after).alias("b"), F.min_by("value", after).alias("vb")
+    ).where("a is not null and b is not null")
+    line = F.col("va") - (F.col("vb") - F.col("va")) * F.col("a") / (F.col("b") - F.col("a"))
+    told = beside.select("source", (F.col("at") * F.col("period_sec")).alias("cell_start_sec"), "truth", line.alias("line"))
+    both = told.join(filled.select("source", "cell_start_sec", "value"), ["source", "cell_start_sec"])
     return both.groupBy("source").agg(
         F.count(F.lit(1)).alias("cells"),
         F.median(F.abs(F.col("value") - F.col("truth"))).alias("error"), F.median(F.abs(F.col("line") - F.col("truth"))).alias("line_error"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.timestamps import finite, rfc3339_nanos
 from tidemark.operators import anomalies, grid, intervals, rolling
 from tidemark.operators.trades import distinct_trades
-from tidemark.storage import materialize, scratch_path
+from tidemark.storage import join_small, materialize, scratch_path
 from tidemark.streaming import compaction
 
 
@@ -39,7 +39,7 @@ _FIELDS = {"datapoints": ("c0", "c1"), "trades": ("price", "size")}
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All readings with a time, each parsed once: what can't be is told by ``bad1`` and ``bad2`` and isn't among the values."""
     catalog = _table(spark, sf_dir, "metric_catalog").select("metric", "low_limit", "high_limit")
-    points = _table(spark, sf_dir, "datapoints").select("row_id", "metric", "ts_nanos", "c0", "c1").join(catalog, "metric", "left")
+    points = join_small(_table(spark, sf_dir, "datapoints").select("row_id", "metric", "ts_nanos", "c0", "c1"), catalog, ["metric"], "left")
     infinite = lambda c: F.abs(c) == F.lit(float("inf"))
     outside = ~F.isnan("c0") & ((F.col("c0") < F.col("low_limit")) | (F.col("c0") > F.col("high_limit")))
     trades = _table(spark, sf_dir, "trades").select("row_id", "market", "price", "size", rfc3339_nanos(F.col("exec_date")).alias("ts_nanos"))
@@ -69,20 +69,26 @@ def p1_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.held_out_errors(*_grid_input(spark, sf_dir)).withColumnRenamed("source", "metric")
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    limits = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(frozen=(True, False), logarithm=(False, True))}
-    series = materialize(_series(spark, sf_dir), "series")
-    return anomalies.flagged(anomalies.measured(series), _FIELDS, limits).unionByName(anomalies.impossible(series, _FIELDS))
+_LIMITS = {"datapoints": anomalies.Limits(), "trades": anomalies.Limits(frozen=(True, False), logarithm=(False, True))}
 
 
-def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anomalies.impossible(_series(spark, sf_dir), _FIELDS).drop("reason")
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = materialize(_series(spark, sf_dir), "series")
+    return anomalies.flagged(anomalies.measured(series), _FIELDS, _LIMITS).unionByName(anomalies.impossible(series, _FIELDS))
 
 
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir)
 
 
+def p2_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.stuck(anomalies.measured(materialize(_series(spark, sf_dir), "series")), _FIELDS, _LIMITS)
+
+
+def p2_impossible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomalies.impossible(_series(spark, sf_dir), _FIELDS).drop("reason")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flags(spark, sf_dir).select("record_table", "record_field", "row_id").distinct()
 
@@ -154,7 +160,7 @@ def p6_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("entity").alias("metric"), F.col("since").alias("since_sec"), F.col("until").alias("until_sec"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p1_observed, p1_held_out, p2_found, p2_flags, p2_impossible, p3_found, p3_compacted, p3_blocks, p5_found, p5_trailing, p6_found, p6_periods)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p1_observed, p1_held_out, p2_found, p2_flags, p2_stuck, p2_impossible, p3_found, p3_compacted, p3_blocks, p5_found, p5_trailing, p6_found, p6_periods)}
 
 # One delivery of each trade, with its instant and UTC day.
 ONE_DELIVERY = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(trade_id, -1), CASE WHEN trade_id IS NULL THEN row_id END
@@ -187,7 +193,24 @@ _OWNED = """(SELECT metric, ts_nanos, min(block_id) AS block_id FROM datapoints
 _KEPT = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric, ts_nanos, c0, c1, c2, CASE WHEN ts_nanos IS NULL THEN row_id END ORDER BY block_id, row_id) AS copy,
  min(block_id) OVER (PARTITION BY metric, ts_nanos) AS first_block FROM datapoints WHERE block_id IS NOT NULL) WHERE copy = 1)"""
 
+# Trades' times in nanoseconds, by way of the text's own fraction.
+_NANOS = """epoch_us(date_trunc('second', upper(exec_date)::TIMESTAMPTZ)) * 1000 + rpad(regexp_extract(exec_date, '\\.(\\d+)', 1), 9, '0')::BIGINT"""
+# Runs of one value, by time and value, copies counted once; then how many readings lie outside long runs and change the value.
+_STUCK = f"""WITH s AS (SELECT 'datapoints' AS record_table, 'c0' AS record_field, metric AS source, row_id, ts_nanos AS t, c0 AS v FROM datapoints LEFT JOIN metric_catalog USING (metric)
+ WHERE isfinite(c0) AND NOT coalesce(c0 < low_limit OR c0 > high_limit, FALSE) UNION ALL SELECT 'datapoints', 'c1', metric, row_id, ts_nanos, c1 FROM datapoints WHERE isfinite(c1)
+ UNION ALL SELECT 'trades', 'price', market, row_id, {_NANOS}, price FROM trades WHERE isfinite(price) AND price > 0 AND exec_date IS NOT NULL),
+ d AS (SELECT DISTINCT record_table, record_field, source, t, v FROM s WHERE t IS NOT NULL),
+ c AS (SELECT *, coalesce(lag(v) OVER (PARTITION BY record_table, record_field, source ORDER BY t, v) <> v, TRUE) AS changed FROM d),
+ r AS (SELECT *, sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY record_table, record_field, source ORDER BY t, v ROWS UNBOUNDED PRECEDING) AS run FROM c),
+ l AS (SELECT *, count(*) OVER (PARTITION BY record_table, record_field, source, run) AS length FROM r),
+ m AS (SELECT s.record_table, s.record_field, s.source, s.row_id, length, changed FROM s JOIN l ON s.record_table = l.record_table AND s.record_field = l.record_field
+ AND s.source IS NOT DISTINCT FROM l.source AND s.t = l.t AND s.v = l.v),
+ q AS (SELECT record_table, record_field, source, count(*) FILTER (length <= 10) AS loose, count(*) FILTER (length <= 10 AND changed) AS change, count(*) FILTER (changed) AS runs FROM m GROUP BY ALL)
+ SELECT m.record_table, m.record_field, m.row_id FROM m JOIN q ON m.record_table = q.record_table AND m.record_field = q.record_field AND m.source IS NOT DISTINCT FROM q.source
+ WHERE length > 10 AND coalesce(change / nullif(loose, 0), 1) >= 0.7 AND coalesce(change / nullif(runs, 0), 1) >= 0.7"""
+
 ORACLES: dict[str, str] = {
+    "p2_stuck": _STUCK,
     "p1_found": """WITH u AS (SELECT d.metric, m.period_sec AS p, (d.ts_nanos // 1000000000) // m.period_sec AS cell FROM datapoints d JOIN metric_catalog m USING (metric)
  WHERE ts_nanos IS NOT NULL AND isfinite(c0)), b AS (SELECT metric, p, min(cell) AS lo, max(cell) AS hi FROM u GROUP BY ALL),
  g AS (SELECT metric, p, unnest(range(lo, hi + 1)) AS cell FROM b)

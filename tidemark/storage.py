@@ -119,8 +119,8 @@ def memory_bytes(table: DataFrame) -> int:
     return rows * (32 + 16 * len(table.columns)) + sum(lengths)
 
 
-def join_small(large: DataFrame, small: DataFrame, keys: list[str], null_safe: bool = False) -> DataFrame:
-    """The inner join of ``large`` with ``small``, a written table that may be small, by ``keys``.
+def join_small(large: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """``large`` joined (``inner`` or ``left``) by ``keys`` with ``small``, a written table that may be small.
 
     It is broadcast only if its rows take no more than BROADCAST_BYTES in memory. Beyond that both are shuffled, and the rows
     of each key of ``large`` are spread by a salt, so no key is too frequent. ``null_safe``: null keys meet each other.
@@ -132,12 +132,12 @@ def join_small(large: DataFrame, small: DataFrame, keys: list[str], null_safe: b
         small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("shuffle_hash")
         keys = [*keys, "_salt"]
     if not null_safe:
-        return large.join(small, keys).drop("_salt")
+        return large.join(small, keys, how).drop("_salt")
     own = small.withColumnsRenamed({k: f"_own_{k}" for k in keys})
     met = F.lit(True)
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"_own_{k}"))
-    return large.join(own, met).drop(*[f"_own_{k}" for k in keys], "_salt")
+    return large.join(own, met, how).drop(*[f"_own_{k}" for k in keys], "_salt")
 
 
 def discard(*tables: DataFrame) -> None:
