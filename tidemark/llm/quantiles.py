@@ -102,23 +102,18 @@ def exact_percentiles(long: DataFrame, probs: Sequence[float]) -> DataFrame:
     offsets = materialize(offsets.select("grp", "field", "part", "n", *places), "offsets")
     # a row is picked by its own position, before anything is copied; the test is a plain one, as it sees all rows
     placed = join_small(runs, offsets, ["grp", "field", "part"], null_safe=True)
-    held = lambda place: (F.col("before") <= F.col(place)) & (F.col(place) < F.col("before") + F.col("weight"))
     wanted = F.lit(False)
     for i in range(len(probs)):
         wanted = wanted | ((F.col("before") <= F.col(f"hi{i}")) & (F.col("before") + F.col("weight") > F.col(f"lo{i}")))
     found = placed.where(wanted).repartition("grp", "field")
-    picks = []
-    for i, p in enumerate(probs):
-        is_lo, is_hi, position = held(f"lo{i}"), held(f"hi{i}"), F.lit(float(p)) * (F.col("n") - 1)
-        picks.append(
-            F.when(is_lo | is_hi, F.struct(
-                F.lit(float(p)).alias("prob"), (position - F.floor(position)).alias("fraction"),
-                F.when(is_lo, F.col("value")).alias("lo"), F.when(is_hi, F.col("value")).alias("hi"),
-            ))
-        )
-    found = found.select("grp", "field", "n", F.explode(F.array_compact(F.array(*picks))).alias("x"))
+    targets = F.array(*[F.struct(F.lit(float(p)).alias("prob"), F.col(f"lo{i}").alias("lo_at"), F.col(f"hi{i}").alias("hi_at")) for i, p in enumerate(probs)])
+    found = found.select("grp", "field", "n", "value", "before", (F.col("before") + F.col("weight")).alias("behind"), F.explode(targets).alias("x"))
+    held = lambda place: F.when((F.col("before") <= F.col(place)) & (F.col(place) < F.col("behind")), F.col("value"))
+    position = F.col("x.prob") * (F.col("n") - 1)
+    found = found.select("grp", "field", "n", "x.prob", (position - F.floor(position)).alias("fraction"), held("x.lo_at").alias("lo"), held("x.hi_at").alias("hi"))
     return (
-        found.groupBy("grp", "field", "n", F.col("x.prob").alias("prob"), F.col("x.fraction").alias("fraction"))
-        .agg(F.max("x.lo").alias("lo"), F.max("x.hi").alias("hi"))
+        found.where("lo is not null or hi is not null")
+        .groupBy("grp", "field", "n", "prob", "fraction")
+        .agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
         .select("grp", "field", "n", "prob", F.expr("case when fraction = 0 then lo else lo + (hi - lo) * fraction end").alias("value"))
     )
