@@ -1,0 +1,72 @@
+"""Stores with more points than they hold in memory."""
+
+import random
+
+import pytest
+
+from tidemark.plans.analyze import TimeRange
+from tidemark.sources import store as stores
+from tidemark.sources.store import StoredPoints, WritableStore
+
+FIELDS = ["double", "string"]
+
+
+@pytest.fixture
+def few(monkeypatch):
+    monkeypatch.setattr(stores, "HELD_POINTS", 20)
+
+
+def some_points(n=90, seed=1):
+    rng = random.Random(seed)
+    return [(rng.randrange(40), (rng.choice([float(i), None]), rng.choice(["a", "é", None]))) for i in range(n)]
+
+
+def push(store, points, by=15):
+    for i in range(0, len(points), by):
+        store.push(points[i : i + by])
+
+
+def in_order(points):
+    return sorted(points, key=lambda p: p[0])
+
+
+def rows_of(frame):
+    return [(r[0], tuple(r)[1:]) for r in frame.collect()]
+
+
+def outside(points, low, high):
+    return [p for p in in_order(points) if not low <= p[0] < high]
+
+
+def test_purged_points_beyond_those_held(spark, few):
+    store, points = WritableStore(spark, "m", FIELDS), some_points()
+    push(store, points)
+    assert len(store._sorted) + len(store._dirty) <= 20
+    assert isinstance(store.datapoints(), StoredPoints)
+    assert list(store.datapoints()) == in_order(points) == rows_of(store.frame())
+    for low, high in ((10, 20), (30, 25), (0, 3), (37, 99)):
+        before = store.datapoints()
+        store.purge(TimeRange(low, high))
+        if low < high:
+            points = outside(points, low, high)
+        assert list(store.datapoints()) == in_order(points) == rows_of(store.frame())
+        assert len(before) == len(list(before)), "what a read has given stays"
+    late = some_points(50, 2)
+    push(store, late)
+    assert list(store.datapoints()) == in_order(points + late), "ties keep the order of arrival"
+    store.purge(TimeRange(1, None))
+    assert list(store.datapoints()) == [p for p in points + late if p[0] < 1] and not store._parts
+    store.purge(TimeRange())
+    assert list(store.datapoints()) == [] == store.frame().collect()
+
+
+def test_points_beyond_those_held_are_read_once_sorted(spark, few):
+    store, points = WritableStore(spark, "m", FIELDS, sort_on_read=False), some_points()
+    push(store, points)
+    assert list(store.datapoints()) == []
+    store.sort()
+    store.push([(-1, (0.0, "new"))])
+    assert list(store.datapoints()) == in_order(points)
+    with pytest.raises(TypeError, match="int"):
+        store.push([(1, (1.0, "a")), (2, (1, "a"))])
+    assert len(store.datapoints()) == 90

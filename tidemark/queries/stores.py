@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tidemark.engine import Engine
 from tidemark.operators import series
 from tidemark.operators.series import TS
 from tidemark.plans.analyze import TimeRange
-from tidemark.plans.output import read_frame_json, write_frame_json
+from tidemark.plans.output import arrow_batches, read_frame_json, write_frame_json
 from tidemark.queries.series import COLS, EVENT_NANOS, IN_WEEK, NOW, WEEK, engine, events, micros
 from tidemark.sources.block_files import BlockFiles
 from tidemark.sources.database import Database
@@ -27,12 +28,28 @@ FIELDS = ("double", "bigint", "string", "bigint")
 NAMES = ("value", "user_id", "event_type", "event_id")
 
 
+#: Points of a turn at most.
+TURN = 250_000
+
+
+def _push(store: WritableStore, rows: DataFrame) -> None:
+    """Push all rows, in four turns or more; each takes its rows from everywhere in the table, and the driver holds one turn."""
+    n = rows.count()
+    size = min(TURN, max(1, -(-n // 4)))
+    held = []
+    for batch in arrow_batches(rows.repartition(max(4, -(-n // TURN)))):
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= size:
+            store.push_columns(pa.Table.from_batches(held))
+            held = []
+    if held:
+        store.push_columns(pa.Table.from_batches(held))
+
+
 def _pushed(spark: SparkSession, sf_dir: str, database: Database | None = None, wal: str | None = None) -> WritableStore:
-    """A store to which all events were pushed, in four turns."""
+    """A store to which all events were pushed."""
     store = WritableStore(spark, "events", FIELDS, database=database, wal_dir=wal)
-    rows = [(r[0], tuple(r)[1:]) for r in events(spark, sf_dir).toLocalIterator()]
-    for i in range(4):
-        store.push(rows[i::4])
+    _push(store, events(spark, sf_dir))
     return store
 
 
