@@ -70,3 +70,21 @@ def test_points_beyond_those_held_are_read_once_sorted(spark, few):
     with pytest.raises(TypeError, match="int"):
         store.push([(1, (1.0, "a")), (2, (1, "a"))])
     assert len(store.datapoints()) == 90
+
+
+def test_sorter_orders_ties_beyond_those_held(spark, few):
+    points = some_points()
+    few_kinds = [(t % 7, v) for t, v in points]
+    key = lambda p: (p[1][0] is not None, -(p[1][0] or 0) % 5)
+    store = WritableStore(spark, "m", FIELDS, sorter=key)
+    push(store, few_kinds)
+    want = sorted(few_kinds, key=lambda p: (p[0], key(p)))
+    assert list(store.datapoints()) == want
+    assert [(r[0], (r[1], r[2])) for r in store.frame(place="at").collect()] == want
+    assert [r["at"] for r in store.frame(place="at").collect()] == list(range(90))
+    store.push(few_kinds[:5])
+    want = sorted(want + few_kinds[:5], key=lambda p: (p[0], key(p)))
+    assert list(store.datapoints()) == want
+    held = WritableStore(spark, "m", FIELDS)
+    held.push(few_kinds[:9])
+    assert [r["at"] for r in held.frame(place="at").collect()] == list(range(9))

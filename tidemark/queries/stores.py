@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
@@ -102,13 +102,9 @@ def store_sorter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of one day in the order that the store's own sorter gives them."""
     store = WritableStore(spark, "orders", ("double", "bigint"), sorter=lambda p: (-p[1][0], p[1][1]))
     rows = engine(spark, sf_dir).catalog.series("orders", TimeRange()).select(TS, F.col("o_totalprice").cast("double"), "o_orderkey")
-    store.push((r[0], (r[1], r[2])) for r in rows.toLocalIterator())
-    placed, last, place = [], None, 0
-    for t, (_, key) in store.datapoints():
-        place = place + 1 if t == last else 1
-        last = t
-        placed.append((t, key, place))
-    return spark.createDataFrame(placed, f"{TS} bigint, o_orderkey bigint, place int")
+    _push(store, rows)
+    places = F.row_number().over(Window.partitionBy(TS).orderBy("at")).alias("place")
+    return store.frame(place="at").select(TS, F.col("c1").alias("o_orderkey"), places)
 
 
 def block_files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
