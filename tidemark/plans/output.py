@@ -6,16 +6,18 @@ import io
 import json
 import os
 import sys
+import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import ExitStack
 from typing import TextIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.analyze import Output
-from tidemark.storage import ship
+from tidemark.storage import join_small, materialize, ship
 
 
 def _text(value: object) -> str:
@@ -81,33 +83,102 @@ def write_columns_json(df: DataFrame, out: TextIO) -> None:
 TAGS = {"double": "Float64", "boolean": "Bool", "string": "String", "bigint": "UInt64"}
 
 
+def _json_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch a row with the JSON of every column's values, separated by commas."""
+    for batch in batches:
+        if batch.num_rows:
+            texts = [json.dumps([_plain(x) for x in c.to_pylist()], separators=(",", ":"))[1:-1] for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.string()) for t in texts], batch.schema.names)
+
+
 def write_frame_json(df: DataFrame, out: TextIO) -> None:
-    """A series as one object: its times, and each field with its name, its type's tag and its values."""
+    """A series as one object: its times, and each field with its name, its type's tag and its values.
+
+    The rows are computed once; what follows the first column waits in files on the driver's disk. The values of a batch of
+    rows are a line in every array, so that :func:`read_frame_json` can take the file apart at its lines.
+    """
     ts, *fields = df.schema.fields
-    out.write('{"ts_nanos":')
-    _write_values(df, ts.name, out)
-    out.write(',"columns":[')
+    heads = ['{"ts_nanos":[\n']
     for i, f in enumerate(fields):
         tag = TAGS.get(f.dataType.simpleString())
         if tag is None:
             raise TypeError(f"{f.name}: {f.dataType.simpleString()} has no tag")
-        out.write(("," if i else "") + f'{{"name":{json.dumps(f.name)},"t":"{tag}","c":')
-        _write_values(df, f.name, out)
-        out.write("}")
-    out.write("]}\n")
+        heads.append(("]}," if i else '],"columns":[') + f'{{"name":{json.dumps(f.name)},"t":"{tag}","c":[\n')
+    ship(df.sparkSession)
+    texts = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(_json_columns, ", ".join(f"c{i} string" for i in range(len(df.columns))))
+    with ExitStack() as stack:
+        later = [stack.enter_context(tempfile.TemporaryFile("w+", encoding="utf-8")) for _ in fields]
+        out.write(heads[0])
+        begun = False
+        for row in texts.toLocalIterator():
+            for target, text in zip([out, *later], row, strict=True):
+                target.write("," if begun else "")
+                target.write(text + "\n")
+            begun = True
+        for head, held in zip(heads[1:], later, strict=True):
+            out.write(head)
+            held.seek(0)
+            while text := held.read(1 << 20):
+                out.write(text)
+    out.write("]}]}\n" if fields else '],"columns":[]}\n')
 
 
 def read_frame_json(spark: SparkSession, path: str) -> DataFrame:
-    """Series from files that :func:`write_frame_json` has made, each a single object; nulls stay nulls."""
+    """Series from files that :func:`write_frame_json` has made, each a single object; nulls stay nulls.
+
+    Files are read in parallel, in parts of whole lines; those of a single line, as they were made before, one by a task.
+    """
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id")]
+    lines = materialize(spark.read.text(path).select(F.col("value").alias("text"), *place), "frame-lines")
+    if not lines.where(F.col("text").startswith('{"ts_nanos":[') & (F.col("text") != '{"ts_nanos":[')).isEmpty():
+        return _read_single_lines(spark, path)
+    # lines between two heads are a column's; the heads are as few as the columns
+    heads = lines.where(F.substring("text", 1, 1).isin("{", "]")).orderBy("file", "start", "id").collect()
+    kinds, names = {tag: kind for kind, tag in TAGS.items()}, []
+    if not heads:
+        return spark.createDataFrame([], f"{TIMES} bigint")
+    for h in heads:
+        if h["file"] == heads[0]["file"] and '"t":"' in h["text"]:
+            field = json.loads(h["text"][h["text"].index('{"name":') :] + "]}")
+            names.append((field["name"], kinds[field["t"]]))
+    places, seen = [], {}
+    for h in heads:
+        seen[h["file"]] = seen.get(h["file"], -1) + 1
+        places.append((h["file"], h["start"], h["id"], seen[h["file"]]))
+    placed = F.broadcast(spark.createDataFrame(places, "file string, head_start bigint, head_id bigint, column int"))
+    behind = F.struct("head_start", "head_id") < F.struct("start", "id")
+    values = lines.where(~F.substring("text", 1, 1).isin("{", "]"))
+    # runs of lines in a part of the file, numbered by how many of their column came before them
+    keys = ["file", "start", "id"]
+    owned = values.select(*keys).join(placed, "file").where(behind).groupBy(*keys).agg(F.max("column").alias("column"))
+    owned = materialize(owned, "frame-owned")
+    runs = owned.groupBy("file", "start", "column").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file", "column").orderBy("start", "first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = materialize(runs.withColumn("before", before).drop("n"), "frame-runs")
+    numbered = join_small(owned, runs, ["file", "start", "column"]).select(*keys, "column", (F.col("before") + F.col("id") - F.col("first")).alias("chunk"))
+    chunks = values.join(numbered, keys).groupBy("file", "chunk")
+    texts = chunks.agg(*[F.max(F.when(F.col("column") == i, F.ltrim("text", F.lit(",")))).alias(f"f{i}") for i in range(len(names) + 1)])
+    array = lambda i, kind: F.from_json(F.concat(F.lit("["), F.col(f"f{i}"), F.lit("]")), f"array<{kind}>", {"mode": "FAILFAST"})
+    zipped = F.arrays_zip(*[array(i, kind).alias(f"f{i}") for i, kind in enumerate(["bigint", *[kind for _, kind in names]])])
+    return _fields(texts.select(F.explode(zipped).alias("x")), names)
+
+
+#: The name of a frame's times in its JSON.
+TIMES = "ts_nanos"
+
+
+def _fields(rows: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    return rows.select(F.col("x.f0").alias(TIMES), *[F.col("x")[f"f{i}"].cast(kind).alias(name) for i, (name, kind) in enumerate(names, 1)])
+
+
+def _read_single_lines(spark: SparkSession, path: str) -> DataFrame:
     shape = spark.read.option("multiLine", "true").schema("ts_nanos array<bigint>, columns array<struct<name: string, t: string>>")
     first = shape.json(path).select("columns").first()
     kinds = {tag: kind for kind, tag in TAGS.items()}
     names = [(c["name"], kinds[c["t"]]) for c in first["columns"]] if first else []
     rows = spark.read.option("multiLine", "true").schema("ts_nanos array<bigint>, columns array<struct<c: array<string>>>").json(path)
-    zipped = F.arrays_zip("ts_nanos", *[F.col("columns")[i]["c"].alias(f"f{i}") for i in range(len(names))])
-    return rows.select(F.explode(zipped).alias("x")).select(
-        F.col("x.ts_nanos").alias("ts_nanos"), *[F.col("x")[f"f{i}"].cast(kind).alias(name) for i, (name, kind) in enumerate(names)]
-    )
+    zipped = F.arrays_zip(F.col("ts_nanos").alias("f0"), *[F.col("columns")[i]["c"].alias(f"f{i + 1}") for i in range(len(names))])
+    return _fields(rows.select(F.explode(zipped).alias("x")), names)
 
 
 class _HadoopText(io.TextIOBase):
