@@ -88,3 +88,12 @@ def test_sorter_orders_ties_beyond_those_held(spark, few):
     held = WritableStore(spark, "m", FIELDS)
     held.push(few_kinds[:9])
     assert [r["at"] for r in held.frame(place="at").collect()] == list(range(9))
+
+
+def test_tails_beyond_those_held(spark, few):
+    store, points = WritableStore(spark, "m", FIELDS), some_points()
+    push(store, points)
+    for n in (0, 1, 3, 17, 99):
+        times = sorted({t for t, _ in points})[-n:] if n else []
+        want = [p for p in in_order(points) if p[0] in times]
+        assert list(store.tail(n)) == want == rows_of(store.frame(store.tail(n)))

@@ -90,12 +90,8 @@ def store_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def store_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The points of the last five distinct times."""
-    points = _pushed(spark, sf_dir).tail(5)
-    return spark.createDataFrame([(t, *v) for t, v in points], _pushed_schema())
-
-
-def _pushed_schema() -> str:
-    return ", ".join([f"{TS} bigint", *[f"{n} {t}" for n, t in zip(NAMES, FIELDS, strict=True)]])
+    store = _pushed(spark, sf_dir)
+    return store.frame(store.tail(5)).toDF(TS, *NAMES)
 
 
 def store_sorter(spark: SparkSession, sf_dir: str) -> DataFrame:
