@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from tidemark.plans.analyze import TimeRange
@@ -90,6 +91,31 @@ def test_sorter_orders_ties_beyond_those_held(spark, few):
     assert [r["at"] for r in held.frame(place="at").collect()] == list(range(9))
 
 
+def test_replayed_points_beyond_those_held(spark, few, tmp_path):
+    points = some_points()
+    push(WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}"), points)
+    again = WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}")
+    assert len(again._dirty) <= 20
+    assert list(again.datapoints()) == in_order(points) == rows_of(again.frame())
+
+
+def test_tables_of_columns_are_pushed(spark, few, tmp_path):
+    points = some_points()
+    times, values = zip(*points, strict=True)
+    table = pa.table([pa.array(times, pa.int64()), *[pa.array(c, t) for c, t in zip(zip(*values, strict=True), (pa.float64(), pa.string()), strict=True)]], names=["t", "v", "s"])
+    store = WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}")
+    for start in range(0, 90, 30):
+        store.push_columns(table.slice(start, 30))
+    store.push_columns(table.slice(0, 0))
+    assert len(store._dirty) <= 20 and list(store.datapoints()) == in_order(points)
+    assert list(WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}").datapoints()) == in_order(points)
+    with pytest.raises(TypeError):
+        store.push_columns(table.select(["t", "s", "v"]))
+    with pytest.raises(TypeError):
+        store.push_columns(pa.table([pa.array([None], pa.int64()), pa.array([1.0]), pa.array(["a"])], names=["t", "v", "s"]))
+    assert len(store.datapoints()) == 90
+
+
 def test_tails_beyond_those_held(spark, few):
     store, points = WritableStore(spark, "m", FIELDS), some_points()
     push(store, points)
