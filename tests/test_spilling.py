@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.plans.analyze import TimeRange
 from tidemark.sources import store as stores
+from tidemark.sources.database import Database
 from tidemark.sources.store import StoredPoints, WritableStore
 
 FIELDS = ["double", "string"]
@@ -116,6 +117,18 @@ def test_tables_of_columns_are_pushed(spark, few, tmp_path):
     assert len(store.datapoints()) == 90
 
 
+def test_persisted_ranges_beyond_those_held(spark, few, tmp_path):
+    db, points = Database(spark, f"file://{tmp_path}/db"), some_points()
+    store = WritableStore(spark, "m", FIELDS, database=db)
+    push(store, points)
+    assert store.persist(TimeRange(100, 200)) is store.persist(TimeRange(20, 10)) is None
+    assert store.persist(TimeRange(5, 10), remove=False) is not None
+    assert len(store.datapoints()) == 90
+    assert store.persist(TimeRange(10, 30)) is not None
+    assert sorted(map(repr, rows_of(db.series("m")))) == sorted(repr(p) for p in points if 5 <= p[0] < 30)
+    assert list(store.datapoints()) == outside(points, 10, 30) == rows_of(store.frame())
+
+
 def test_tails_beyond_those_held(spark, few):
     store, points = WritableStore(spark, "m", FIELDS), some_points()
     push(store, points)
