@@ -129,6 +129,23 @@ def test_persisted_ranges_beyond_those_held(spark, few, tmp_path):
     assert list(store.datapoints()) == outside(points, 10, 30) == rows_of(store.frame())
 
 
+def test_search_beyond_those_held(spark, few):
+    store, points = WritableStore(spark, "m", FIELDS), some_points()
+    push(store, points)
+    want = in_order(points)
+    for low, high in ((None, None), (5, 17), (17, 5), (-5, 3), (38, 90), (7, None), (None, 8), (60, 70)):
+        found, places = store.search(TimeRange(low, high))
+        inside = [p for p in want if (low is None or p[0] >= low) and (high is None or p[0] < high)]
+        first = len([p for p in want if low is not None and p[0] < low])
+        assert list(found) == inside and len(found) == len(inside) and places.start == first
+        assert rows_of(store.frame(found)) == inside
+        if inside:
+            assert places.stop == first + len(inside)
+            assert (found[0], found[-1], list(found[1:3]), found[::-2]) == (inside[0], inside[-1], inside[1:3], inside[::-2])
+        with pytest.raises(IndexError):
+            found[len(inside)]
+
+
 def test_tails_beyond_those_held(spark, few):
     store, points = WritableStore(spark, "m", FIELDS), some_points()
     push(store, points)
