@@ -153,3 +153,14 @@ def test_tails_beyond_those_held(spark, few):
         times = sorted({t for t, _ in points})[-n:] if n else []
         want = [p for p in in_order(points) if p[0] in times]
         assert list(store.tail(n)) == want == rows_of(store.frame(store.tail(n)))
+
+
+def test_logs_hold_what_is_left_beyond_those_held(spark, few, tmp_path):
+    db, points = Database(spark, f"file://{tmp_path}/db"), some_points()
+    store = WritableStore(spark, "m", FIELDS, database=db, wal_dir=f"file://{tmp_path}/wal")
+    push(store, points)
+    assert store.persist(TimeRange(10, 13)) is not None
+    again = WritableStore(spark, "m", FIELDS, database=db, wal_dir=f"file://{tmp_path}/wal")
+    assert list(again.datapoints()) == outside(points, 10, 13)
+    again.purge(TimeRange(0, 99))
+    assert list(WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}/wal").datapoints()) == []
