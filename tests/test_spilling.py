@@ -164,3 +164,24 @@ def test_logs_hold_what_is_left_beyond_those_held(spark, few, tmp_path):
     assert list(again.datapoints()) == outside(points, 10, 13)
     again.purge(TimeRange(0, 99))
     assert list(WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}/wal").datapoints()) == []
+
+
+# What the writer's process holds, by the points that it has made into objects: never more than it may, and a file's at a time.
+
+
+@pytest.fixture
+def made(few, monkeypatch):
+    sizes, real = [], stores._to_points
+    monkeypatch.setattr(stores, "_to_points", lambda table: sizes.append(table.num_rows) or real(table))
+    return sizes
+
+
+def held(store):
+    return len(store._sorted) + len(store._dirty)
+
+
+def test_replay_holds_no_more_than_a_store_may(spark, made, tmp_path):
+    WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}").push(some_points())
+    again = WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}")
+    assert held(again) <= 20 and again.frame().count() == 90
+    assert held(again) <= 20 and max(made, default=0) <= 20
