@@ -185,3 +185,12 @@ def test_replay_holds_no_more_than_a_store_may(spark, made, tmp_path):
     again = WritableStore(spark, "m", FIELDS, wal_dir=f"file://{tmp_path}")
     assert held(again) <= 20 and again.frame().count() == 90
     assert held(again) <= 20 and max(made, default=0) <= 20
+
+
+def test_persisting_holds_no_more_than_a_store_may(spark, made, tmp_path):
+    db, points = Database(spark, f"file://{tmp_path}/db"), some_points()
+    store = WritableStore(spark, "m", FIELDS, database=db)
+    push(store, points)
+    assert store.persist(TimeRange(5, 10)) is not None
+    assert held(store) <= 20 and max(made, default=0) <= 20
+    assert db.series("m").count() + store.frame().count() == 90
