@@ -194,3 +194,11 @@ def test_persisting_holds_no_more_than_a_store_may(spark, made, tmp_path):
     assert store.persist(TimeRange(5, 10)) is not None
     assert held(store) <= 20 and max(made, default=0) <= 20
     assert db.series("m").count() + store.frame().count() == 90
+
+def test_search_holds_no_more_than_a_store_may(spark, made):
+    store, points = WritableStore(spark, "m", FIELDS), some_points()
+    push(store, points)
+    found, places = store.search(TimeRange(5, 30))
+    assert held(store) <= 20 and made == [], "places are found without making points"
+    assert (found[0], found[-1], len(found)) == (in_order(points)[places.start], in_order(points)[places.stop - 1], len(places))
+    assert max(made) <= 20
