@@ -202,3 +202,12 @@ def test_search_holds_no_more_than_a_store_may(spark, made):
     assert held(store) <= 20 and made == [], "places are found without making points"
     assert (found[0], found[-1], len(found)) == (in_order(points)[places.start], in_order(points)[places.stop - 1], len(places))
     assert max(made) <= 20
+
+def test_logs_are_rewritten_a_file_at_a_time(spark, made, tmp_path):
+    db, points = Database(spark, f"file://{tmp_path}/db"), some_points()
+    store = WritableStore(spark, "m", FIELDS, database=db, wal_dir=f"file://{tmp_path}/wal")
+    push(store, points)
+    assert store.persist(TimeRange(10, 13)) is not None
+    assert held(store) <= 20 and max(made, default=0) <= 20
+    logged = [table.num_rows for table in store.wal.replay()]
+    assert max(logged) <= 20 and sum(logged) == len(outside(points, 10, 13))
